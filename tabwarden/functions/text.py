@@ -91,4 +91,4 @@ def padded_row(value: Column, cnt: Column, pct: Column) -> Column:
     digits = cnt.cast("string")
     right = F.when(F.char_length(digits) < 6, F.lpad(digits, 6, " ")).otherwise(digits)
     return F.concat(F.lit("  "), left, F.lit(" "), right, F.lit(" ("),
-                    F.format_string("%.1f", pct), F.lit("%)"))
+                    F.format_string("%.1f", F.bround(pct, 1)), F.lit("%)"))
