@@ -85,10 +85,24 @@ def percent(share: Column) -> Column:
     return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
+def one_decimal(x: Column) -> Column:
+    """A number in [0, 128) with one decimal, rounded by its exact binary value, ties to even.
+
+    The number is compared with the midpoint of two tenths in whole numbers:
+    scaled by a power of two, a double becomes a bigint without loss.
+    """
+    tenths = F.floor(x * 10).cast("bigint")
+    bits = F.when(x < 1, F.lit(2.0 ** 62)).otherwise(F.lit(2.0 ** 56))
+    scaled = (x * bits).cast("bigint").cast("decimal(20,0)") * F.lit(20)
+    middle = bits.cast("bigint").cast("decimal(20,0)") * (tenths * 2 + 1).cast("decimal(6,0)")
+    up = (scaled > middle) | ((scaled == middle) & (tenths % 2 == 1))
+    rounded = tenths + up.cast("int")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def padded_row(value: Column, cnt: Column, pct: Column) -> Column:
     """One display line: value, count, share. Long values are never cut."""
     left = F.when(F.char_length(value) < 50, F.rpad(value, 50, " ")).otherwise(value)
     digits = cnt.cast("string")
     right = F.when(F.char_length(digits) < 6, F.lpad(digits, 6, " ")).otherwise(digits)
-    return F.concat(F.lit("  "), left, F.lit(" "), right, F.lit(" ("),
-                    F.format_string("%.1f", F.bround(pct, 1)), F.lit("%)"))
+    return F.concat(F.lit("  "), left, F.lit(" "), right, F.lit(" ("), one_decimal(pct), F.lit("%)"))

@@ -29,7 +29,8 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("ip_loose_n", T.LongType()),
     T.StructField("ip_strict_n", T.LongType()),
     T.StructField("ip_public_n", T.LongType()),
-    T.StructField("gps_precheck", T.BooleanType()),
+    T.StructField("gps_max", T.DoubleType()),
+    T.StructField("gps_precise", T.BooleanType()),
 ])
 COLUMN_SCHEMA = T.StructType([
     T.StructField("col_id", T.IntegerType()),
@@ -63,7 +64,7 @@ def _numeric_sql(c: str, dtype: T.DataType) -> dict[str, str]:
     if isinstance(dtype, INTEGRALS):
         hi = f"greatest(abs(cast(max({c}) AS decimal(20,0))), abs(cast(min({c}) AS decimal(20,0))))"
         return {"n_nonnull": f"count({c})", "max_abs": hi, "max_text": hi,
-                "has_frac": "false", "gps_precheck": "false"}
+                "has_frac": "false", "gps_precise": "false"}
     x = c if isinstance(dtype, T.DecimalType) else f"(CASE WHEN NOT isnan({c}) THEN double({c}) END)"
     sentinels = ", ".join(f"{s}D" for s in rules.GPS_SENTINELS)
     g = f"(CASE WHEN double({x}) NOT IN ({sentinels}) THEN double({x}) END)"
@@ -72,8 +73,8 @@ def _numeric_sql(c: str, dtype: T.DataType) -> dict[str, str]:
         "max_abs": f"max(abs({x}))",
         "max_text": f"max(abs({x}))" if isinstance(dtype, T.DecimalType) else "null",
         "has_frac": f"coalesce(bool_or({x} % 1 <> 0), false)",
-        "gps_precheck": f"coalesce(max(abs({g})) <= {rules.GPS_MAX_ABS}"
-                        f" AND bool_or({g} <> round({g}, {rules.GPS_KEPT_DECIMALS})), false)",
+        "gps_max": f"max(abs({g}))",
+        "gps_precise": f"coalesce(bool_or({g} <> round({g}, {rules.GPS_KEPT_DECIMALS})), false)",
     }
 
 
@@ -156,4 +157,21 @@ def profiled_columns(spark: SparkSession, tables: list[Table]) -> DataFrame:
     """
     profiles = {r.col_id: tuple(r)[1:] for r in profile_tables(tables).collect()}
     schema = T.StructType(COLUMN_SCHEMA.fields + PROFILE_SCHEMA.fields[1:])
-    return local_relation(spark, [r + profiles[r[0]] for r in catalog_rows(tables)], schema)
+    return with_precheck(local_relation(spark, [r + profiles[r[0]] for r in catalog_rows(tables)], schema))
+
+
+def with_precheck(profile: DataFrame) -> DataFrame:
+    """Whether a column could be a coordinate: small enough and precise enough."""
+    return profile.withColumn("gps_precheck", F.coalesce(
+        (F.col("gps_max") <= rules.GPS_MAX_ABS) & F.col("gps_precise"), F.lit(False)))
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """Profiles of separate batches of the same columns as one profile per column."""
+    total = ("n_rows", "n_nonnull", "sum_len", "prolific_n", "mturk_n", "ip_loose_n", "ip_strict_n", "ip_public_n")
+    merged = {c: F.sum(c) for c in total}
+    merged |= {c: F.max(c) for c in ("max_abs", "max_len", "gps_max")}
+    merged |= {c: F.bool_or(c) for c in ("has_frac", "gps_precise")}
+    merged |= {"max_text": F.max_by("max_text", "max_abs"), "seen_bits": F.bit_or("seen_bits")}
+    return parts.groupBy("col_id").agg(*[
+        merged[f.name].cast(f.dataType).alias(f.name) for f in PROFILE_SCHEMA.fields if f.name != "col_id"])

@@ -132,7 +132,7 @@ def gps_ok(x: str) -> str:
 
 def precheck(rel: str, cols: dict[str, str]) -> str:
     return "\nUNION ALL ".join(
-        f"SELECT {i} AS col_idx, '{c}' AS col_name, {gps_ok(f'cast({c} AS double)') if k == 'dbl' else 'false'} AS gps_precheck FROM {rel}"
+        f"SELECT {i} AS col_idx, '{c}' AS col_name, {gps_ok(f'cast({c} AS double)') if k == 'dbl' else 'bool_and(false)'} AS gps_precheck FROM {rel}"
         for i, (c, k) in enumerate(cols.items()) if k in ("int", "dbl"))
 
 
@@ -296,6 +296,20 @@ shown AS (
 SELECT grp, cast(rank AS int) AS rank, value, cnt, cnt / n_rows * 100 AS pct, n_unique FROM shown, n"""
 
 
+def rendered(rel: str, column: str) -> str:
+    """The sample of one column as a text cell."""
+    return f"""SELECT '{column}' AS col_name, concat(string_agg(block, chr(10) || chr(10) ORDER BY o),
+  CASE WHEN max(n_unique) > 50 THEN concat(chr(10), chr(10), '  (Showing sample of ', max(n_unique), ' unique values)')
+  ELSE '' END) AS tabulation
+FROM (SELECT list_position(['all', 'longest', 'rarest', 'random', 'other'], grp) AS o, max(n_unique) AS n_unique,
+    concat(['[All values]', '[Longest values]', '[Least frequent values]', '[Random sample]', '[Other values]'][
+      list_position(['all', 'longest', 'rarest', 'random', 'other'], grp)], chr(10), string_agg(concat('  ',
+      CASE WHEN length(value) < 50 THEN rpad(value, 50, ' ') ELSE value END, ' ',
+      CASE WHEN length(cast(cnt AS varchar)) < 6 THEN lpad(cast(cnt AS varchar), 6, ' ') ELSE cast(cnt AS varchar) END,
+      ' (', printf('%.1f', pct), '%)'), chr(10) ORDER BY rank)) AS block
+  FROM ({samples(rel, column)}) GROUP BY grp)"""
+
+
 def reserve(column: str) -> str:
     return f"""SELECT '{column}' AS col_name, pattern, value, cnt FROM (
 WITH c AS (SELECT value, cnt, md5(value) AS digest, {email('value')} AS email, {web('value')} AS web,
@@ -375,6 +389,11 @@ SELECT word, {forced("concat(word, ' ', label)")} AS forced, {platform('word')}
     o["tabulation_pages"] = samples("pages", "html")
     o["tabulation_conversations"] = samples("conversations", "text")
     o["pattern_reserve"] = f"{with_survey} {reserve('note')} UNION ALL {reserve('email')}"
+    part_text = "(SELECT cast(p_partkey AS varchar) AS p_partkey, p_name, p_brand, p_type FROM part)"
+    o["rendered_samples"] = " UNION ALL ".join(
+        f"SELECT col_name, tabulation FROM ({rendered(part_text, c)}) WHERE col_name IN "
+        f"(SELECT col_name FROM ({profile('part', TABLE_COLS['part'])}) WHERE ({cascade_code()}) IN {SENT})"
+        for c in ("p_partkey", "p_name", "p_brand", "p_type"))
     o["text_identifier_rates"] = "\nUNION ALL ".join(
         f"SELECT '{t}.{c}' AS source, count(*) AS n, count(*) FILTER ({email(c)}) AS n_email, "
         f"count(*) FILTER ({web(c)}) AS n_web, count(*) FILTER ({long_digit(c)}) AS n_long_digit FROM {t}"
@@ -444,6 +463,17 @@ v AS (SELECT c.col_idx, c.col_name, c.reason_code = 'gps' AS is_gps, coalesce(fl
     WHEN c.col_idx % 4 = 1 THEN 'direct_pii' WHEN c.col_idx % 4 = 2 THEN 'not_pii' ELSE 'internal_id' END AS value
   FROM coded c LEFT JOIN floors ON floors.col_idx = c.col_idx WHERE c.reason_code IN {SENT})
 SELECT col_idx, col_name, {verdict_case('is_gps', 'value', 'floor_met')} AS evaluation FROM v"""
+    o["screen_survey"] = f"""{screened}, st AS ({stats('survey', SURVEY_COLS)}), {FLOORS},
+v AS (SELECT c.col_name, c.n_rows, coalesce(c.gps_reason, {REASON.replace('CASE reason_code', 'CASE c.reason_code').replace('max_text', 'c.max_text')}) AS filter_reason,
+  c.reason_code = 'gps' AS is_gps, coalesce(floors.floor_met, false) AS floor_met,
+  CASE WHEN c.reason_code = 'gps' THEN 'unclear' WHEN c.col_name IN ('full_name', 'email', 'phone') THEN 'direct_pii'
+    ELSE 'not_pii' END AS value
+  FROM coded c LEFT JOIN floors ON floors.col_idx = c.col_idx WHERE c.reason_code IN {SENT})
+SELECT 'survey' AS file, col_name, n_rows, filter_reason, {verdict_case('is_gps', 'value', 'floor_met')} AS evaluation,
+  '' AS duplicate_of FROM v"""
+    o["dry_run_catalog"] = "\nUNION ALL ".join(
+        f"SELECT '{t}' AS file, col_name, n_rows, {lit(rules.DRY_RUN_EVALUATION)} AS evaluation "
+        f"FROM ({profile(t, cols)}) WHERE ({cascade_code()}) IN {SENT}" for t, cols in TABLE_COLS.items())
     o["usage_totals"] = f"""SELECT dataset_id, count(*) AS n_calls, cast(sum(prompt_tokens) AS bigint) AS prompt_tokens,
   cast(sum(completion_tokens) AS bigint) AS completion_tokens, round(sum(seconds), 3) AS seconds FROM ({attempts}) GROUP BY 1"""
     o["throughput_minute"] = """

@@ -166,11 +166,10 @@ def pattern_reserve(spark, sf_dir):
 
 
 @query
-def rendered_lines(spark, sf_dir):
-    shown = tabulate_candidates(
-        spark, [driver_table(spark, sf_dir, "part")],
-        screen_columns(spark, [driver_table(spark, sf_dir, "part")]))
-    return tabulate.render(shown)
+def rendered_samples(spark, sf_dir):
+    tables = [driver_table(spark, sf_dir, "part")]
+    shown = tabulate_candidates(spark, tables, screen_columns(spark, tables))
+    return _with_names(spark, tables, tabulate.render(shown)).drop("col_idx")
 
 
 # --- text patterns ---------------------------------------------------------------

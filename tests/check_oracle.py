@@ -49,6 +49,10 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     theirs = rows_of(names, cur.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"DIFF columns {sorted(df.columns)} {sorted(names)}"
+    duck = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}
+    types = {d[0]: duck.get(str(d[1]), str(d[1])) for d in cur.description}
+    if types != dict(df.dtypes):
+        return f"DIFF types {sorted(set(types.items()) ^ set(df.dtypes))}"
     if mine != theirs:
         bad = [(a, b) for a, b in zip(mine, theirs) if a != b][:2]
         return f"DIFF {len(mine)} rows, oracle {len(theirs)}: {str(bad)[:700]}"
