@@ -86,7 +86,8 @@ def tabulate_candidates(spark: SparkSession, tables: list[Table], screened: Data
 def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | None = None,
                    responder: Responder | None = None, cells_per_degree: int = 1,
                    files: DataFrame | None = None, run_info: dict[str, str] | None = None,
-                   seed: str = "0", waits: Sequence[float] = rules.ATTEMPT_WAITS) -> ScreenResult:
+                   seed: str = "0", waits: Sequence[float] = rules.ATTEMPT_WAITS,
+                   issues: DataFrame | None = None) -> ScreenResult:
     """Screen tables of one or many datasets.
 
     Without a responder this is a dry run: prompts are built, nothing is asked.
@@ -94,14 +95,15 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     file are copied onto its duplicates.
     """
     started = datetime.now(timezone.utc)
-    issues = local_relation(spark, [], ISSUES)
+    if issues is None:
+        issues = local_relation(spark, [], ISSUES)
     columns = profiled_columns(spark, tables)
     try:
         gps = durable(gps_candidates(spark, tables, columns, land, cells_per_degree))
     except Exception as e:  # a failing coordinate test costs the coordinates, not the run
         gps = local_relation(spark, [], CANDIDATES)
-        issues = local_relation(
-            spark, [(d, "ERROR", f"coordinate test failed: {e}") for d in {t.dataset_id for t in tables}], ISSUES)
+        issues = issues.unionByName(local_relation(
+            spark, [(d, "ERROR", f"coordinate test failed: {e}") for d in {t.dataset_id for t in tables}], ISSUES))
     screened = apply_cascade(columns, open_category_stats(spark, tables, columns), gps)
     rows = [tuple(r) for r in screened.collect()]    # one per column, like the schemas
     screened = local_relation(spark, rows, screened.schema)
@@ -134,10 +136,11 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
         results = copy_to_duplicates(results, files)
 
     base = local_relation(spark, [(d,) for d in sorted({t.dataset_id for t in tables})], "dataset_id string")
+    results = durable(results)
     parts = [column_counts(screened), result_counts(results), issue_counts(issues)]
     if files is not None:
         parts.insert(0, file_counts(files))
-        base = base.unionByName(files.select("dataset_id")).distinct()
+        base = base.unionByName(files.select("dataset_id").distinct()).distinct()
     run = dataset_summary(base, *parts)
     if attempts is not None:
         asked = prompts.join(screened.select("col_id", "dataset_id"), "col_id").select("prompt_id", "dataset_id").distinct()

@@ -1,0 +1,115 @@
+"""Archive members as rows: nested archives are opened round by round.
+
+One archive is one row and one call; Spark spreads the archives over tasks.
+"""
+
+from __future__ import annotations
+
+import bz2  # noqa: F401  (tarfile needs it for .tar.bz2)
+import gzip
+import io
+import posixpath
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from .. import rules
+from ..functions import paths
+from ..plans.durable import durable
+
+MEMBERS = "archive string, path string, content binary, problem string"
+ARCHIVE_ENDINGS = (".tar.gz", ".tar.bz2", ".tgz", ".tar", ".zip", ".gz", ".rar", ".7z")
+
+
+def member_folder(path: str, kind: str) -> str:
+    """Folder the members go to: next to the archive, named after it and its kind."""
+    folder, name = posixpath.split(path)
+    ending = next((e for e in ARCHIVE_ENDINGS if name.lower().endswith(e)), "")
+    return posixpath.join(folder, f"{name[:len(name) - len(ending)]}-{kind}")
+
+
+def safe_name(name: str) -> str:
+    """Member path without leading slashes and parent steps."""
+    return "/".join(p for p in name.replace("\\", "/").split("/") if p not in ("", ".", ".."))
+
+
+def _zip_members(data: bytes) -> Iterator[tuple[str, object]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for info in z.infolist():
+            if not info.is_dir():
+                yield info.filename, lambda i=info: z.read(i)
+
+
+def _tar_members(data: bytes) -> Iterator[tuple[str, object]]:
+    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
+        for info in t:
+            if info.isfile() or info.islnk():
+                yield info.name, lambda i=info: t.extractfile(i).read()
+
+
+def open_archive(path: str, kind: str, data: bytes) -> Iterator[tuple]:
+    """Rows of one archive; a bad member or a bad archive becomes a row with a problem."""
+    folder = member_folder(path, kind)
+    try:
+        if kind == "gz":
+            name = posixpath.basename(path)
+            yield path, f"{folder}/{name[:-3] if name.endswith('.gz') else name}", gzip.decompress(data), None
+            return
+        if kind not in ("zip", "tar"):
+            yield path, None, None, f"{kind} archives are not opened; unpack by hand or change the format"
+            return
+        for name, read in (_zip_members if kind == "zip" else _tar_members)(data):
+            if any(c in name for c in "\r\n\0"):
+                yield path, None, None, f"member with an invalid name left out: {name!r}"
+                continue
+            try:
+                yield path, f"{folder}/{safe_name(name)}", read(), None
+            except Exception as e:
+                yield path, None, None, f"member {name!r} could not be read: {e}"
+    except Exception as e:
+        yield path, None, None, f"archive could not be opened: {e}"
+
+
+def _open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            for member in open_archive(row.path, row.kind, row.content):
+                yield pd.DataFrame([member], columns=["archive", "path", "content", "problem"])
+
+
+def open_round(archives: DataFrame) -> DataFrame:
+    """Members of the given archives (path, content), one level deep."""
+    kinded = archives.select("path", paths.archive_kind(F.col("path")).alias("kind"), "content")
+    return kinded.mapInPandas(_open_all, MEMBERS)
+
+
+def expand(files: DataFrame, rounds: int = rules.ARCHIVE_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Files and archive members without junk: ((path, content), problems).
+
+    Each round is kept in the shared folder before the next one reads it. An
+    archive that is itself a member and cannot be opened stays as a file; so do
+    archives below the deepest round, with a problem row.
+    """
+    is_archive = paths.archive_kind(F.col("path")).isNotNull()
+    kept = files.filter(~is_archive & ~paths.is_junk(F.col("path"))).select("path", "content")
+    archives = files.filter(is_archive & ~paths.is_junk(F.col("path"))).select("path", "content")
+    problems = None
+    for level in range(rounds):
+        opened = durable(open_round(archives))
+        failed = opened.filter("problem is not null").select("archive", "problem")
+        problems = failed if problems is None else problems.unionByName(failed)
+        if level > 0:
+            unopened = opened.groupBy("archive").agg(F.count("path").alias("n")).filter("n = 0").select(
+                F.col("archive").alias("path"))
+            kept = kept.unionByName(archives.join(unopened, "path", "left_semi"))
+        members = opened.filter(F.col("path").isNotNull() & ~paths.is_junk(F.col("path"))).select("path", "content")
+        kept = kept.unionByName(members.filter(~is_archive))
+        archives = members.filter(is_archive)
+        if archives.isEmpty():
+            return kept, problems
+    deep = archives.select(F.col("path").alias("archive"),
+                           F.lit(f"nested deeper than {rounds} rounds, not opened").alias("problem"))
+    return kept.unionByName(archives), problems.unionByName(deep)

@@ -9,6 +9,12 @@ from ..operators.duplicates import content_digest, with_primary
 from ..plans.durable import durable
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with scheme and authority, as file listings show it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, modificationTime and content below folder; unused columns are never read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
@@ -16,7 +22,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def inventory(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
     """Files of one package without junk, with relative paths and how each would be read."""
-    rel = paths.relative_to(F.col("path"), F.lit(folder))
+    rel = paths.relative_to(F.col("path"), F.lit(qualified(spark, folder)))
     return (list_files(spark, folder)
             .select(F.lit(dataset_id).alias("dataset_id"), F.col("path").alias("full_path"),
                     rel.alias("path"), "length")
@@ -27,7 +33,7 @@ def inventory(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
 
 def hashed_inventory(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
     """The inventory with content digests and primary paths; contents are read once."""
-    rel = paths.relative_to(F.col("path"), F.lit(folder))
+    rel = paths.relative_to(F.col("path"), F.lit(qualified(spark, folder)))
     hashed = (list_files(spark, folder)
               .select(F.lit(dataset_id).alias("dataset_id"), F.col("path").alias("full_path"),
                       rel.alias("path"), "length", content_digest(F.col("content")).alias("digest"))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from .. import rules
-from ..functions import paths
 from .tables import Table
 
 
 def file_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, line_no, line) of the first block of each file, lines kept as raw bytes in a string."""
+    """(path, line_no, line) of the first block of each file; path is bare, without scheme or escapes."""
+    uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return (spark.read.text(files).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.regexp_replace(F.url_decode(uri), "^[a-z0-9]+:/+", "/").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
         .filter("start = 0").drop("start"))
 
@@ -60,6 +60,29 @@ def check_encodings(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.when(ok, "UTF-8").otherwise("windows-1252").alias("encoding"))
 
 
+# What bytes 0x80 to 0x9f mean in windows-1252, where they mean anything.
+C1_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+C1_LATIN = "".join(chr(b) for b in C1_BYTES)
+C1_WINDOWS = bytes(C1_BYTES).decode("cp1252")
+
+
+def from_latin(text: Column) -> Column:
+    """Text that was decoded as ISO-8859-1, as windows-1252."""
+    return F.translate(text, C1_LATIN, C1_WINDOWS)
+
+
+def decode_text(content: Column) -> Column:
+    """Bytes as text: UTF-8 where valid, windows-1252 otherwise."""
+    as_utf8 = content.cast("string")
+    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(from_latin(F.decode(content, "ISO-8859-1")))
+
+
+def member_lines(members: DataFrame) -> DataFrame:
+    """(path, line_no, line) of (path, content) rows, such as archive members."""
+    lines = F.split(decode_text(F.col("content")), "\r\n|\n|\r")
+    return members.select("path", F.posexplode(lines).alias("line_no", "line"))
+
+
 def null_missing(df: DataFrame) -> DataFrame:
     """Missing-value markers of text files read as missing, before types are decided."""
     return df.select(*[
@@ -103,11 +126,14 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
                    max_rows: int | None = None, skip_bad_lines: bool = False, **table_args) -> Table:
     """A delimited text file as a typed table. skip_bad_lines drops lines with too many fields."""
-    reader = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
+    reader = (spark.read.option("header", True).option("sep", delimiter)
               .option("quote", '"').option("escape", '"').option("multiLine", True)
               .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
               .option("inferSchema", False))
-    df = reader.csv(path)
+    latin = encoding.lower() == "windows-1252"
+    df = reader.option("encoding", "ISO-8859-1" if latin else encoding).csv(path)
+    if latin:
+        df = df.select(*[from_latin(F.col(f"`{c}`")).alias(c) for c in df.columns])
     if max_rows is not None:
         df = df.limit(max_rows)
     table_args.setdefault("file", path)
@@ -125,11 +151,3 @@ def rows_of_lines(lines: DataFrame, delimiter: str) -> DataFrame:
     names = [n or f"_c{i}" for i, n in enumerate(head.select("h.*").first())]
     body = lines.filter((F.col("line_no") > first.line_no) & (F.length("line") > 0))
     return body.select(parsed(F.col("line"), width).alias("r")).select("r.*").toDF(*names)
-
-
-def load_status(path: Column, delimiter: Column) -> Column:
-    """loaded, skipped or unsupported, by file ending and detected delimiter."""
-    kind = paths.load_kind(path)
-    return (
-        F.when(kind == "sniffed", F.when(delimiter.isNull(), "skipped").otherwise("loaded"))
-        .when(kind.isNotNull(), "loaded").otherwise("skipped"))
