@@ -58,13 +58,19 @@ def build_prompts(columns: DataFrame, tabulations: DataFrame) -> DataFrame:
 
 def ask(prompts: DataFrame, responder: Responder, attempt: int) -> DataFrame:
     """One round of calls in the Python workers, a batch of prompts at a time."""
+    def alone(prompt: str) -> object:
+        try:
+            return next(iter(responder([prompt])))
+        except Exception:  # one failed attempt of this prompt
+            return None
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             asked = batch["prompt"].tolist()
             try:
                 given = list(responder(asked))
-            except Exception:  # a failed batch counts as one failed attempt of each prompt
-                given = [None] * len(asked)
+            except Exception:  # one prompt may spoil a batch; the others still get their answer
+                given = [alone(p) for p in asked]
             rows = []
             for prompt_id, answer in zip(batch["prompt_id"], given):
                 full = answer if isinstance(answer, tuple) else (answer, 0, 0, 0.0)
