@@ -27,7 +27,8 @@ def has_web(text: Column) -> Column:
 
 def has_long_digits(text: Column) -> Column:
     """At least nine digits in one run of digits, dashes and white space."""
-    return F.regexp_replace(text, rules.DIGIT_GAPS, " ").rlike(rules.LONG_DIGITS)
+    return text.rlike(rules.NINE_DIGITS) & F.regexp_replace(
+        text, rules.DIGIT_GAPS, " ").rlike(rules.LONG_DIGITS)
 
 
 PATTERN_TESTS = {"email": has_email, "web": has_web, "long_digit": has_long_digits}

@@ -76,7 +76,8 @@ def pair_completeness(tables: list[Table], pairs: list[Pair]) -> DataFrame:
                 F.lit(p.pair_id).alias("pair_id"),
                 F.count_if(a.isNotNull() | b.isNotNull()).alias("n_either"),
                 F.count_if(a.isNotNull() & b.isNotNull()).alias("n_both")))
-        parts.append(table.positional().agg(F.array(*structs).alias("pairs")).select(F.inline("pairs")))
+        used = [i for p in own for i in (p.a_idx, p.b_idx)]
+        parts.append(table.cells(used).agg(F.array(*structs).alias("pairs")).select(F.inline("pairs")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -145,38 +146,33 @@ def orient(points: DataFrame) -> DataFrame:
         "pair_id", "a_is_lat", "point_id", "lat", "lon")
 
 
-def land_hits(oriented: DataFrame, land: DataFrame, cells_per_degree: int = 1) -> DataFrame:
-    """Points that are on land themselves or within the buffer, in eight directions.
+def land_shares(points: DataFrame, land: DataFrame, cells_per_degree: int = 1) -> DataFrame:
+    """(pair_id, a_is_lat, share, n); orientations with a latitude beyond 90 are dropped.
 
-    An equi-join on the latitude row with a range test on longitude. Points are
-    few (a bounded sample); Spark broadcasts whichever side it measures as small.
+    A point counts if it or one of eight points around it is on land: an equi-join
+    on the latitude row with a range test on longitude. Points are few (a bounded
+    sample); Spark broadcasts whichever side it measures as small.
     """
-    step = F.array(*[F.lit(d) for d in (-rules.GPS_BUFFER, 0.0, rules.GPS_BUFFER)])
-    spread = (oriented.filter(F.col("lat") >= rules.GPS_SOUTH_LIMIT)
-              .withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step)))
+    oriented = orient(points)
 
     def cell(x: Column, limit: int) -> Column:
         clipped = F.greatest(F.least(x, F.lit(float(limit))), F.lit(float(-limit)))
         idx = F.floor((clipped + limit) * cells_per_degree).cast("int")
         return F.least(idx, F.lit(2 * limit * cells_per_degree - 1))
 
-    spread = spread.select("pair_id", "a_is_lat", "point_id",
-                           cell(F.col("lat") + F.col("dy"), 90).alias("lat_idx"),
-                           cell(F.col("lon") + F.col("dx"), 180).alias("lon_idx")).distinct()
-    on_land = (spread.lat_idx == land.lat_idx) & spread.lon_idx.between(land.lon_start, land.lon_end)
-    return spread.join(land, on_land, "left_semi").select("pair_id", "a_is_lat", "point_id").distinct()
-
-
-def land_shares(points: DataFrame, land: DataFrame, cells_per_degree: int = 1) -> DataFrame:
-    """(pair_id, a_is_lat, share, n); orientations with a latitude beyond 90 are dropped."""
-    oriented = orient(points)
-    ways = (oriented.groupBy("pair_id", "a_is_lat")
-            .agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("max_lat"))
-            .filter("max_lat <= 90"))
-    hits = (land_hits(oriented, land, cells_per_degree)
-            .groupBy("pair_id", "a_is_lat").agg(F.count(F.lit(1)).alias("hits")))
-    return ways.join(hits, ["pair_id", "a_is_lat"], "left").select(
-        "pair_id", "a_is_lat", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("share"), "n")
+    step = F.array(*[F.lit(d) for d in (-rules.GPS_BUFFER, 0.0, rules.GPS_BUFFER)])
+    around = (oriented.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
+              .select("pair_id", "a_is_lat", "point_id", "lat",
+                      cell(F.col("lat") + F.col("dy"), 90).alias("y"),
+                      cell(F.col("lon") + F.col("dx"), 180).alias("x")))
+    on_land = (around.y == land.lat_idx) & around.x.between(land.lon_start, land.lon_end)
+    judged = (around.join(land, on_land, "left").groupBy("pair_id", "a_is_lat", "point_id", "lat")
+              .agg(F.max(F.col("lat_idx").isNotNull()).alias("hit")))
+    counted = F.col("hit") & (F.col("lat") >= rules.GPS_SOUTH_LIMIT)
+    ways = judged.groupBy("pair_id", "a_is_lat").agg(
+        F.count_if(counted).alias("hits"), F.count(F.lit(1)).alias("n"), F.max(F.abs("lat")).alias("max_lat"))
+    return ways.filter("max_lat <= 90").select(
+        "pair_id", "a_is_lat", (F.col("hits") / F.col("n")).alias("share"), "n")
 
 
 def best_orientations(shares: DataFrame) -> DataFrame:
@@ -224,7 +220,9 @@ def gps_candidates(spark: SparkSession, tables: list[Table], columns: DataFrame,
     if not pairs:
         return nothing
     points = sample_points(tables, pairs, both)
-    good = best_orientations(land_shares(points, land, cells_per_degree))
+    shares = land_shares(points, land, cells_per_degree)
+    shares = local_relation(spark, [tuple(r) for r in shares.collect()], shares.schema)   # two rows per pair
+    good = best_orientations(shares)
     ids = local_relation(spark, [(p.pair_id, p.a_id, p.b_id) for p in pairs],
                          "pair_id int, a_id int, b_id int")
     return best_partners(good.join(ids, "pair_id"), columns)

@@ -66,20 +66,25 @@ def _numeric_sql(c: str, dtype: T.DataType) -> dict[str, str]:
         return {"n_nonnull": f"count({c})", "max_abs": hi, "max_text": hi,
                 "has_frac": "false", "gps_precise": "false"}
     x = c if isinstance(dtype, T.DecimalType) else f"(CASE WHEN NOT isnan({c}) THEN double({c}) END)"
-    sentinels = ", ".join(f"{s}D" for s in rules.GPS_SENTINELS)
-    g = f"(CASE WHEN double({x}) NOT IN ({sentinels}) THEN double({x}) END)"
+    d = f"double({x})"
+    codes = ", ".join(f"{c}D" for c in sorted({abs(c) for c in rules.GPS_SENTINELS}))
+    g = f"(CASE WHEN abs({d}) NOT IN ({codes}) THEN {d} END)"
+    scale = float(10 ** rules.GPS_KEPT_DECIMALS)
     return {
         "n_nonnull": f"count({x})",
         "max_abs": f"max(abs({x}))",
         "max_text": f"max(abs({x}))" if isinstance(dtype, T.DecimalType) else "null",
-        "has_frac": f"coalesce(bool_or({x} % 1 <> 0), false)",
+        # infinity less itself is NaN, which differs from 0 and so counts as a fraction
+        "has_frac": f"coalesce(bool_or({d} - rint({d}) <> 0), false)",
         "gps_max": f"max(abs({g}))",
-        "gps_precise": f"coalesce(bool_or({g} <> round({g}, {rules.GPS_KEPT_DECIMALS})), false)",
+        # below GPS_MAX_ABS this is exact: only the double nearest to a short decimal comes back unchanged
+        "gps_precise": f"coalesce(bool_or(rint({g} * {scale}D) / {scale}D <> {g}), false)",
     }
 
 
 def _string_sql(c: str) -> dict[str, str]:
-    shaped = f"{c} RLIKE r'{rules.IP_SHAPE}'"
+    # a text shorter than a pattern's least match needs no regex
+    shaped = f"octet_length({c}) >= 7 AND {c} RLIKE r'{rules.IP_SHAPE}'"
     valid = f"{shaped} AND {c} RLIKE r'{rules.IP_VALID}'"
     return {
         "n_nonnull": f"count({c})",
@@ -87,8 +92,8 @@ def _string_sql(c: str) -> dict[str, str]:
         "sum_len": f"sum(char_length({c}))",
         "seen_bits": f"bit_or(CASE WHEN {c} IS NOT NULL"
                      f" THEN shiftleft(1L, cast(pmod(xxhash64({c}), 64) AS int)) END)",
-        "prolific_n": f"count_if({c} RLIKE r'{rules.PROLIFIC_ID}')",
-        "mturk_n": f"count_if({c} RLIKE r'{rules.MTURK_ID}')",
+        "prolific_n": f"count_if(octet_length({c}) >= 24 AND {c} RLIKE r'{rules.PROLIFIC_ID}')",
+        "mturk_n": f"count_if(octet_length({c}) >= 10 AND {c} RLIKE r'{rules.MTURK_ID}')",
         "ip_loose_n": f"count_if({shaped})",
         "ip_strict_n": f"count_if({valid})",
         "ip_public_n": f"count_if({valid} AND NOT {c} RLIKE r'{rules.IP_PRIVATE}')",
@@ -110,21 +115,20 @@ def _column_sql(ref: ColumnRef, dtype: T.DataType) -> str:
     return f"named_struct({', '.join(fields)})"
 
 
-def profile_table(table: Table, refs: list[ColumnRef], columns_per_pass: int = 60) -> DataFrame:
+def profile_table(table: Table, refs: list[ColumnRef], columns_per_pass: int = 30) -> DataFrame:
     """One row per column. Wide tables take several narrow scans, so that the
     generated aggregation code stays within the JVM's method limit."""
-    source = table.positional()
     fields = table.df.schema.fields
     passes = []
     for start in range(0, len(refs), columns_per_pass):
         part = refs[start:start + columns_per_pass]
         structs = ", ".join(_column_sql(r, fields[r.col_idx].dataType) for r in part)
-        wide = source.agg(F.expr(f"array({structs})").alias("cols"))
+        wide = table.cells(r.col_idx for r in part).agg(F.expr(f"array({structs})").alias("cols"))
         passes.append(wide.select(F.inline("cols")))
     return reduce(DataFrame.unionByName, passes)
 
 
-def profile_tables(tables: list[Table], columns_per_pass: int = 60) -> DataFrame:
+def profile_tables(tables: list[Table], columns_per_pass: int = 30) -> DataFrame:
     """Profiles of all columns of all tables as one job, keyed by col_id."""
     refs = catalog(tables)
     parts = []

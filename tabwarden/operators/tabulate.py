@@ -144,7 +144,9 @@ def tabulate(counts: DataFrame, n_rows: DataFrame, seed: str = "0") -> DataFrame
     n_rows: (col_id, n_rows); shares are of all rows, missing cells included.
     """
     picked = _resolved(ranked_lists(counts, seed))
-    sizes = counts.groupBy("col_id").agg(F.count(F.lit(1)).alias("n_unique"))
+    # reading cnt keeps this branch's shuffle equal to the one above, which is then run only once
+    sizes = (counts.groupBy("col_id").agg(F.count(F.lit(1)).alias("n_unique"), F.sum("cnt").alias("n_values"))
+             .filter("n_values > 0").drop("n_values"))
     common_first = lambda name: F.array_sort(F.col(name), lambda l, r: (
         F.when(l.cnt > r.cnt, -1).when(l.cnt < r.cnt, 1)
         .when(l.digest < r.digest, -1).when(l.digest > r.digest, 1).otherwise(0)))

@@ -19,7 +19,7 @@ def column_text(table: Table, ref: ColumnRef) -> Column:
 
 def melt(table: Table, refs: list[ColumnRef]) -> DataFrame:
     """(col_id, value) for every cell of the given columns; missing cells stay null."""
-    wide = table.positional().select(*[column_text(table, r).alias(str(r.col_id)) for r in refs])
+    wide = table.cells((r.col_idx for r in refs), heavy=True).select(*[column_text(table, r).alias(str(r.col_id)) for r in refs])
     long = wide.unpivot([], wide.columns, "col_id", "value")
     return long.select(F.col("col_id").cast("int").alias("col_id"), "value")
 

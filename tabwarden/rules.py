@@ -58,6 +58,7 @@ CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 EMAIL = rf"[{WORD}.+-]@[{WORD}-]+\.[a-zA-Z][a-zA-Z]"
 WEB = rf"([hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)[^{WS}]"
 # The digit test runs after every run of dashes and white space became one blank.
+NINE_DIGITS = rf"(\p{{Nd}}[-{WS}]*){{9}}"         # quick test that rules most texts out
 DIGIT_GAPS = rf"[-{WS}]+"
 LONG_DIGITS = rf"(^|[^{WORD}.])\p{{Nd}}( ?\p{{Nd}}){{8}}\p{{Nd}}*($|[^{WORD}.])"
 PROLIFIC_ID = rf"^[{WS}]*[0-9a-fA-F]{{24}}[{WS}]*$"

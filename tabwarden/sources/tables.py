@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from ..plans.spread import spread
+
 
 @dataclass(frozen=True)
 class Table:
@@ -23,6 +25,12 @@ class Table:
         """The table with columns c0, c1, ...: names may repeat or hold any character."""
         return self.df.toDF(*[f"c{i}" for i in range(len(self.df.columns))])
 
+    def cells(self, indexes: Iterable[int], heavy: bool = False) -> DataFrame:
+        """Only the given columns, as c<index>; dealt out to all cores if the table is
+        small and the work per row is heavy enough to pay for it."""
+        chosen = self.positional().select(*[f"c{i}" for i in sorted(set(indexes))])
+        return spread(chosen) if heavy else chosen
+
     def field(self, idx: int) -> T.StructField:
         return self.df.schema.fields[idx]
 
