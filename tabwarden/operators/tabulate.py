@@ -11,14 +11,16 @@ all distinct values sends a few rows per task and no more.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from .. import rules
 from ..functions import text
 from ..plans.durable import durable
 from ..sources.tables import ColumnRef, Table
-from .values import melt_all
+from .values import melt_all, melt_typed, value_counts
 
 # Each list keeps as many values as earlier lists could take away from it, and its own.
 RESERVED = len(rules.PATTERN_KINDS) * rules.MAX_PER_PATTERN
@@ -54,12 +56,22 @@ def clean_counts(long: DataFrame) -> DataFrame:
             .select("col_id", F.md5(v).alias("digest"), *_traits(v), "cnt", "value"))
 
 
-def clean_counts_of(counts: DataFrame) -> DataFrame:
-    """The same from kept value counts."""
+def with_traits(counts: DataFrame) -> DataFrame:
+    """Digest, length and pattern flags of counted values that need no cleaning."""
     v = F.col("value")
-    return (counts.select("col_id", text.strip_controls(v).alias("value"), "cnt")
-            .groupBy("col_id", "value").agg(F.sum("cnt").alias("cnt"))
-            .select("col_id", F.md5(v).alias("digest"), *_traits(v), "cnt", "value"))
+    return counts.select("col_id", F.md5(v).alias("digest"), *_traits(v), "cnt", "value")
+
+
+def count_candidates(tables: list[Table], refs: list[ColumnRef]) -> DataFrame:
+    """Counts with traits of the given columns, each counted in its own type."""
+    parts = []
+    for dtype, long in melt_typed(tables, refs).items():
+        if isinstance(dtype, T.StringType):
+            parts.append(clean_counts(long))
+        else:
+            parts.append(with_traits(value_counts(long).select(
+                "col_id", text.as_text(F.col("value"), dtype).alias("value"), "cnt")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def digest_counts(long: DataFrame) -> DataFrame:
@@ -191,11 +203,11 @@ def fetch_texts(shown: DataFrame, long: DataFrame) -> DataFrame:
 def tabulate_columns(tables: list[Table], refs: list[ColumnRef], n_rows: DataFrame,
                      mean_len: dict[int, float], seed: str = "0") -> DataFrame:
     """Samples of the given columns: short values by text, long texts by digest."""
-    long_refs = [r for r in refs if mean_len.get(r.col_id, 0) > LONG_TEXT_MEAN]
+    long_refs = [r for r in refs if r.kind == "other" or mean_len.get(r.col_id, 0) > LONG_TEXT_MEAN]
     short_refs = [r for r in refs if r not in long_refs]
     shown = None
     if short_refs:
-        shown = tabulate(clean_counts(melt_all(tables, short_refs)), n_rows, seed)
+        shown = tabulate(count_candidates(tables, short_refs), n_rows, seed)
     if long_refs:
         cells = melt_all(tables, long_refs)
         fetched = fetch_texts(tabulate(digest_counts(cells), n_rows, seed), cells)

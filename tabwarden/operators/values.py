@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import rules
 from ..functions import text
@@ -25,11 +25,55 @@ def melt(table: Table, refs: list[ColumnRef]) -> DataFrame:
 
 
 def melt_all(tables: list[Table], refs: list[ColumnRef]) -> DataFrame:
+    return _each_table(tables, refs, melt)
+
+
+def _each_table(tables, refs, one) -> DataFrame:
     parts = []
     for table_id, table in enumerate(tables):
         own = [r for r in refs if r.table_id == table_id]
         if own:
-            parts.append(melt(table, own))
+            parts.append(one(table, own))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def count_type(dtype: T.DataType) -> T.DataType:
+    """The type a column is counted in: numbers and times as they are, all else as text."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return T.LongType()
+    if isinstance(dtype, (T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return dtype
+    return T.StringType()
+
+
+def melt_typed(tables: list[Table], refs: list[ColumnRef]) -> dict[T.DataType, DataFrame]:
+    """(col_id, value) per counting type: fixed-width values are hashed, compared and
+    shuffled far cheaper than their text."""
+    by_type: dict[T.DataType, list[ColumnRef]] = {}
+    for r in refs:
+        by_type.setdefault(count_type(tables[r.table_id].field(r.col_idx).dataType), []).append(r)
+
+    def melt_as(dtype: T.DataType):
+        def one(table: Table, own: list[ColumnRef]) -> DataFrame:
+            def cell(r: ColumnRef) -> Column:
+                c = F.col(f"c{r.col_idx}")
+                if isinstance(dtype, T.DoubleType):
+                    c = F.when(~F.isnan(c), c)
+                return c.cast(dtype).alias(str(r.col_id))
+
+            wide = table.cells((r.col_idx for r in own), heavy=True).select(*[cell(r) for r in own])
+            long = wide.unpivot([], wide.columns, "col_id", "value")
+            return long.select(F.col("col_id").cast("int").alias("col_id"), "value")
+        return one
+
+    return {dtype: melt_all(tables, own) if isinstance(dtype, T.StringType)
+            else _each_table(tables, own, melt_as(dtype)) for dtype, own in by_type.items()}
+
+
+def count_columns(tables: list[Table], refs: list[ColumnRef]) -> DataFrame:
+    """Value counts of the given columns, with values as text."""
+    parts = [value_counts(long).select("col_id", text.as_text(F.col("value"), dtype).alias("value"), "cnt")
+             for dtype, long in melt_typed(tables, refs).items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -45,7 +45,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> list[Table]:
 # --- profiles and the cascade -----------------------------------------------
 
 def _full_profile(spark: SparkSession, tables: list[Table]) -> DataFrame:
-    stats = values.distinct_stats(values.value_counts(values.melt_all(tables, catalog(tables))))
+    stats = values.distinct_stats(values.count_columns(tables, catalog(tables)))
     return (profiled_columns(spark, tables).join(stats, "col_id", "left")
             .select("col_idx", "col_name", "n_rows", "n_nonnull", "max_abs", "has_frac", "max_len",
                     F.coalesce("n_unique", F.lit(0).cast("bigint")).alias("n_unique"), "min_count"))
@@ -113,7 +113,7 @@ def value_counts_segment(spark, sf_dir):
 @query
 def value_counts_orders(spark, sf_dir):
     tables = [driver_table(spark, sf_dir, "orders")]
-    return _with_names(spark, tables, values.value_counts(values.melt_all(tables, catalog(tables))))
+    return _with_names(spark, tables, values.count_columns(tables, catalog(tables)))
 
 
 # --- value samples -------------------------------------------------------------
