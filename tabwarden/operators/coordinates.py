@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -85,14 +86,26 @@ def is_complete(n_either: Column, n_both: Column) -> Column:
     return (n_both > 0) & (F.try_divide(n_either - n_both, n_either) <= rules.GPS_MAX_ONE_SIDED)
 
 
-def sample_order(table: Table) -> Column:
-    """Reproducible random order of rows: digest of the row key, or of the whole row."""
+def with_sample_order(table: Table, indexes: list[int]) -> DataFrame:
+    """The given columns plus k, a reproducible random order of the rows.
+
+    k is the digest of the row key; without one, of the row's place in its Parquet
+    file; for other sources, of the whole row, in which case equal rows stay together.
+    """
+    rows = table.positional()
+    chosen = [f"c{i}" for i in sorted(set(indexes))]
+    names = table.df.columns
+
+    def keyed(*parts: Column) -> DataFrame:
+        texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+        return rows.select(*chosen, F.md5(F.concat_ws("|", *texts)).alias("k"))
+
     if table.row_key:
-        names = table.df.columns
-        parts = [F.col(f"c{names.index(k)}").cast("string") for k in table.row_key]
-    else:
-        parts = [F.xxhash64(*[F.col(f"c{i}") for i in range(len(table.df.columns))]).cast("string")]
-    return F.md5(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]))
+        return keyed(*[F.col(f"c{names.index(k)}") for k in table.row_key])
+    try:
+        return keyed(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    except AnalysisException:
+        return keyed(F.xxhash64(*[F.col(f"c{i}") for i in range(len(names))]))
 
 
 def digest_cutoff(n: int, wanted: int) -> str | None:
@@ -112,14 +125,19 @@ def sample_points(tables: list[Table], pairs: list[Pair], n_both: dict[int, int]
     """
     def sampled(chosen: list[Pair], cut: bool) -> DataFrame:
         parts = []
-        for p in chosen:
-            table = tables[p.table_id]
-            a, b = _pair_values(table, p)
-            rows = table.positional().select(
-                F.lit(p.pair_id).alias("pair_id"), sample_order(table).alias("k"),
-                a.alias("a"), b.alias("b")).filter("a is not null and b is not null")
-            limit = digest_cutoff(n_both[p.pair_id], wanted) if cut else None
-            parts.append(rows.filter(F.col("k") < limit) if limit else rows)
+        for table_id in sorted({p.table_id for p in chosen}):
+            table = tables[table_id]
+            own = [p for p in chosen if p.table_id == table_id]
+            rows = with_sample_order(table, [i for p in own for i in (p.a_idx, p.b_idx)])
+            cutoffs = [digest_cutoff(n_both[p.pair_id], wanted) if cut else None for p in own]
+            if None not in cutoffs:
+                rows = rows.filter(F.col("k") < max(cutoffs))    # before the pairs multiply the rows
+            pair_rows = []
+            for p in own:
+                a, b = _pair_values(table, p)
+                pair_rows.append(F.struct(F.lit(p.pair_id).alias("pair_id"), a.alias("a"), b.alias("b")))
+            parts.append(rows.select("k", F.inline(F.array(*pair_rows)))
+                         .filter("a is not null and b is not null"))
         first = Window.partitionBy("pair_id").orderBy("k", "a", "b")
         return (reduce(DataFrame.unionByName, parts)
                 .withColumn("point_id", F.row_number().over(first))

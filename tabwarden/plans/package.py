@@ -80,9 +80,10 @@ def _read_tables(spark, dataset_id, to_read, members, labels):
     dialects: dict[str, tuple] = {}
     if plain:
         lines = text_tables.file_lines(spark, [r.full_path for r in plain])
-        checked = (text_tables.check_encodings(lines)
-                   .join(text_tables.detect_delimiters(lines), "path", "left")).collect()   # one row per file
-        dialects |= {by_path[r.path]: (r.delimiter, r.encoding) for r in checked}
+        heads = lines.filter("in_head")
+        checked = (text_tables.open_quotes(lines).join(text_tables.check_encodings(heads), "path")
+                   .join(text_tables.detect_delimiters(heads), "path", "left")).collect()   # one row per file
+        dialects |= {by_path[r.path]: (r.delimiter, r.encoding, r.multi_line) for r in checked}
     lines_of = None
     if packed:
         chosen = local_relation(spark, [(p,) for p in packed], "path string")
@@ -91,7 +92,7 @@ def _read_tables(spark, dataset_id, to_read, members, labels):
         encodings = text_tables.invalid_utf8(held).select(
             "path", F.when(F.col("is_utf8"), "UTF-8").otherwise("windows-1252").alias("encoding"))
         checked = encodings.join(text_tables.detect_delimiters(lines_of), "path", "left").collect()
-        dialects |= {r.path: (r.delimiter, r.encoding) for r in checked}
+        dialects |= {r.path: (r.delimiter, r.encoding, False) for r in checked}
 
     for r in to_read:
         args = {"file": r.path, "dataset_id": dataset_id, "labels": labels.get(r.path, {})}
@@ -102,7 +103,7 @@ def _read_tables(spark, dataset_id, to_read, members, labels):
                     continue
                 tables.append(read_table(spark, r.full_path, r.path.rsplit(".", 1)[1].lower(), **args))
                 continue
-            delimiter, encoding = dialects.get(r.path, (None, "UTF-8"))
+            delimiter, encoding, multi_line = dialects.get(r.path, (None, "UTF-8", False))
             if encoding != "UTF-8":
                 notes.append(("WARNING", f"{r.path}: not UTF-8, read as {encoding}"))
             if r.kind == "sniffed" and delimiter is None:
@@ -113,7 +114,8 @@ def _read_tables(spark, dataset_id, to_read, members, labels):
                 notes.append(("WARNING", f"{r.path}: no delimiter found, read with commas"))
                 delimiter = ","
             if r.full_path:
-                tables.append(text_tables.read_delimited(spark, r.full_path, delimiter, encoding, **args))
+                tables.append(text_tables.read_delimited(spark, r.full_path, delimiter, encoding,
+                                                         multi_line=multi_line, **args))
             else:
                 rows = text_tables.rows_of_lines(lines_of.filter(F.col("path") == r.path), delimiter)
                 tables.append(Table(text_tables.infer_types(text_tables.null_missing(rows)), **args))

@@ -13,13 +13,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to more tasks before per-row work.
+def spread(df: DataFrame, size: int) -> DataFrame:
+    """Deal the rows of a small input out to more tasks before heavy per-row work.
 
     A single file with a single row group is one task however many cores there
     are. Inputs of unknown or large size stay as they are: nothing big is shuffled.
     """
-    size = estimated_bytes(df)
     if size > MAX_SPREAD_BYTES:
         return df
     tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // BYTES_PER_TASK)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ..plans.spread import spread
+from ..plans.spread import estimated_bytes, spread
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,11 @@ class Table:
         """Only the given columns, as c<index>; dealt out to all cores if the table is
         small and the work per row is heavy enough to pay for it."""
         chosen = self.positional().select(*[f"c{i}" for i in sorted(set(indexes))])
-        return spread(chosen) if heavy else chosen
+        return spread(chosen, self.estimated_bytes) if heavy else chosen
+
+    @cached_property
+    def estimated_bytes(self) -> int:
+        return estimated_bytes(self.df)
 
     def field(self, idx: int) -> T.StructField:
         return self.df.schema.fields[idx]

@@ -10,12 +10,22 @@ from .tables import Table
 
 
 def file_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, line_no, line) of the first block of each file; path is bare, without scheme or escapes."""
+    """(path, in_head, line_no, line); path is bare, without scheme or escapes, and
+    in_head marks the first block of a file, the only one whose line order is known."""
     uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return (spark.read.text(files).select(
-        F.regexp_replace(F.url_decode(uri), "^[a-z0-9]+:/+", "/").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+    return spark.read.text(files).select(
+        F.regexp_replace(F.url_decode(uri), "^[a-z0-9]+:/+", "/").alias("path"),
+        (F.col("_metadata.file_block_start") == 0).alias("in_head"),
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-        .filter("start = 0").drop("start"))
+
+
+def open_quotes(lines: DataFrame) -> DataFrame:
+    """(path, multi_line): whether some line leaves a quoted field open.
+
+    Only such files must be read whole by one task; all others can be split.
+    """
+    return lines.groupBy("path").agg(
+        F.bool_or(_occurrences(F.col("line"), '"') % 2 == 1).alias("multi_line"))
 
 
 def head_lines(lines: DataFrame) -> DataFrame:
@@ -124,11 +134,14 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
-                   max_rows: int | None = None, skip_bad_lines: bool = False, **table_args) -> Table:
+                   max_rows: int | None = None, skip_bad_lines: bool = False, multi_line: bool = False,
+                   **table_args) -> Table:
     """A delimited text file as a typed table. skip_bad_lines drops lines with too many fields."""
     reader = (spark.read.option("header", True).option("sep", delimiter)
-              .option("quote", '"').option("escape", '"').option("multiLine", True)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
               .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
+              # a line must be bad whichever columns a query reads
+              .option("columnPruning", not skip_bad_lines)
               .option("inferSchema", False))
     latin = encoding.lower() == "windows-1252"
     df = reader.option("encoding", "ISO-8859-1" if latin else encoding).csv(path)

@@ -118,3 +118,14 @@ def test_short_cut_is_sampled_again(spark, monkeypatch):
     pairs = geo.list_pairs(profiled_columns(spark, [table]))
     monkeypatch.setattr(geo, "digest_cutoff", lambda n, wanted: "0001")
     assert geo.sample_points([table], pairs, {pairs[0].pair_id: 30000}, wanted=300).count() == 300
+
+
+def test_sample_order_without_a_key(spark, tmp_path):
+    """Rows of Parquet files are told apart by their place, so copies of a row are separate draws."""
+    df = spark.range(400).selectExpr("double(id % 2) as a", "1.125D as b")
+    df.coalesce(1).write.parquet(str(tmp_path / "p"))
+    read = spark.read.parquet(str(tmp_path / "p"))
+    assert geo.with_sample_order(Table(read, "t"), [0]).select("k").distinct().count() == 400
+    assert geo.with_sample_order(Table(df, "t"), [0]).select("k").distinct().count() == 2
+    plan = geo.with_sample_order(Table(read, "t"), [0])._jdf.queryExecution().executedPlan().toString()
+    assert "b:double" not in plan

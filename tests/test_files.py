@@ -47,6 +47,7 @@ def package(tmp_path):
     (root / "c.txt").write_text("k;v\n\n1;a,b\n2;c\n")
     (root / "prose.txt").write_text("Dear reader,\nthis, that, and more.\nBye\n")
     (root / "d.dat").write_text("p|q\n1|2\n")
+    (root / "quoted.csv").write_text('k,text\n1,"two\nlines"\n2,"a ""b"""\n')
     (root / "latin.csv").write_bytes("city;n\nMálaga – x;1\n".encode("cp1252"))
     (root / "image.png").write_bytes(b"\x89PNG")
     (root / ".DS_Store").write_text("junk")
@@ -100,7 +101,8 @@ def test_package_tables(spark, package):
     pkg = load_package(spark, str(package), "d", labels={"a.csv": {"name": "Full name"}})
     tables = {t.file: t for t in pkg.tables}
     assert sorted(tables) == ["a.csv", "b.tsv", "c.txt", "d.dat", "latin.csv", "pack-zip/in/inner-zip/deep.csv",
-                              "pack-zip/in/inner-zip/up.csv", "tape-tar/t/one.csv"]
+                              "pack-zip/in/inner-zip/up.csv", "quoted.csv", "tape-tar/t/one.csv"]
+    assert [tuple(r) for r in tables["quoted.csv"].df.collect()] == [(1, "two\nlines"), (2, 'a "b"')]
     assert tables["a.csv"].df.dtypes == [("id", "bigint"), ("name", "string"), ("when", "string")]
     assert [tuple(r) for r in tables["a.csv"].df.orderBy("id").collect()] == [
         (1, "Ann Lee", "2020-01-01"), (2, None, None), (3, "Bob", "x")]
@@ -113,7 +115,7 @@ def test_package_tables(spark, package):
     assert rows["prose.txt"] == ("prose.txt", False) and rows["a.csv"] == ("a.csv", True)
     levels = sorted((r.level, r.message.split(":")[0]) for r in pkg.issues.collect())
     assert levels == [("ERROR", "broken.zip"), ("ERROR", "pack.zip"), ("WARNING", "latin.csv"),
-                      ("WARNING", "pack-zip/in/inner-zip/up.csv")]
+                      ("WARNING", "pack-zip/in/inner-zip/up.csv"), ("WARNING", "quoted.csv")]
 
 
 def test_dialects(spark):
@@ -162,7 +164,7 @@ def test_batch_resumes(spark, package, tmp_path):
     got = {r.package_path.rsplit("/", 1)[1]: r for r in done.collect()}
     assert got["empty"].status == rules.STATUS_NO_FILES and got["only_rar"].status == rules.STATUS_RAR
     one = got["study one"]
-    assert (one.status, one.n_data_files, one.n_duplicates, one.n_direct_pii, one.model) == ("done", 8, 2, 3, "m")
+    assert (one.status, one.n_data_files, one.n_duplicates, one.n_direct_pii, one.model) == ("done", 9, 2, 3, "m")
     assert spark.read.parquet(f"{tmp_path}/out/study one/results").filter("duplicate_of = 'a.csv'").count() == 4
 
     def never(path, out):
@@ -173,4 +175,4 @@ def test_batch_resumes(spark, package, tmp_path):
     assert not seen and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, done.collect()), key=repr)
     store.write(store.read().withColumn("status", F.when(F.col("status") == "done", "running").otherwise(F.col("status"))))
     failed = run_folder(spark, str(root), store, str(tmp_path / "out"), run_one=never)
-    assert len(seen) == 1 and failed.filter("status = 'error' and n_data_files = 8").count() == 1
+    assert len(seen) == 1 and failed.filter("status = 'error' and n_data_files = 9").count() == 1
