@@ -159,7 +159,9 @@ def profiled_columns(spark: SparkSession, tables: list[Table]) -> DataFrame:
     It has one row per column, like the schemas the driver already holds, and
     later steps choose from it which columns to read at all.
     """
-    profiles = {r.col_id: tuple(r)[1:] for r in profile_tables(tables).collect()}
+    profiles = {}
+    if catalog(tables):
+        profiles = {r.col_id: tuple(r)[1:] for r in profile_tables(tables).collect()}
     schema = T.StructType(COLUMN_SCHEMA.fields + PROFILE_SCHEMA.fields[1:])
     return with_precheck(local_relation(spark, [r + profiles[r[0]] for r in catalog_rows(tables)], schema))
 

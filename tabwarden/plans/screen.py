@@ -48,6 +48,25 @@ def screen_columns(spark: SparkSession, tables: list[Table], land: DataFrame | N
     return apply_cascade(columns, stats, gps)
 
 
+def readable_tables(spark: SparkSession, tables: list[Table]) -> tuple[list[Table], DataFrame, list[tuple]]:
+    """Tables that can be scanned, their profiled columns, and an issue per table that cannot.
+
+    All tables are profiled in one job; only if it fails is each tried alone, so
+    one damaged file costs its own table and not the run.
+    """
+    try:
+        return tables, profiled_columns(spark, tables), []
+    except Exception:
+        good, issues = [], []
+        for t in tables:
+            try:
+                profiled_columns(spark, [t])
+                good.append(t)
+            except Exception as e:
+                issues.append((t.dataset_id, "ERROR", f"{t.file}: could not be read: {str(e).splitlines()[0]}"))
+        return good, profiled_columns(spark, good), issues
+
+
 @dataclass(frozen=True)
 class ScreenResult:
     """Lazy outcome of one screening run; nothing is written until a sink asks."""
@@ -95,15 +114,20 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     file are copied onto its duplicates.
     """
     started = datetime.now(timezone.utc)
-    if issues is None:
-        issues = local_relation(spark, [], ISSUES)
-    columns = profiled_columns(spark, tables)
+    datasets = sorted({t.dataset_id for t in tables})
+    tables, columns, unread = readable_tables(spark, tables)
+    found = local_relation(spark, unread, ISSUES)
+    issues = found if issues is None else issues.unionByName(found)
+    if files is not None and unread:
+        kept = local_relation(spark, [(t.dataset_id, t.file) for t in tables], "dataset_id string, path string")
+        files = files.join(kept.withColumn("kept", F.lit(True)).distinct(), ["dataset_id", "path"], "left").withColumn(
+            "loaded", F.col("loaded") & F.coalesce("kept", F.lit(False))).drop("kept")
     try:
         gps = gps_candidates(spark, tables, columns, land, cells_per_degree)
     except Exception as e:  # a failing coordinate test costs the coordinates, not the run
         gps = local_relation(spark, [], CANDIDATES)
         issues = issues.unionByName(local_relation(
-            spark, [(d, "ERROR", f"coordinate test failed: {e}") for d in {t.dataset_id for t in tables}], ISSUES))
+            spark, [(d, "ERROR", f"coordinate test failed: {e}") for d in datasets], ISSUES))
     screened = apply_cascade(columns, open_category_stats(spark, tables, columns), gps)
     rows = [tuple(r) for r in screened.collect()]    # one per column, like the schemas
     screened = local_relation(spark, rows, screened.schema)
@@ -135,7 +159,7 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     if files is not None:
         results = copy_to_duplicates(results, files)
 
-    base = local_relation(spark, [(d,) for d in sorted({t.dataset_id for t in tables})], "dataset_id string")
+    base = local_relation(spark, [(d,) for d in datasets], "dataset_id string")
     results = durable(results)
     parts = [column_counts(screened), result_counts(results), issue_counts(issues)]
     if files is not None:

@@ -127,3 +127,34 @@ def test_whole_run(spark):
     assert (run.n_files_total, run.n_data_files, run.n_duplicates, run.n_files_not_loaded) == (3, 1, 1, 1)
     assert (run.n_columns_total, run.n_columns_candidate, run.n_columns_checked, run.n_direct_pii) == (6, 5, 5, 4)
     assert (run.n_warnings, run.n_errors, run.n_calls, run.prompt_tokens, run.ended != "") == (0, 1, 8, 7, True)
+
+
+def test_no_tables_and_a_failing_coordinate_test(spark, monkeypatch):
+    files = spark.createDataFrame([("d", "a.png", "a.png", False)],
+                                  "dataset_id string, path string, primary_path string, loaded boolean")
+    res = screen_dataset(spark, [], None, lambda ps: [], files=files, waits=())
+    run = res.run.first()
+    assert res.results.isEmpty() and (run.dataset_id, run.n_files_total, run.n_columns_checked) == ("d", 1, 0)
+
+    import tabwarden.plans.screen as screen
+
+    def broken(*args):
+        raise RuntimeError("no land today")
+
+    monkeypatch.setattr(screen, "gps_candidates", broken)
+    res = screen_dataset(spark, [survey(spark)])
+    assert "no land today" in res.issues.first().message
+    assert {r.col_name for r in res.results.collect()} == {"code", "ip", "token"}
+
+
+def test_a_damaged_table_costs_only_itself(spark, tmp_path):
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    spark.range(5).selectExpr("id + 5000 as id").coalesce(1).write.parquet(good)
+    spark.range(5).coalesce(1).write.parquet(bad)
+    tables = [Table(spark.read.parquet(bad), "bad", dataset_id="d"), Table(spark.read.parquet(good), "good", dataset_id="d")]
+    part = next((tmp_path / "bad").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:40])
+    (tmp_path / "bad" / f".{part.name}.crc").unlink()
+    res = screen_dataset(spark, tables)
+    assert [r.file for r in res.results.collect()] == ["good"]
+    assert res.issues.first().message.startswith("bad: could not be read") and res.run.first().n_errors == 1
