@@ -20,6 +20,7 @@ from ..plans.local import local_relation
 from ..sources.tables import Table
 from .profile import clean_number, drop_sentinels
 
+BLOCK_DEGREES = 5     # longitude blocks of the land join
 CANDIDATES = "col_id int, reason string, role string, partner_id int, share double, n bigint"
 
 
@@ -168,8 +169,8 @@ def land_shares(points: DataFrame, land: DataFrame, cells_per_degree: int = 1) -
     """(pair_id, a_is_lat, share, n); orientations with a latitude beyond 90 are dropped.
 
     A point counts if it or one of eight points around it is on land: an equi-join
-    on the latitude row with a range test on longitude. Points are few (a bounded
-    sample); Spark broadcasts whichever side it measures as small.
+    on latitude row and longitude block with a range test inside the block, so that
+    no latitude becomes a hot key. Spark broadcasts whichever side it measures as small.
     """
     oriented = orient(points)
 
@@ -178,13 +179,19 @@ def land_shares(points: DataFrame, land: DataFrame, cells_per_degree: int = 1) -
         idx = F.floor((clipped + limit) * cells_per_degree).cast("int")
         return F.least(idx, F.lit(2 * limit * cells_per_degree - 1))
 
-    step = F.array(*[F.lit(d) for d in (-rules.GPS_BUFFER, 0.0, rules.GPS_BUFFER)])
-    around = (oriented.withColumn("dy", F.explode(step)).withColumn("dx", F.explode(step))
-              .select("pair_id", "a_is_lat", "point_id", "lat",
-                      cell(F.col("lat") + F.col("dy"), 90).alias("y"),
-                      cell(F.col("lon") + F.col("dx"), 180).alias("x")))
-    on_land = (around.y == land.lat_idx) & around.x.between(land.lon_start, land.lon_end)
-    judged = (around.join(land, on_land, "left").groupBy("pair_id", "a_is_lat", "point_id", "lat")
+    def cells_around(x: Column, limit: int) -> Column:
+        near = [cell(x + F.lit(d), limit) for d in (-rules.GPS_BUFFER, 0.0, rules.GPS_BUFFER)]
+        return F.explode(F.array_distinct(F.array(*near)))    # mostly one and the same cell
+
+    block = BLOCK_DEGREES * cells_per_degree
+    around = (oriented.withColumn("y", cells_around(F.col("lat"), 90))
+              .withColumn("x", cells_around(F.col("lon"), 180))
+              .withColumn("block", F.floor(F.col("x") / block).cast("int")))
+    runs = land.withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("lon_start") / block).cast("int"), F.floor(F.col("lon_end") / block).cast("int"))))
+    on_land = ((around.y == runs.lat_idx) & (around.block == runs.block)
+               & around.x.between(runs.lon_start, runs.lon_end))
+    judged = (around.join(runs, on_land, "left").groupBy("pair_id", "a_is_lat", "point_id", "lat")
               .agg(F.max(F.col("lat_idx").isNotNull()).alias("hit")))
     counted = F.col("hit") & (F.col("lat") >= rules.GPS_SOUTH_LIMIT)
     ways = judged.groupBy("pair_id", "a_is_lat").agg(

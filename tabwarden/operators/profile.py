@@ -70,12 +70,13 @@ def _numeric_sql(c: str, dtype: T.DataType) -> dict[str, str]:
     codes = ", ".join(f"{c}D" for c in sorted({abs(c) for c in rules.GPS_SENTINELS}))
     g = f"(CASE WHEN abs({d}) NOT IN ({codes}) THEN {d} END)"
     scale = float(10 ** rules.GPS_KEPT_DECIMALS)
+    # infinity less itself is NaN, which differs from 0 and so counts as a fraction
+    fraction = f"{x} % 1" if isinstance(dtype, T.DecimalType) else f"({d} - rint({d}))"
     return {
         "n_nonnull": f"count({x})",
         "max_abs": f"max(abs({x}))",
         "max_text": f"max(abs({x}))" if isinstance(dtype, T.DecimalType) else "null",
-        # infinity less itself is NaN, which differs from 0 and so counts as a fraction
-        "has_frac": f"coalesce(bool_or({d} - rint({d}) <> 0), false)",
+        "has_frac": f"coalesce(bool_or({fraction} <> 0), false)",
         "gps_max": f"max(abs({g}))",
         # below GPS_MAX_ABS this is exact: only the double nearest to a short decimal comes back unchanged
         "gps_precise": f"coalesce(bool_or(rint({g} * {scale}D) / {scale}D <> {g}), false)",

@@ -28,12 +28,15 @@ def melt_all(tables: list[Table], refs: list[ColumnRef]) -> DataFrame:
     return _each_table(tables, refs, melt)
 
 
+COLUMNS_PER_MELT = 100
+
+
 def _each_table(tables, refs, one) -> DataFrame:
+    """one(table, columns) for every table; wide tables in several narrow scans."""
     parts = []
     for table_id, table in enumerate(tables):
         own = [r for r in refs if r.table_id == table_id]
-        if own:
-            parts.append(one(table, own))
+        parts += [one(table, own[i:i + COLUMNS_PER_MELT]) for i in range(0, len(own), COLUMNS_PER_MELT)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,38 +30,61 @@ def list_packages(spark: SparkSession, root: str) -> list[str]:
     return [f"{root.rstrip('/')}/{n}" for n in names]
 
 
-def screen_package(spark: SparkSession, folder: str, output: str, land: DataFrame | None = None,
-                   responder: Responder | None = None, model: str = "", cells_per_degree: int = 1,
-                   waits=rules.ATTEMPT_WAITS) -> dict:
-    """Screen one package, save its results below output, and return its ledger summary."""
-    dataset_id = folder.rstrip("/").rsplit("/", 1)[-1]
-    pkg = load_package(spark, folder, dataset_id)
-    archive = pkg.manifest.first()
-    archives = {k: (archive[k] if archive else "") for k in
-                ("archive_files", "archive_sizes_mb", "archive_sha256s")}
-    n_files = pkg.files.count()
-    if n_files == 0:
-        return {**archives, "n_files_total": 0}
-    res = screen_dataset(spark, pkg.tables, land, responder, cells_per_degree, files=pkg.files,
-                         run_info={**archives, "model": model, "package_path": folder}, waits=waits,
-                         issues=pkg.issues)
-    run = durable(finished(res.run))
+def dataset_of(folder: str) -> str:
+    return folder.rstrip("/").rsplit("/", 1)[-1]
+
+
+def screen_packages(spark: SparkSession, folders: list[str], output: str, land: DataFrame | None = None,
+                    responder: Responder | None = None, model: str = "", cells_per_degree: int = 1,
+                    waits=rules.ATTEMPT_WAITS) -> dict[str, dict]:
+    """Screen packages together, save their results below output, and return a ledger summary each.
+
+    The tables of all packages share every job of the run, so that many small
+    packages keep a cluster as busy as a large one.
+    """
+    loaded = {folder: load_package(spark, folder, dataset_of(folder)) for folder in folders}
+    summaries: dict[str, dict] = {}
+    for folder, pkg in loaded.items():
+        archive = pkg.manifest.first()
+        summaries[folder] = {k: (archive[k] if archive else "") for k in
+                             ("archive_files", "archive_sizes_mb", "archive_sha256s")}
+        summaries[folder]["n_files_total"] = pkg.files.count()
+    held = {f: p for f, p in loaded.items() if summaries[f]["n_files_total"]}
+    if not held:
+        return summaries
+    res = screen_dataset(
+        spark, [t for p in held.values() for t in p.tables], land, responder, cells_per_degree,
+        files=reduce(DataFrame.unionByName, [p.files for p in held.values()]),
+        issues=reduce(DataFrame.unionByName, [p.issues for p in held.values()]),
+        run_info={"model": model}, waits=waits)
+    facts = local_relation(
+        spark, [(dataset_of(f), f, *[summaries[f][k] for k in list(summaries[f])[:3]]) for f in held],
+        "dataset_id string, package_path string, archive_files string, archive_sizes_mb string, archive_sha256s string")
+    run = durable(finished(res.run).join(facts, "dataset_id", "left"))
     save_results(output, res.results, durable(res.issues), run, overview(run))
-    r = run.filter(F.col("dataset_id") == dataset_id).first()
-    counts = {k: r[k] for k in ("n_files_total", "n_data_files", "n_duplicates", "n_direct_pii", "n_indirect",
-                                "n_internal_id", "n_warnings", "n_errors")}
-    return {**archives, **counts, "n_checked": r.n_columns_checked, "model": model, "version": __version__,
+    by_dataset = {r.dataset_id: r for r in run.collect()}    # one row per package
+    for folder in held:
+        r = by_dataset[dataset_of(folder)]
+        summaries[folder] |= {k: r[k] for k in (
+            "n_files_total", "n_data_files", "n_duplicates", "n_direct_pii", "n_indirect", "n_internal_id",
+            "n_warnings", "n_errors")}
+        summaries[folder] |= {
+            "n_checked": r.n_columns_checked, "model": model, "version": __version__,
             "run_date": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M"), "output_path": output}
+    return summaries
 
 
 def run_folder(spark: SparkSession, root: str, store: LedgerStore, output: str,
-               run_one: Callable[[str, str], dict] | None = None, **screen_args) -> DataFrame:
+               run_many: Callable[[list[str]], dict[str, dict]] | None = None, packages_per_run: int = 8,
+               **screen_args) -> DataFrame:
     """Screen every pending package of root and keep the ledger; safe to stop and rerun.
 
-    The loop runs over package names, each step one Spark job. A package found
-    running was interrupted and is taken again.
+    The loop runs over groups of package names, each step a few Spark jobs. A group
+    that fails is taken again package by package, so that one bad package fails
+    alone. A package found running was interrupted and is taken again. Results of
+    all packages lie below output, split by dataset_id.
     """
-    run_one = run_one or (lambda path, out: screen_package(spark, path, out, **screen_args))
+    run_many = run_many or (lambda folders: screen_packages(spark, folders, output, **screen_args))
     discovered = local_relation(spark, [(p,) for p in list_packages(spark, root)], "package_path string")
     known = store.read()
     if known is None:
@@ -68,14 +92,22 @@ def run_folder(spark: SparkSession, root: str, store: LedgerStore, output: str,
     current = store.write(steps.reconcile(known, discovered))
     pending = [r.package_path for r in current.filter(F.col("status") == rules.STATUS_PENDING)
                .select("package_path").orderBy("package_path").collect()]
-    for path in pending:
-        one = local_relation(spark, [(path,)], "package_path string")
-        current = store.write(steps.start(current, one))
-        try:
-            summary = {**run_one(path, f"{output.rstrip('/')}/{path.rsplit('/', 1)[-1]}"), "failed": False}
-        except Exception as e:  # a failing package must not end the batch
-            print(f"package {path} failed: {e}")
-            summary = {"failed": True}
-        row = (path, summary["failed"], *[summary.get(k) for k in steps.SUMMARY])
-        current = store.write(steps.finish(current, local_relation(spark, [row], SUMMARY)))
+    for i in range(0, len(pending), packages_per_run):
+        group = pending[i:i + packages_per_run]
+        current = store.write(steps.start(current, local_relation(spark, [(p,) for p in group], "package_path string")))
+        rows = []
+        for path, summary in _run_group(run_many, group).items():
+            rows.append((path, summary is None, *[(summary or {}).get(k) for k in steps.SUMMARY]))
+        current = store.write(steps.finish(current, local_relation(spark, rows, SUMMARY)))
     return current
+
+
+def _run_group(run_many, group: list[str]) -> dict[str, dict | None]:
+    """Summaries per package; None for a package that fails also by itself."""
+    try:
+        return run_many(group)
+    except Exception as e:
+        if len(group) == 1:
+            print(f"package {group[0]} failed: {e}")
+            return {group[0]: None}
+        return {p: s for one in group for p, s in _run_group(run_many, [one]).items()}

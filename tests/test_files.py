@@ -9,8 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwarden import rules
-from tabwarden.operators.classify import Responder  # noqa: F401
-from tabwarden.plans.batch import list_packages, run_folder
+from tabwarden.plans.batch import list_packages, run_folder, screen_packages
 from tabwarden.plans.package import load_package
 from tabwarden.sources import archives, files, text_tables
 from tabwarden.sources.sinks import LedgerStore
@@ -165,14 +164,40 @@ def test_batch_resumes(spark, package, tmp_path):
     assert got["empty"].status == rules.STATUS_NO_FILES and got["only_rar"].status == rules.STATUS_RAR
     one = got["study one"]
     assert (one.status, one.n_data_files, one.n_duplicates, one.n_direct_pii, one.model) == ("done", 9, 2, 3, "m")
-    assert spark.read.parquet(f"{tmp_path}/out/study one/results").filter("duplicate_of = 'a.csv'").count() == 4
+    saved = spark.read.parquet(f"{tmp_path}/out/results")
+    assert saved.filter("dataset_id = 'study one' and duplicate_of = 'a.csv'").count() == 4
 
-    def never(path, out):
-        seen.append(path)
+    def never(folders):
+        seen.extend(folders)
         raise RuntimeError("boom")
 
-    again = run_folder(spark, str(root), store, str(tmp_path / "out"), run_one=never)
+    again = run_folder(spark, str(root), store, str(tmp_path / "out"), run_many=never)
     assert not seen and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, done.collect()), key=repr)
     store.write(store.read().withColumn("status", F.when(F.col("status") == "done", "running").otherwise(F.col("status"))))
-    failed = run_folder(spark, str(root), store, str(tmp_path / "out"), run_one=never)
+    failed = run_folder(spark, str(root), store, str(tmp_path / "out"), run_many=never)
     assert len(seen) == 1 and failed.filter("status = 'error' and n_data_files = 9").count() == 1
+
+
+def test_packages_share_a_run_and_fail_alone(spark, tmp_path):
+    root = tmp_path / "pkgs"
+    for name in ("p1", "p2", "p3"):
+        (root / name).mkdir(parents=True)
+        (root / name / "t.csv").write_text("id,who\n" + "".join(f"{i + 5000},person {name} {i}\n" for i in range(5)))
+    store = LedgerStore(spark, str(tmp_path / "ledger"))
+    asked = []
+
+    def run_many(folders):
+        asked.append([f[-2:] for f in folders])
+        if any(f.endswith("p2") for f in folders):
+            raise RuntimeError("p2 is bad")
+        return screen_packages(spark, folders, str(tmp_path / "out"))
+
+    done = run_folder(spark, str(root), store, str(tmp_path / "out"), run_many=run_many)
+    assert asked == [["p1", "p2", "p3"], ["p1"], ["p2"], ["p3"]]
+    assert {r.package_path[-2:]: r.status for r in done.collect()} == {"p1": "done", "p2": "error", "p3": "done"}
+    both = screen_packages(spark, [f"{root}/p1", f"{root}/p2"], str(tmp_path / "both"))
+    assert [both[f"{root}/{p}"]["n_checked"] for p in ("p1", "p2")] == [2, 2]
+    saved = spark.read.parquet(f"{tmp_path}/both/results")
+    assert sorted((r.dataset_id, r.col_name) for r in saved.collect()) == [
+        ("p1", "id"), ("p1", "who"), ("p2", "id"), ("p2", "who")]
+    assert spark.read.parquet(f"{tmp_path}/both/metadata").filter("package_path like '%p1'").count() == 1
