@@ -9,17 +9,22 @@ import bz2  # noqa: F401  (tarfile needs it for .tar.bz2)
 import gzip
 import io
 import posixpath
+import sys
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rules
 from ..functions import paths
 from ..plans.durable import durable
 
+# Python workers get these functions themselves and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MEMBERS = "archive string, path string, content binary, problem string"
 ARCHIVE_ENDINGS = (".tar.gz", ".tar.bz2", ".tgz", ".tar", ".zip", ".gz", ".rar", ".7z")
 

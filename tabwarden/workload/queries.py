@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import answers, names, paths, text
@@ -17,6 +19,9 @@ from ..sources import files as file_source, text_tables
 from ..sources.tables import Table, catalog
 from . import planted
 
+# Python workers get the stand-in classifier itself and need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
