@@ -15,7 +15,8 @@ a passage in a third of all documents is split over SALT tasks.
 
 Defined results: null and empty texts have no passages; equal items (by their tokens)
 count as the one with the least id; a document has one row for each such item it holds,
-repeated rows each have theirs, documents with no passage have none; null ids are kept.
+rows that repeat id and text count once, documents with no passage have none; null ids
+are kept.
 Other columns are not read.
 """
 
@@ -178,11 +179,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and passage of the benchmark in it.
 
-    Columns: the document's id, row_id (which tells repeated rows apart), the least item
-    id of the passage, n_items (with these tokens), n_tokens of the item, and where the
+    Columns: the document's id, row_id (a hash of its id and text), the least item id of the passage, n_items (with these tokens), n_tokens of the item, and where the
     best overlap starts and ends in the document's tokens, n_equal of which are equal.
     """
-    spark = docs.sparkSession
     id_type, item_type = docs.schema[id_col].dataType, benchmark.schema[item_id_col].dataType
     items = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     item_schema = T.StructType([T.StructField("item", item_type), T.StructField("n_tokens", T.LongType()),
@@ -194,18 +193,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                 T.StructField("item_at", T.IntegerType())])
     seeds_of_items = stored(passages.mapInArrow(_item_seeds, seed_schema), "seeds")
     search = _searcher(Bitmap.of(seeds_of_items, "seed"))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_id"),
+                       F.col(text_col).cast("string").alias("text"))
     hit_schema = T.StructType([T.StructField("doc", id_type), T.StructField("row_id", T.LongType()),
                                T.StructField("tokens", T.BinaryType()), T.StructField("seed", T.LongType()),
                                T.StructField("doc_at", T.IntegerType())])
-    numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
-    found = stored(numbered.mapInArrow(search, hit_schema), "hits")
+    found = stored(rows.mapInArrow(search, hit_schema), "hits")
     hits = found.filter("seed is not null").withColumn("salt", (F.abs(F.hash("row_id")) % SALT).cast("int"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
     salted = seeds_of_items.select("*", salts)
     pairs = (hits.join(salted, ["seed", "salt"]).groupBy("row_id", "passage", "salt")
              .agg(F.collect_set(F.col("doc_at") - F.col("item_at")).alias("diagonals")))
-    texts = found.filter("tokens is not null").select("doc", "row_id", "tokens")
+    texts = found.filter("tokens is not null").select("doc", "row_id", "tokens").dropDuplicates(["row_id"])
     passage_texts = passages.select("passage", "n_tokens", F.col("tokens").alias("item_tokens"), salts)
     both = pairs.join(passage_texts, ["passage", "salt"]).join(texts, "row_id")
     out_schema = T.StructType([T.StructField("doc", id_type), T.StructField("row_id", T.LongType()),
@@ -215,3 +214,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = sure.join(passages.select("passage", "n_items"), "passage")
     return named.select(F.col("doc").alias(id_col), "row_id", F.col("passage").alias(item_id_col), "n_items", "n_tokens",
                         "start", "end", "n_equal")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+    """The documents without a passage of the benchmark."""
+    found = contaminated(docs, benchmark, id_col, text_col, **columns).select(F.col("row_id").alias("__row")).distinct()
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(found, "__row", "left_anti").drop("__row")
