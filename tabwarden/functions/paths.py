@@ -52,9 +52,14 @@ def archive_kind(path: Column) -> Column:
     )
 
 
+def is_packed_text(path: Column) -> Column:
+    """A single delimited text under gzip or bzip2, which Spark reads by itself."""
+    return F.lower(path).rlike(r"\.(csv|tsv|tab|txt|dat)\.(gz|bz2)$")
+
+
 def load_kind(path: Column) -> Column:
     """How a file is read: delimited, sniffed, columnar, or null when it is not a table."""
-    ext = extension(path)
+    ext = extension(F.regexp_replace(path, r"(?i)(\.(?:csv|tsv|tab|txt|dat))\.(?:gz|bz2)$", "$1"))
     return (
         F.when(ext.isin(*TEXT_ENDINGS), "delimited").when(ext.isin(*SNIFFED_ENDINGS), "sniffed")
         .when(ext.isin(*COLUMNAR_ENDINGS), "columnar")

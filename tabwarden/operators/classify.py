@@ -56,27 +56,42 @@ def build_prompts(columns: DataFrame, tabulations: DataFrame) -> DataFrame:
             .withColumn("prompt_id", F.sha2("prompt", 256)))
 
 
-def ask(prompts: DataFrame, responder: Responder, attempt: int) -> DataFrame:
-    """One round of calls in the Python workers, a batch of prompts at a time."""
-    def alone(prompt: str) -> object:
+# Prompts in one call, by attempt: what was in a failed call is asked alone from then on.
+CALL_SIZES = (32, 1)
+
+
+def full_answer(answer: object) -> tuple[str | None, int, int, float]:
+    """Text, tokens and seconds of an answer; one that is neither a text nor such a tuple is a failed attempt."""
+    if isinstance(answer, str):
+        return answer, 0, 0, 0.0
+    if isinstance(answer, tuple) and len(answer) == 4 and isinstance(answer[0], (str, type(None))):
         try:
-            return next(iter(responder([prompt])))
-        except Exception:  # one failed attempt of this prompt
-            return None
+            return answer[0], int(answer[1]), int(answer[2]), float(answer[3])
+        except (TypeError, ValueError):
+            pass
+    return None, 0, 0, 0.0
+
+
+def ask(prompts: DataFrame, responder: Responder, attempt: int) -> DataFrame:
+    """One round of calls in the Python workers, a few prompts at a time, and a row for every prompt.
+
+    A call that fails is a failed attempt of all its prompts; they are asked again in
+    the next round, in smaller calls. Answers that a call leaves out are failed attempts.
+    """
+    size = CALL_SIZES[min(attempt, len(CALL_SIZES)) - 1]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            asked = batch["prompt"].tolist()
-            try:
-                given = list(responder(asked))
-            except Exception:  # one prompt may spoil a batch; the others still get their answer
-                given = [alone(p) for p in asked]
-            rows = []
-            for prompt_id, answer in zip(batch["prompt_id"], given):
-                full = answer if isinstance(answer, tuple) else (answer, 0, 0, 0.0)
-                rows.append((prompt_id, attempt, *full))
-            yield pd.DataFrame(rows, columns=["prompt_id", "attempt", "raw", "prompt_tokens",
-                                              "completion_tokens", "seconds"])
+            for low in range(0, len(batch), size):
+                part = batch.iloc[low : low + size]
+                try:
+                    given = list(responder(part["prompt"].tolist()))
+                except Exception:
+                    given = []
+                given = (given + [None] * len(part))[: len(part)]
+                rows = [(prompt_id, attempt, *full_answer(a)) for prompt_id, a in zip(part["prompt_id"], given)]
+                yield pd.DataFrame(rows, columns=["prompt_id", "attempt", "raw", "prompt_tokens",
+                                                  "completion_tokens", "seconds"])
 
     return prompts.select("prompt_id", "prompt").mapInPandas(call, ATTEMPTS)
 

@@ -222,10 +222,9 @@ def best_partners(pair_rows: DataFrame, columns: DataFrame) -> DataFrame:
             .withColumn("rn", F.row_number().over(order)).filter("rn = 1"))
     partner = columns.select(F.col("col_id").alias("partner_id"), F.col("col_name").alias("partner"))
     role = F.when(F.col("is_lat"), "latitude").otherwise("longitude")
-    other = F.when(F.col("is_lat"), "longitude").otherwise("latitude")
-    reason = F.concat(F.lit("possible GPS "), role, F.lit(", pairs with '"), F.col("partner"),
-                      F.lit("' as "), other, F.lit(" ("), text.percent(F.col("share")),
-                      F.lit(" of "), F.col("n").cast("string"), F.lit(" points on land)"))
+    reason = F.concat(F.lit("read as "), role, F.lit(" next to "), F.col("partner"), F.lit(", "),
+                      text.percent(F.col("share")), F.lit(" of "), F.col("n").cast("string"),
+                      F.lit(" sampled positions lie on land"))
     return best.join(partner, "partner_id").select(
         "col_id", reason.alias("reason"), role.alias("role"), "partner_id", "share", "n")
 

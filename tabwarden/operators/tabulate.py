@@ -230,8 +230,8 @@ def render(shown: DataFrame) -> DataFrame:
                  F.max("n_unique").alias("n_unique"),
                  F.array_sort(F.collect_list(F.struct("o", "block"))).alias("blocks")))
     body = F.array_join(F.col("blocks.block"), "\n\n")
-    footer = F.concat(F.lit("\n\n  (Showing sample of "), F.col("n_unique").cast("string"),
-                      F.lit(" unique values)"))
+    footer = F.concat(F.lit("\n\n  (chosen from "), F.col("n_unique").cast("string"),
+                      F.lit(" different values)"))
     return cells.select("col_id", F.when(
         F.col("n_unique") > rules.SEND_ALL_MAX_DISTINCT, F.concat(body, footer)).otherwise(body)
         .alias("tabulation"))

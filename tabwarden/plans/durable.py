@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,29 @@ def durable(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """Write a table as Parquet into the shared folder and go on from there, until the driver ends.
+
+    Names are kept beside the files, so they may repeat or hold any character.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tabwarden-table-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+@atexit.register
+def _remove_kept() -> None:
+    for spark, path in _KEPT:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended already; the folder's owner clears it
+            return

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rules
 from ..functions import paths
-from ..operators.duplicates import content_digest, with_primary
-from ..sources import archives, files as listing, text_tables
+from ..operators.duplicates import with_primary
+from ..sources import files as listing, text_tables
 from ..sources.tables import Table, read_table
 from .durable import durable
 from .local import local_relation
@@ -31,94 +31,98 @@ class Package:
 
 def load_package(spark: SparkSession, folder: str, dataset_id: str,
                  labels: Mapping[str, Mapping[str, str]] | None = None) -> Package:
-    """List, open archives, find duplicates, and read every primary file that is a table.
+    """List files, find duplicates, and read every primary file that is a table.
 
     Only the file catalog reaches the driver, which has to plan one read per file.
-    labels: optional column labels per relative path.
+    Contents are hashed for archives, and for files that have the length of another one.
+    Archives are listed and not opened. Parquet, ORC and JSON files named part-* in one
+    folder are one table. labels: optional column labels per relative path.
     """
     labels = labels or {}
     rel = paths.relative_to(F.col("path"), F.lit(listing.qualified(spark, folder)))
-    found = listing.list_files(spark, folder).select(F.col("path").alias("full_path"), rel.alias("path"),
-                                                     "length", "content")
-    clean = found.filter(~paths.is_junk(F.col("path")))
-    is_archive = paths.archive_kind(F.col("path")).isNotNull()
-
-    plain = clean.filter(~is_archive)
-    hashed = plain.select("path", "full_path", content_digest(F.col("content")).alias("digest"))
-    packed = clean.filter(is_archive)
-    top = packed.select(F.lit(dataset_id).alias("dataset_id"), "path", "length",
-                        content_digest(F.col("content")).alias("digest"))
-    manifest = durable(listing.archive_manifest(top))
-    members = None
-    problems = local_relation(spark, [], "archive string, problem string")
-    if not packed.select("path").isEmpty():
-        members, problems = archives.expand(packed.select("path", "content"))
-        hashed = hashed.unionByName(members.select(
-            "path", F.lit(None).cast("string").alias("full_path"), content_digest(F.col("content")).alias("digest")))
-    catalog = durable(with_primary(durable(hashed)).withColumn("kind", paths.load_kind(F.col("path"))))
+    found = listing.list_files(spark, folder).select(F.col("path").alias("full_path"), rel.alias("path"), "length")
+    is_archive = paths.archive_kind(F.col("path")).isNotNull() & ~paths.is_packed_text(F.col("path"))
+    clean = durable(found.filter(~paths.is_junk(F.col("path"))).withColumn("is_archive", is_archive))
+
+    shared = clean.filter("not is_archive").groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twins = clean.filter("not is_archive").join(shared.select("length"), "length", "left_semi")
+    to_hash = twins.unionByName(clean.filter("is_archive")).select("path", "full_path")
+    hashed = durable(listing.file_digests(to_hash.repartition(spark.sparkContext.defaultParallelism)))
+    known = clean.join(hashed.select("path", "digest", "problem"), "path", "left").withColumn("dataset_id", F.lit(dataset_id))
+    manifest = durable(listing.archive_manifest(known.filter("is_archive").select("dataset_id", "path", "length", "digest")))
+    plain = known.filter("not is_archive").select("dataset_id", "path", "full_path", "digest")
+    catalog = durable(with_primary(plain).withColumn("kind", paths.load_kind(F.col("path"))))
 
     to_read = [r for r in catalog.filter("path = primary_path and kind is not null").orderBy("path").collect()]
-    tables, notes = _read_tables(spark, dataset_id, to_read, members, labels)
-    loaded = local_relation(spark, [(t.file,) for t in tables], "path string").distinct()
-    files = (catalog.join(loaded.withColumn("loaded", F.lit(True)), "path", "left")
-             .select(F.lit(dataset_id).alias("dataset_id"), "path", "primary_path",
-                     F.coalesce("loaded", F.lit(False)).alias("loaded")))
-    bad = problems.select(F.lit(dataset_id).alias("dataset_id"), F.lit("ERROR").alias("level"),
-                          F.concat("archive", F.lit(": "), "problem").alias("message"))
-    issues = bad.unionByName(local_relation(spark, [(dataset_id, lv, m) for lv, m in notes], ISSUES))
+    tables, notes, loaded = _read_tables(spark, dataset_id, to_read, labels)
+    done = local_relation(spark, [(p,) for p in loaded], "path string").distinct()
+    files = (catalog.join(done.withColumn("loaded", F.lit(True)), "path", "left")
+             .select("dataset_id", "path", "primary_path", F.coalesce("loaded", F.lit(False)).alias("loaded")))
+    said = known.select(
+        "dataset_id", F.when(F.col("problem").isNotNull(), "ERROR").when(F.col("is_archive"), "WARNING").alias("level"),
+        F.concat("path", F.coalesce(F.concat(F.lit(": could not be read: "), "problem"),
+                                    F.lit(": archives are not opened, unpack it first"))).alias("message"))
+    issues = said.filter("level is not null").unionByName(local_relation(spark, [(dataset_id, lv, m) for lv, m in notes], ISSUES))
     return Package(tables, files, manifest, issues)
 
 
-def _read_tables(spark, dataset_id, to_read, members, labels):
+def _read_tables(spark, dataset_id, to_read, labels):
+    """Tables, notes for the issues, and the paths that were loaded."""
     tables: list[Table] = []
     notes: list[tuple[str, str]] = []
-    text_kinds = ("delimited", "sniffed")
-    plain = [r for r in to_read if r.full_path and r.kind in text_kinds]
+    loaded: list[str] = []
+    plain = [r for r in to_read if r.kind in ("delimited", "sniffed")]
     by_path = {re.sub("^[a-z0-9]+:/+", "/", r.full_path): r.path for r in plain}
-    packed = [r.path for r in to_read if not r.full_path and r.kind in text_kinds]
+    parts: dict[tuple[str, str], list] = {}
+    for r in to_read:
+        folder, _, name = r.path.rpartition("/")
+        if r.kind == "columnar" and folder and name.startswith("part-"):
+            parts.setdefault((folder, name.rsplit(".", 1)[1].lower()), []).append(r)
 
     dialects: dict[str, tuple] = {}
     if plain:
         lines = text_tables.file_lines(spark, [r.full_path for r in plain])
         heads = lines.filter("in_head")
-        checked = (text_tables.open_quotes(lines).join(text_tables.check_encodings(heads), "path")
-                   .join(text_tables.detect_delimiters(heads), "path", "left")).collect()   # one row per file
-        dialects |= {by_path[r.path]: (r.delimiter, r.encoding, r.multi_line) for r in checked}
-    lines_of = None
-    if packed:
-        chosen = local_relation(spark, [(p,) for p in packed], "path string")
-        held = members.join(F.broadcast(chosen), "path", "left_semi")    # names the driver already holds
-        lines_of = text_tables.member_lines(held)
-        encodings = text_tables.invalid_utf8(held).select(
-            "path", F.when(F.col("is_utf8"), "UTF-8").otherwise("windows-1252").alias("encoding"))
-        checked = encodings.join(text_tables.detect_delimiters(lines_of), "path", "left").collect()
-        dialects |= {r.path: (r.delimiter, r.encoding, False) for r in checked}
+        csv = F.lower("path").rlike(r"\.csv(\.(gz|bz2))?$")
+        marks = text_tables.detect_csv_delimiters(heads.filter(csv)).unionByName(
+            text_tables.detect_delimiters(heads.filter(~csv)))
+        checked = text_tables.line_checks(lines).join(marks, "path", "left").collect()   # one row per file
+        dialects = {by_path[r.path]: (r.delimiter, r.encoding, r.multi_line) for r in checked}
 
+    for (folder, ending), own in parts.items():
+        try:
+            whole = own[0].full_path.rpartition("/")[0]
+            tables.append(read_table(spark, f"{whole}/part-*.{ending}", ending, file=folder, dataset_id=dataset_id,
+                                     labels=labels.get(folder, {})))
+            loaded += [r.path for r in own]
+        except Exception as e:
+            notes.append(("ERROR", f"{folder}: could not be read: {e}"))
+    in_folders = {r.path for own in parts.values() for r in own}
     for r in to_read:
+        if r.path in in_folders:
+            continue
         args = {"file": r.path, "dataset_id": dataset_id, "labels": labels.get(r.path, {})}
         try:
             if r.kind == "columnar":
-                if not r.full_path:
-                    notes.append(("ERROR", f"{r.path}: columnar files inside archives are not read"))
-                    continue
                 tables.append(read_table(spark, r.full_path, r.path.rsplit(".", 1)[1].lower(), **args))
+                loaded.append(r.path)
                 continue
             delimiter, encoding, multi_line = dialects.get(r.path, (None, "UTF-8", False))
             if encoding != "UTF-8":
                 notes.append(("WARNING", f"{r.path}: not UTF-8, read as {encoding}"))
             if r.kind == "sniffed" and delimiter is None:
                 continue
-            if r.kind == "delimited" and not r.path.lower().endswith(".csv"):
+            name = re.sub(r"\.(gz|bz2)$", "", r.path.lower())
+            if r.kind == "delimited" and not name.endswith(".csv"):
                 delimiter = "\t"
             elif delimiter is None:
                 notes.append(("WARNING", f"{r.path}: no delimiter found, read with commas"))
                 delimiter = ","
-            if r.full_path:
-                tables.append(text_tables.read_delimited(spark, r.full_path, delimiter, encoding,
-                                                         multi_line=multi_line, **args))
-            else:
-                rows = text_tables.rows_of_lines(lines_of.filter(F.col("path") == r.path), delimiter)
-                tables.append(Table(text_tables.infer_types(text_tables.null_missing(rows)), **args))
+            table, too_long = text_tables.load_delimited(spark, r.full_path, delimiter, encoding, multi_line, **args)
+            if too_long:
+                notes.append(("WARNING", f"{r.path}: {too_long} lines with more fields than the header were left out"))
+            tables.append(table)
+            loaded.append(r.path)
         except Exception as e:  # one unreadable file must not end the run
-            notes.append(("ERROR", f"{r.path}: could not be read: {e}"))
-    return tables, notes
+            notes.append(("ERROR", f"{r.path}: could not be read: {str(e).splitlines()[0]}"))
+    return tables, notes, loaded

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from urllib.parse import quote
+
+from pyarrow.fs import FileSystem
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
-from ..operators.duplicates import content_digest, with_primary
-from ..plans.durable import durable
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+PIECE_BYTES = 4 << 20
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -31,14 +39,31 @@ def inventory(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
                           "load_kind": paths.load_kind(F.col("path"))}))
 
 
-def hashed_inventory(spark: SparkSession, folder: str, dataset_id: str) -> DataFrame:
-    """The inventory with content digests and primary paths; contents are read once."""
-    rel = paths.relative_to(F.col("path"), F.lit(qualified(spark, folder)))
-    hashed = (list_files(spark, folder)
-              .select(F.lit(dataset_id).alias("dataset_id"), F.col("path").alias("full_path"),
-                      rel.alias("path"), "length", content_digest(F.col("content")).alias("digest"))
-              .filter(~paths.is_junk(F.col("path"))))
-    return with_primary(durable(hashed))
+def file_digests(files: DataFrame) -> DataFrame:
+    """Add digest and problem to rows with full_path. Contents of any size pass through the tasks in pieces.
+
+    A file that cannot be read has no digest, and the reason stands in problem.
+    """
+    schema = files.withColumns({"digest": F.lit(None).cast("string"), "problem": F.lit(None).cast("string")}).schema
+
+    def run(batches):
+        for batch in batches:
+            found = [_digest(path) for path in batch["full_path"]]
+            yield batch.assign(digest=[d for d, _ in found], problem=[p for _, p in found])
+
+    return files.mapInPandas(run, schema)
+
+
+def _digest(path: str) -> tuple[str | None, str | None]:
+    whole = hashlib.sha256()
+    try:
+        system, inner = FileSystem.from_uri(quote(path, safe=":/"))
+        with system.open_input_stream(inner, compression=None) as stream:
+            while piece := stream.read(PIECE_BYTES):
+                whole.update(piece)
+    except (OSError, ValueError) as e:
+        return None, str(e).splitlines()[0] if str(e) else type(e).__name__
+    return whole.hexdigest(), None
 
 
 def archive_manifest(files: DataFrame, by: str = "dataset_id") -> DataFrame:

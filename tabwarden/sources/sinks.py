@@ -14,21 +14,31 @@ def save_results(folder: str, results: DataFrame, issues: DataFrame, run: DataFr
                  overview: DataFrame, fmt: str = "parquet") -> None:
     """Four datasets below folder: overview, results, issues (if any) and metadata.
 
-    A run without results leaves a one-row message instead. Datasets are split
-    by dataset_id, and only the partitions written now are replaced, so partial
-    results of a long run can be saved as it goes.
+    A dataset without results leaves a one-row message instead. Datasets are split
+    by dataset_id, and only those of this run are replaced, so partial results of a
+    long run can be saved as it goes; what an earlier run of them left and this one
+    has no rows for is removed.
     """
+    spark = run.sparkSession
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+
+    def clear(name: str) -> None:
+        for row in run.select("dataset_id").distinct().toLocalIterator():
+            fs.delete(Path(f"{folder}/{name}/dataset_id={escape(row[0])}"), True)
+
     def put(df: DataFrame, name: str) -> None:
         (df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("dataset_id").save(f"{folder}/{name}"))
 
     put(overview, "overview")
-    if results.isEmpty():
-        put(run.select("dataset_id", F.lit(rules.NO_RESULTS).alias("message")), "messages")
-    else:
-        put(results.select(*RESULT_COLUMNS), "results")
-    if not issues.isEmpty():
-        put(issues, "issues")
+    empty = run.select("dataset_id").join(results.select("dataset_id"), "dataset_id", "left_anti").distinct()
+    for df, name in ((empty.withColumn("message", F.lit(rules.NO_RESULTS)), "messages"),
+                     (results.select(*RESULT_COLUMNS), "results"), (issues, "issues")):
+        clear(name)
+        if not df.isEmpty():
+            put(df, name)
     put(run, "metadata")
 
 

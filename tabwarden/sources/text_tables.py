@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from .. import rules
+from ..plans.durable import kept_table
 from .tables import Table
 
 
@@ -19,13 +20,18 @@ def file_lines(spark: SparkSession, files: list[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def open_quotes(lines: DataFrame) -> DataFrame:
-    """(path, multi_line): whether some line leaves a quoted field open.
+def line_checks(lines: DataFrame) -> DataFrame:
+    """(path, multi_line, encoding) from all lines of each file, in one aggregation.
 
-    Only such files must be read whole by one task; all others can be split.
+    A file is multi_line if some line leaves a quoted field open; only such files must be
+    read whole by one task. UTF-16 is told by its byte-order mark, windows-1252 by some line
+    that is no valid UTF-8.
     """
+    mark = F.hex(F.substring(F.col("line").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
     return lines.groupBy("path").agg(
-        F.bool_or(_occurrences(F.col("line"), '"') % 2 == 1).alias("multi_line"))
+        F.bool_or(_occurrences(F.col("line"), '"') % 2 == 1).alias("multi_line"),
+        F.when(F.bool_or(mark & F.col("in_head") & (F.col("line_no") % (1 << 33) == 0)), "UTF-16")
+        .when(F.bool_and(F.is_valid_utf8("line")), "UTF-8").otherwise("windows-1252").alias("encoding"))
 
 
 def head_lines(lines: DataFrame) -> DataFrame:
@@ -59,17 +65,26 @@ def detect_delimiters(lines: DataFrame) -> DataFrame:
     return stats.select("path", best["mark"].alias("delimiter"))
 
 
+def detect_csv_delimiters(lines: DataFrame) -> DataFrame:
+    """(path, delimiter): the most consistent mark outside quoted fields, null where none occurs.
+
+    Of the marks, the one wins whose commonest count per head line (above 0) covers the
+    most lines; then the larger count, then the order tab, comma, semicolon, bar.
+    """
+    bare = F.regexp_replace(F.col("line"), r'"(?:[^"]|"")*("|$)|\x00', "")
+    marks = F.array(*[F.struct(F.lit(-i).alias("first"), F.lit(m).alias("mark"), _occurrences(bare, m).alias("n"))
+                      for i, m in enumerate(rules.SNIFF_DELIMITERS)])
+    counted = head_lines(lines).select("path", F.inline(marks)).filter("n > 0")
+    agreed = counted.groupBy("path", "first", "mark", "n").agg(F.count(F.lit(1)).alias("n_lines"))
+    best = agreed.groupBy("path").agg(F.max(F.struct("n_lines", "n", "first", "mark")).alias("best"))
+    return best.select("path", F.col("best.mark").alias("delimiter"))
+
+
 def invalid_utf8(contents: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, is_utf8): whether the bytes read as UTF-8 throughout."""
     return contents.select(key, F.is_valid_utf8(F.col(content).cast("string")).alias("is_utf8"))
 
 
-def check_encodings(lines: DataFrame) -> DataFrame:
-    """(path, encoding): UTF-8, or windows-1252 where some line is no valid UTF-8."""
-    ok = F.bool_and(F.is_valid_utf8("line"))
-    return lines.groupBy("path").agg(F.when(ok, "UTF-8").otherwise("windows-1252").alias("encoding"))
-
-
 # What bytes 0x80 to 0x9f mean in windows-1252, where they mean anything.
 C1_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 C1_LATIN = "".join(chr(b) for b in C1_BYTES)
@@ -81,18 +96,6 @@ def from_latin(text: Column) -> Column:
     return F.translate(text, C1_LATIN, C1_WINDOWS)
 
 
-def decode_text(content: Column) -> Column:
-    """Bytes as text: UTF-8 where valid, windows-1252 otherwise."""
-    as_utf8 = content.cast("string")
-    return F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(from_latin(F.decode(content, "ISO-8859-1")))
-
-
-def member_lines(members: DataFrame) -> DataFrame:
-    """(path, line_no, line) of (path, content) rows, such as archive members."""
-    lines = F.split(decode_text(F.col("content")), "\r\n|\n|\r")
-    return members.select("path", F.posexplode(lines).alias("line_no", "line"))
-
-
 def null_missing(df: DataFrame) -> DataFrame:
     """Missing-value markers of text files read as missing, before types are decided."""
     return df.select(*[
@@ -119,48 +122,76 @@ def infer_types(df: DataFrame) -> DataFrame:
                        ).alias(f"d{i}"),
         ]
     seen = cells.agg(*checks).first()    # a handful of numbers per column
+    kinds = []
+    for i in range(len(names)):
+        n = seen[f"n{i}"]
+        kinds.append("boolean" if n and seen[f"b{i}"] == n == seen["n"] else "bigint" if n and seen[f"i{i}"] == n
+                     else "double" if seen[f"d{i}"] == n else "string")
+    return typed(df, kinds)
+
+
+def typed(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """Text columns read as the given types."""
+    cells = df.toDF(*[f"c{i}" for i in range(len(kinds))])
     out = []
-    for i, name in enumerate(names):
+    for i, (name, kind) in enumerate(zip(df.columns, kinds)):
         c = F.col(f"c{i}")
-        n = seen[f"n{i}"]
-        if n and seen[f"b{i}"] == n == seen["n"]:
-            c = F.lower(c) == "true"
-        elif n and seen[f"i{i}"] == n:
-            c = F.trim(c).try_cast("bigint")
-        elif seen[f"d{i}"] == n:
-            c = F.trim(c).try_cast("double")
-        out.append(c.alias(name))
+        read = {"boolean": F.lower(c) == "true", "string": c}.get(kind)
+        out.append((F.trim(c).try_cast(kind) if read is None else read).alias(name))
     return cells.select(*out)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
-                   max_rows: int | None = None, skip_bad_lines: bool = False, multi_line: bool = False,
-                   **table_args) -> Table:
-    """A delimited text file as a typed table. skip_bad_lines drops lines with too many fields."""
-    reader = (spark.read.option("header", True).option("sep", delimiter)
-              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-              .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
-              # a line must be bad whichever columns a query reads
-              .option("columnPruning", not skip_bad_lines)
-              .option("inferSchema", False))
+def read_text_rows(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
+                   multi_line: bool = False) -> DataFrame:
+    """All rows of a delimited file as text, with too_long: whether a line has more fields than the header.
+
+    Lines with fewer fields are padded.
+    """
     latin = encoding.lower() == "windows-1252"
-    df = reader.option("encoding", "ISO-8859-1" if latin else encoding).csv(path)
+    reader = (spark.read.option("header", True).option("sep", delimiter)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line or encoding == "UTF-16")
+              .option("mode", "PERMISSIVE").option("columnPruning", False).option("inferSchema", False)
+              .option("encoding", "ISO-8859-1" if latin else encoding))
+    names = reader.csv(path).columns
+    whole = "whole_line"
+    while whole in names:
+        whole += "_"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, whole]])
+    df = reader.option("columnNameOfCorruptRecord", whole).schema(schema).csv(path)
+    bare = F.regexp_replace(F.col(whole), r'"(?:[^"]|"")*"', "")
+    # Spark refuses to read the whole line alone, so a first cell is looked at with it.
+    read = F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0
+    too_long = F.col(whole).isNotNull() & (_occurrences(bare, delimiter) >= len(names)) & read
+    cells = [F.col(f"`{c}`") for c in names]
     if latin:
-        df = df.select(*[from_latin(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        cells = [from_latin(c) for c in cells]
+    return df.select(*[c.alias(n) for c, n in zip(cells, names)], too_long.alias("too_long"))
+
+
+def load_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
+                   multi_line: bool = False, **table_args) -> tuple[Table, int]:
+    """A delimited file as a typed table, kept as Parquet in the shared folder, and how many lines were too long.
+
+    The text is parsed twice, for the types and for the copy; lines with more fields
+    than the header are left out and counted on the way.
+    """
+    rows = read_text_rows(spark, path, delimiter, encoding, multi_line)
+    short = rows.filter(~F.col("too_long")).select(rows.columns[:-1])
+    types = infer_types(null_missing(short)).dtypes
+    counted = Observation()
+    seen = rows.observe(counted, F.count_if(F.col("too_long")).alias("too_long"))
+    fit = null_missing(seen.filter(~F.col("too_long")).select(rows.columns[:-1]))
+    copy = kept_table(typed(fit, [t for _, t in types]))
+    table_args.setdefault("file", path)
+    return Table(copy, **table_args), int(counted.get["too_long"])
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
+                   max_rows: int | None = None, multi_line: bool = False, **table_args) -> Table:
+    """A delimited file as a typed table that reads the file itself. Lines with too many fields are left out."""
+    rows = read_text_rows(spark, path, delimiter, encoding, multi_line)
+    df = rows.filter(~F.col("too_long")).select(rows.columns[:-1])
     if max_rows is not None:
         df = df.limit(max_rows)
     table_args.setdefault("file", path)
     return Table(infer_types(null_missing(df)), **table_args)
-
-
-def rows_of_lines(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Parse the numbered lines of one file, such as an archive member; the first line names the columns."""
-    def parsed(line: Column, width: int) -> Column:
-        return F.from_csv(line, ", ".join(f"c{i} string" for i in range(width)), {"sep": delimiter})
-
-    first = lines.orderBy("line_no").first()
-    width = first.line.count(delimiter) + 1
-    head = lines.filter(F.col("line_no") == first.line_no).select(parsed(F.col("line"), width).alias("h"))
-    names = [n or f"_c{i}" for i, n in enumerate(head.select("h.*").first())]
-    body = lines.filter((F.col("line_no") > first.line_no) & (F.length("line") > 0))
-    return body.select(parsed(F.col("line"), width).alias("r")).select("r.*").toDF(*names)

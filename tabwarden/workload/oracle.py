@@ -179,9 +179,8 @@ sides AS (SELECT a_idx AS i, b_idx AS j, a_is_lat AS is_lat, share, n FROM good
   UNION ALL SELECT b_idx, a_idx, NOT a_is_lat, share, n FROM good),
 colnames(idx, cname) AS (VALUES {named}),
 gps AS (SELECT i, c.cname AS col_name, CASE WHEN is_lat THEN 'latitude' ELSE 'longitude' END AS role, share, n,
-    concat('possible GPS ', CASE WHEN is_lat THEN 'latitude' ELSE 'longitude' END, ', pairs with ''', p.cname, ''' as ',
-      CASE WHEN is_lat THEN 'longitude' ELSE 'latitude' END, ' (', cast(round_even(100 * share, 0) AS int), '% of ', n,
-      ' points on land)') AS reason
+    concat('read as ', CASE WHEN is_lat THEN 'latitude' ELSE 'longitude' END, ' next to ', p.cname, ', ',
+      cast(round_even(100 * share, 0) AS int), '% of ', n, ' sampled positions lie on land') AS reason
   FROM sides JOIN colnames c ON c.idx = i JOIN colnames p ON p.idx = j
   QUALIFY row_number() OVER (PARTITION BY i ORDER BY share DESC, j) = 1)"""
 
@@ -334,12 +333,12 @@ def melted(rel: str, cols: dict[str, str], counted: bool) -> str:
 # --- duplicates, results, answers, ledger -----------------------------------------------
 
 DOC_FILES = """files AS (SELECT source AS dataset_id, cast(doc_id AS varchar) AS path, sha256(text) AS digest,
-  n_chars > 200 AS loaded, doc_id, min(cast(doc_id AS varchar)) OVER (PARTITION BY sha256(text)) AS primary_path FROM documents)"""
+  n_chars > 200 AS loaded, doc_id, min(cast(doc_id AS varchar)) OVER (PARTITION BY source, sha256(text)) AS primary_path FROM documents)"""
 DOC_RESULTS = """prim AS (SELECT dataset_id, path AS file, unnest(['text', 'lang']) AS col_name,
   ['direct_pii', 'possible_indirect', 'internal_id', 'not_pii', 'error'][doc_id % 5 + 1] AS evaluation, '' AS duplicate_of
   FROM files WHERE loaded AND path = primary_path),
 results AS (SELECT * FROM prim UNION ALL
-  SELECT p.dataset_id, f.path, p.col_name, p.evaluation, p.file FROM files f JOIN prim p ON p.file = f.primary_path
+  SELECT p.dataset_id, f.path, p.col_name, p.evaluation, p.file FROM files f JOIN prim p ON p.file = f.primary_path AND p.dataset_id = f.dataset_id
   WHERE f.path <> f.primary_path)"""
 COUNTS = """rc AS (SELECT dataset_id, count(*) FILTER (duplicate_of = '') AS n_columns_checked,
   count(*) FILTER (evaluation = 'direct_pii') AS n_direct_pii, count(*) FILTER (evaluation = 'possible_indirect') AS n_indirect,

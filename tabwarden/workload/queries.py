@@ -462,10 +462,6 @@ def path_parts(spark, sf_dir):
                        paths.load_kind(p).alias("kind"))
 
 
-@query
-def file_inventory(spark, sf_dir):
-    return file_source.inventory(spark, sf_dir, "driver").select("path", "length", "load_kind")
-
 
 # --- the whole run ----------------------------------------------------------------------------------
 

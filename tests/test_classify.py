@@ -42,6 +42,18 @@ def test_equal_prompts_are_asked_once_and_rounds_stop(spark):
     assert log.count() == 3 and log.filter("valid").count() == 3
 
 
+def test_left_out_and_malformed_answers_are_asked_again(spark):
+    def short(ps):
+        return ['{"evaluation": "consent"}'] * max(1, len(ps) - 2) if len(ps) > 1 else [("x", 1)] if "5" in ps[0] else ['{"evaluation": "consent"}']
+
+    prompts = spark.createDataFrame([(i, "evaluation", f"p{i}", f"prompt {i}") for i in range(8)],
+                                    "col_id int, required_key string, prompt_id string, prompt string")
+    log = classify.run_classifier(prompts, short, parallelism=1, sleep=lambda s: None)
+    assert log.filter("attempt = 1").count() == 8
+    done = {r.prompt_id for r in log.filter("valid").collect()}
+    assert len(done) >= 7 and log.groupBy("prompt_id").agg(F.max("attempt").alias("n")).filter("n > 4").isEmpty()
+
+
 def fail(seconds):
     raise AssertionError("no wait is needed when every answer is valid")
 
@@ -68,7 +80,7 @@ def test_retries_until_valid_and_four_at_most(spark, tmp_path):
     assert waited == list(rules.ATTEMPT_WAITS) == [1, 5, 10]
     per = {r.prompt_id: (r.n, r.v) for r in log.groupBy("prompt_id").agg(
         F.count("*").alias("n"), F.count_if("valid").alias("v")).collect()}
-    assert per == {"p0": (1, 1), "p1": (4, 0), "p2": (3, 1)}
+    assert per == {"p0": (2, 1), "p1": (4, 0), "p2": (4, 1)}
     assert classify.first_valid(log).filter("prompt_id = 'p1'").isEmpty()
 
 

@@ -43,7 +43,7 @@ def test_pair_both_ways_round(spark):
     runs = land(spark, (130, 79, 81))
     got = found(spark, points(spark), runs)
     assert (got[0].role, got[1].role, got[0].share, got[0].n) == ("latitude", "longitude", 1.0, 100)
-    assert got[0].reason == "possible GPS latitude, pairs with 'b' as longitude (100% of 100 points on land)"
+    assert got[0].reason == "read as latitude next to b, 100% of 100 sampled positions lie on land"
     swapped = found(spark, points(spark).select("b", "a"), runs)
     assert (swapped[0].role, swapped[1].role) == ("longitude", "latitude")
 

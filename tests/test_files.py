@@ -1,9 +1,7 @@
-"""Folders, archives, delimited text, and the resumable batch."""
+"""Folders, delimited text, and the resumable batch."""
 
 import gzip
-import io
-import tarfile
-import zipfile
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,31 +9,13 @@ from pyspark.sql import functions as F
 from tabwarden import rules
 from tabwarden.plans.batch import list_packages, run_folder, screen_packages
 from tabwarden.plans.package import load_package
-from tabwarden.sources import archives, files, text_tables
+from tabwarden.sources import files, text_tables
 from tabwarden.sources.sinks import LedgerStore
 from tabwarden.sources.tables import read_table
 
 CSV = "id,name,when\n1,Ann Lee,2020-01-01\n2,NA,\n3,Bob,x\n"
 
 
-def zip_bytes(members):
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for name, data in members:
-            z.writestr(name, data)
-    return buf.getvalue()
-
-
-def tar_bytes(members, mode="w:gz"):
-    buf = io.BytesIO()
-    with tarfile.open(fileobj=buf, mode=mode) as t:
-        for name, data in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            t.addfile(info, io.BytesIO(data))
-    return buf.getvalue()
-
-
 @pytest.fixture
 def package(tmp_path):
     root = tmp_path / "pkgs" / "study one"
@@ -52,11 +32,13 @@ def package(tmp_path):
     (root / ".DS_Store").write_text("junk")
     (root / "__MACOSX").mkdir()
     (root / "__MACOSX" / "z.csv").write_text(CSV)
-    inner = zip_bytes([("deep.csv", "m,n\n1,hello\n"), ("../up.csv", "u\n1\n")])
-    (root / "pack.zip").write_bytes(zip_bytes([("one.csv", CSV), ("in/inner.zip", inner), ("__MACOSX/x.csv", "a\n"),
-                                               ("bad\nname.csv", "a,b\n"), ("notes.gz", gzip.compress(b"hi"))]))
-    (root / "tape.tar.gz").write_bytes(tar_bytes([("t/one.csv", b"w,z\n1,2\n")]))
-    (root / "broken.zip").write_bytes(b"not a zip")
+    (root / "semi.csv").write_text('k;v\n1;"a;b"\n2;c\n')
+    (root / "ragged.csv").write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    (root / "late.csv").write_bytes(b"t,n\n" + b"plain,1\n" * 300_000 + "café,2\n".encode("cp1252"))
+    (root / "wide.csv").write_text("p,q\n1,é\n", encoding="utf-16")
+    (root / "packed.csv.gz").write_bytes(gzip.compress(b"w,z\n1,2\n"))
+    (root / "pack.zip").write_bytes(b"zip bytes")
+    (root / "tape.tar.gz").write_bytes(b"tar bytes")
     return root
 
 
@@ -65,42 +47,32 @@ def test_inventory_and_manifest(spark, package):
     assert ".DS_Store" not in listed and "__MACOSX/z.csv" not in listed
     assert listed["sub/copy of a.csv"].load_kind == "delimited" and listed["pack.zip"].archive_kind == "zip"
     assert listed["image.png"].load_kind is None
-    hashed = {r.path: r for r in files.hashed_inventory(spark, str(package), "d").collect()}
-    assert hashed["sub/copy of a.csv"].primary_path == "a.csv"
-    m = files.archive_manifest(files.hashed_inventory(spark, str(package), "d")).first()
-    assert m.archive_files == "broken.zip; pack.zip; tape.tar.gz" and len(m.archive_sha256s) == 3 * 64 + 4
-    assert m.archive_sizes_mb == "0.0; 0.0; 0.0"
-
-
-def test_archives_open_round_by_round(spark, package):
-    found = files.list_files(spark, str(package)).select(
-        F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    kept, problems = archives.expand(found.filter("path rlike 'zip$|gz$'"))
-    got = {r.path: bytes(r.content) for r in kept.collect()}
-    assert got == {"pack-zip/one.csv": CSV.encode(), "pack-zip/in/inner-zip/deep.csv": b"m,n\n1,hello\n",
-                   "pack-zip/in/inner-zip/up.csv": b"u\n1\n", "pack-zip/notes-gz/notes": b"hi",
-                   "tape-tar/t/one.csv": b"w,z\n1,2\n"}
-    texts = sorted(r.problem for r in problems.collect())
-    assert len(texts) == 2 and "could not be opened" in texts[0] and "invalid name" in texts[1]
-
-
-def test_unopened_nested_archives_stay_as_files(spark):
-    outer = zip_bytes([("x.rar", b"rar"), ("y.zip", b"broken")])
-    kept, problems = archives.expand(spark.createDataFrame([("o.zip", bytearray(outer))], "path string, content binary"))
-    assert sorted(r.path for r in kept.collect()) == ["o-zip/x.rar", "o-zip/y.zip"] and problems.count() == 2
-    nested = b"x"
-    for i in range(3):
-        nested = zip_bytes([("n.zip" if i else "n.csv", nested)])
-    kept, problems = archives.expand(spark.createDataFrame([("n.zip", bytearray(nested))], "path string, content binary"), rounds=2)
-    assert [r.path for r in kept.collect()] == ["n-zip/n-zip/n.zip"]
-    assert "nested deeper" in problems.collect()[-1].problem
+    m = load_package(spark, str(package), "d").manifest.first()
+    assert m.archive_files == "pack.zip; tape.tar.gz" and m.archive_sizes_mb == "0.0; 0.0"
+    assert m.archive_sha256s == "; ".join(hashlib.sha256(b).hexdigest() for b in (b"zip bytes", b"tar bytes"))
+
+
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PIECE_BYTES", 7)
+    (tmp_path / "a b%.bin").write_bytes(b"x" * 100)
+    with open(tmp_path / "huge.bin", "wb") as f:
+        f.truncate(3 << 30)
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n")
+    rows = spark.createDataFrame([(f"file:{tmp_path}/a b%.bin",), (f"file:{tmp_path}/none",)], "full_path string")
+    got = {r.full_path.rsplit("/", 1)[1]: r for r in files.file_digests(rows).collect()}
+    assert got["a b%.bin"].digest == hashlib.sha256(b"x" * 100).hexdigest() and got["none"].digest is None
+    assert got["none"].problem
+    pkg = load_package(spark, str(tmp_path), "d")     # a length of its own needs no hash
+    assert [t.file for t in pkg.tables] == ["t.csv"] and pkg.files.count() == 3
 
 
 def test_package_tables(spark, package):
+    spark.range(100).write.parquet(f"file:{package}/lake")
     pkg = load_package(spark, str(package), "d", labels={"a.csv": {"name": "Full name"}})
     tables = {t.file: t for t in pkg.tables}
-    assert sorted(tables) == ["a.csv", "b.tsv", "c.txt", "d.dat", "latin.csv", "pack-zip/in/inner-zip/deep.csv",
-                              "pack-zip/in/inner-zip/up.csv", "quoted.csv", "tape-tar/t/one.csv"]
+    assert sorted(tables) == ["a.csv", "b.tsv", "c.txt", "d.dat", "lake", "late.csv", "latin.csv", "packed.csv.gz", "quoted.csv",
+                              "ragged.csv", "semi.csv", "wide.csv"]
+    assert tables["lake"].df.count() == 100
     assert [tuple(r) for r in tables["quoted.csv"].df.collect()] == [(1, "two\nlines"), (2, 'a "b"')]
     assert tables["a.csv"].df.dtypes == [("id", "bigint"), ("name", "string"), ("when", "string")]
     assert [tuple(r) for r in tables["a.csv"].df.orderBy("id").collect()] == [
@@ -108,13 +80,16 @@ def test_package_tables(spark, package):
     assert tables["b.tsv"].df.dtypes == [("x", "bigint"), ("y", "double")]
     assert tables["c.txt"].df.columns == ["k", "v"] and tables["c.txt"].df.count() == 2
     assert tables["latin.csv"].df.first().city == "Málaga – x"
-    assert [tuple(r) for r in tables["pack-zip/in/inner-zip/deep.csv"].df.collect()] == [(1, "hello")]
+    assert [tuple(r) for r in tables["packed.csv.gz"].df.collect()] == [(1, 2)]
+    assert sorted(tuple(r) for r in tables["semi.csv"].df.collect()) == [(1, "a;b"), (2, "c")]
+    assert sorted(map(tuple, tables["ragged.csv"].df.collect())) == [(1, 2, 3), (4, 5, None)]
+    assert tables["late.csv"].df.filter("t = 'café'").count() == 1
+    assert [tuple(r) for r in tables["wide.csv"].df.collect()] == [(1, "é")]
     rows = {r.path: (r.primary_path, r.loaded) for r in pkg.files.collect()}
-    assert rows["pack-zip/one.csv"] == ("a.csv", False) and rows["sub/copy of a.csv"] == ("a.csv", False)
+    assert rows["sub/copy of a.csv"] == ("a.csv", False) and "pack.zip" not in rows
     assert rows["prose.txt"] == ("prose.txt", False) and rows["a.csv"] == ("a.csv", True)
     levels = sorted((r.level, r.message.split(":")[0]) for r in pkg.issues.collect())
-    assert levels == [("ERROR", "broken.zip"), ("ERROR", "pack.zip"), ("WARNING", "latin.csv"),
-                      ("WARNING", "pack-zip/in/inner-zip/up.csv"), ("WARNING", "quoted.csv")]
+    assert levels == [("WARNING", n) for n in ("late.csv", "latin.csv", "pack.zip", "ragged.csv", "tape.tar.gz", "wide.csv")]
 
 
 def test_dialects(spark):
@@ -126,6 +101,15 @@ def test_dialects(spark):
     assert got == {"comma": ",", "ragged": None, "blank": ";", "both": ";", "none": None, "late": "|", "tie": "\t"}
 
 
+def test_csv_marks_are_counted_outside_quotes(spark):
+    texts = {"semi": ['k;v', '1;"a;b"', '2;c'], "comma": ['a,b', '"x;y;z",2', '"p;q;r",4'], "none": ["word"],
+             "mostly": ["a|b", "1|2", "3|4", "oops"], "open": ['a,b', '1,"x;;;;']}
+    lines = spark.createDataFrame([(p, i, s) for p, ls in texts.items() for i, s in enumerate(ls)],
+                                  "path string, line_no bigint, line string")
+    got = {r.path: r.delimiter for r in text_tables.detect_csv_delimiters(lines).collect()}
+    assert got == {"semi": ";", "comma": ",", "mostly": "|", "open": ","}
+
+
 def test_missing_markers_and_types(spark):
     near = ["Na", " NA", "nil", "NULLs", "-"]
     df = spark.createDataFrame([(t,) for t in [*rules.MISSING_TOKENS, *near]], "v string")
@@ -139,8 +123,8 @@ def test_missing_markers_and_types(spark):
 def test_bad_lines_and_row_cap(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("a,b\n1,2\n3,4,5\n6,7\n")
-    assert text_tables.read_delimited(spark, str(path)).df.count() == 3
-    assert text_tables.read_delimited(spark, str(path), skip_bad_lines=True).df.count() == 2
+    assert text_tables.read_delimited(spark, str(path)).df.count() == 2
+    assert text_tables.read_delimited(spark, str(path), max_rows=9).df.count() == 2
     assert text_tables.read_delimited(spark, str(path), max_rows=1).df.count() == 1
     spark.range(9).write.parquet(str(tmp_path / "p"))
     assert read_table(spark, str(tmp_path / "p"), max_rows=4).df.count() == 4
@@ -163,9 +147,9 @@ def test_batch_resumes(spark, package, tmp_path):
     got = {r.package_path.rsplit("/", 1)[1]: r for r in done.collect()}
     assert got["empty"].status == rules.STATUS_NO_FILES and got["only_rar"].status == rules.STATUS_RAR
     one = got["study one"]
-    assert (one.status, one.n_data_files, one.n_duplicates, one.n_direct_pii, one.model) == ("done", 9, 2, 3, "m")
+    assert (one.status, one.n_data_files, one.n_duplicates, one.n_direct_pii, one.model) == ("done", 11, 1, 2, "m")
     saved = spark.read.parquet(f"{tmp_path}/out/results")
-    assert saved.filter("dataset_id = 'study one' and duplicate_of = 'a.csv'").count() == 4
+    assert saved.filter("dataset_id = 'study one' and duplicate_of = 'a.csv'").count() == 2
 
     def never(folders):
         seen.extend(folders)
@@ -175,7 +159,7 @@ def test_batch_resumes(spark, package, tmp_path):
     assert not seen and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, done.collect()), key=repr)
     store.write(store.read().withColumn("status", F.when(F.col("status") == "done", "running").otherwise(F.col("status"))))
     failed = run_folder(spark, str(root), store, str(tmp_path / "out"), run_many=never)
-    assert len(seen) == 1 and failed.filter("status = 'error' and n_data_files = 9").count() == 1
+    assert len(seen) == 1 and failed.filter("status = 'error' and n_data_files = 11").count() == 1
 
 
 def test_packages_share_a_run_and_fail_alone(spark, tmp_path):

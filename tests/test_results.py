@@ -28,9 +28,12 @@ def test_hot_join_equals_plain_join(spark, how):
 
 def test_duplicates_least_path_wins_and_unhashed_stand_alone(spark):
     files = spark.createDataFrame([("b", "1"), ("a", "1"), ("c", "2"), ("d", None), ("e", None)], "path string, digest string")
+    two = files.withColumn("dataset_id", F.lit("p")).unionByName(files.filter("path <> 'a'").withColumn("dataset_id", F.lit("q")))
     for at_least in (1, 100):
-        got = {r.path: r.primary_path for r in duplicates.with_primary(files, at_least=at_least).collect()}
+        got = {r.path: r.primary_path for r in duplicates.with_primary(files, within=None, at_least=at_least).collect()}
         assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e"}
+        got = {(r.dataset_id, r.path): r.primary_path for r in duplicates.with_primary(two, at_least=at_least).collect()}
+        assert got[("p", "b")] == "a" and got[("q", "b")] == "b" and len(got) == 9
     import hashlib
     data = b"hello world" * 5000
     df = spark.createDataFrame([(bytearray(data),)], "content binary")
@@ -38,13 +41,14 @@ def test_duplicates_least_path_wins_and_unhashed_stand_alone(spark):
 
 
 def test_copies_come_only_from_primaries_with_results(spark):
-    results = spark.createDataFrame([("a", "c1", "direct_pii", ""), ("a", "c2", "not_pii", "")],
-                                    "file string, col_name string, evaluation string, duplicate_of string")
-    files = spark.createDataFrame([("a", "a"), ("b", "a"), ("x", "x"), ("y", "x")], "path string, primary_path string")
+    results = spark.createDataFrame([("p", "a", "c1", "direct_pii", ""), ("p", "a", "c2", "not_pii", ""), ("q", "a", "c1", "error", "")],
+                                    "dataset_id string, file string, col_name string, evaluation string, duplicate_of string")
+    files = spark.createDataFrame([("p", "a", "a"), ("p", "b", "a"), ("p", "x", "x"), ("p", "y", "x"), ("q", "a", "a")],
+                                  "dataset_id string, path string, primary_path string")
     for at_least in (1, 100):
         got = sorted(map(tuple, duplicates.copy_to_duplicates(results, files, at_least).collect()))
-        assert got == [("a", "c1", "direct_pii", ""), ("a", "c2", "not_pii", ""),
-                       ("b", "c1", "direct_pii", "a"), ("b", "c2", "not_pii", "a")]
+        assert got == [("p", "a", "c1", "direct_pii", ""), ("p", "a", "c2", "not_pii", ""),
+                       ("p", "b", "c1", "direct_pii", "a"), ("p", "b", "c2", "not_pii", "a"), ("q", "a", "c1", "error", "")]
 
 
 def test_result_and_issue_counts(spark):
@@ -138,4 +142,7 @@ def test_sinks_replace_only_their_datasets(spark, tmp_path):
     assert sorted((r.dataset_id, r.col_name) for r in spark.read.parquet(f"{out}/results").collect()) == [("d1", "z"), ("d2", "c")]
     assert not (tmp_path / "out" / "issues").exists()
     save("d3", [])
+    save("d2", [])
+    assert [r.dataset_id for r in spark.read.parquet(f"{out}/results").collect()] == ["d1"]
+    assert sorted(r.dataset_id for r in spark.read.parquet(f"{out}/messages").collect()) == ["d2", "d3"]
     assert spark.read.parquet(f"{out}/messages").first().message == "No variables were evaluated"

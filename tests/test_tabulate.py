@@ -1,8 +1,6 @@
-"""Value samples against a single-pass restatement in Python."""
+"""What the groups of a value sample promise, on cells whose kinds are known."""
 
-import hashlib
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,44 +8,6 @@ from pyspark.sql import functions as F
 from tabwarden.operators import tabulate
 from tabwarden.plans.local import local_relation
 
-from test_text import nine_digits_in_a_span
-
-EMAIL = re.compile(r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}")
-WEB = re.compile(r"(https?://|www\.)\S+", re.IGNORECASE)
-CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-
-
-def md5(s):
-    return hashlib.md5(s.encode()).hexdigest()
-
-
-def expected(cells):
-    counts = {}
-    for c in cells:
-        if c is not None:
-            c = CONTROL.sub("", c)
-            counts[c] = counts.get(c, 0) + 1
-    if len(counts) <= 50:
-        return {"all": sorted(counts, key=lambda v: (-counts[v], md5(v)))}
-    kinds = {"email": [], "web": [], "long": []}
-    for v in sorted(counts, key=lambda v: (counts[v], md5(v))):
-        if len(kinds["email"]) < 5 and EMAIL.search(v):
-            kinds["email"].append(v)
-        elif len(kinds["web"]) < 5 and WEB.search(v):
-            kinds["web"].append(v)
-        elif len(kinds["long"]) < 5 and nine_digits_in_a_span(v):
-            kinds["long"].append(v)
-    other = kinds["email"] + kinds["web"] + kinds["long"]
-    rest = [v for v in counts if v not in other]
-    longest = sorted(rest, key=lambda v: (-len(v), -counts[v], md5(v)))[:10]
-    rest = [v for v in rest if v not in longest]
-    rarest = sorted(rest, key=lambda v: (counts[v], md5(v)))[:20]
-    rest = [v for v in rest if v not in rarest]
-    rnd = sorted(rest, key=lambda v: md5("0|" + md5(v)))[:20]
-    out = {"longest": longest, "rarest": sorted(rarest, key=lambda v: (-counts[v], md5(v))), "random": rnd, "other": other}
-    return {k: v for k, v in out.items() if v}
-
-
 def shown(spark, cells, counter):
     long = spark.createDataFrame([(7, c) for c in cells], "col_id int, value string").repartition(5)
     n_rows = local_relation(spark, [(7, len(cells))], "col_id int, n_rows bigint")
@@ -61,22 +21,51 @@ def shown(spark, cells, counter):
     return groups
 
 
-def random_cells(seed):
+KINDS = {"email": "user{}@mail.org", "web": "see www.x{}.org", "long": "call 555-010-{:04d}"}
+
+
+def planted_cells(seed):
+    """Cells with a known kind each: {value: count}, and {value: kind} of those with one."""
     rnd = random.Random(seed)
-    pool = []
-    for i in range(rnd.choice([40, 60, 150])):
-        pool.append(rnd.choice([
-            f"w{rnd.randint(0, 99)}", f"user{i}@mail.org", f"see www.x{i}.org", f"call 555-010-{1000 + i}",
-            f"u{i}@a.bc http://y.z", f"www.q.r {100000000 + i}", "x" * rnd.randint(1, 30), f"a\x0c{i % 7}", f"a{i % 7}", "é" * 5]))
-    return [rnd.choice(pool) for _ in range(600)] + [None] * 30
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_samples_equal_single_pass(spark, seed):
-    cells = random_cells(seed)
-    want = expected(cells)
-    assert shown(spark, cells, tabulate.clean_counts) == want
-    assert shown(spark, cells, tabulate.digest_counts) == want
+    kind_of = {form.format(i): kind for kind, form in KINDS.items() for i in range(rnd.choice([2, 5, 9, 30]))}
+    values = list(kind_of) + [f"w{'y' * rnd.randint(0, 40)}{i}" for i in range(rnd.choice([60, 90, 150]))] + ["é" * 45]
+    counts = {v: rnd.choice([1, 1, 2, 3, 7, 20]) for v in values}
+    cells = [v for v, n in counts.items() for _ in range(n)] + [None] * 30
+    rnd.shuffle(cells)
+    return cells, counts, kind_of
+
+
+@pytest.mark.parametrize("counter", [tabulate.clean_counts, tabulate.digest_counts])
+@pytest.mark.parametrize("seed", range(4))
+def test_samples_hold_what_they_promise(spark, seed, counter):
+    cells, counts, kind_of = planted_cells(seed)
+    groups = shown(spark, cells, counter)
+    picked = [v for own in groups.values() for v in own]
+    assert len(picked) == len(set(picked)) and set(picked) <= set(counts)
+    for kind in KINDS:                       # the rarest of each kind, five at most
+        own = [v for v, k in kind_of.items() if k == kind]
+        held = [v for v in groups.get("other", []) if kind_of[v] == kind]
+        assert len(held) == min(5, len(own))
+        assert not held or max(counts[v] for v in held) <= min((counts[v] for v in set(own) - set(held)), default=99)
+    rest = set(counts) - set(groups.get("other", []))
+    longest = groups["longest"]
+    assert len(longest) == 10 and [len(v) for v in longest] == sorted(map(len, longest), reverse=True)
+    rest -= set(longest)
+    assert min(map(len, longest)) >= max(map(len, rest))
+    rarest = groups["rarest"]
+    rest -= set(rarest)
+    assert len(rarest) == 20 and max(counts[v] for v in rarest) <= min(counts[v] for v in rest)
+    assert len(groups["random"]) == min(20, len(rest)) and set(groups["random"]) <= rest
+
+
+def test_both_ways_of_counting_and_reruns_agree(spark):
+    cells, _, _ = planted_cells(11)
+    first = shown(spark, cells, tabulate.clean_counts)
+    assert first == shown(spark, cells[::-1], tabulate.digest_counts) == shown(spark, cells, tabulate.clean_counts)
+
+
+def test_controls_are_not_told_apart(spark):
+    assert shown(spark, ["a\x0cb", "ab", "ab", "c"], tabulate.clean_counts) == {"all": ["ab", "c"]}
 
 
 @pytest.mark.parametrize("n", [50, 51])
