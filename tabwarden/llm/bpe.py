@@ -101,7 +101,7 @@ class TreeBpe:
         key = (left, right)
         held = self.pairs.get(key)
         if held is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 50_000:
                 self.pairs.clear()
             held = self.pairs[key] = self.merged(left + right) == [left, right]
         return held
