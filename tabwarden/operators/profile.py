@@ -154,17 +154,25 @@ def column_catalog(spark: SparkSession, tables: list[Table]) -> DataFrame:
     return local_relation(spark, catalog_rows(tables), COLUMN_SCHEMA)
 
 
-def profiled_columns(spark: SparkSession, tables: list[Table]) -> DataFrame:
-    """Run the profile once and keep catalog and profile as a local relation.
+def profile_rows(tables: list[Table]) -> list[list[tuple]]:
+    """The profile of each table's columns, without their ids, from one job over all tables."""
+    refs = catalog(tables)
+    found = {r.col_id: tuple(r)[1:] for r in profile_tables(tables).collect()} if refs else {}
+    out: list[list[tuple]] = [[] for _ in tables]
+    for r in refs:
+        out[r.table_id].append(found[r.col_id])
+    return out
+
+
+def profiled_columns(spark: SparkSession, tables: list[Table], rows: list[list[tuple]] | None = None) -> DataFrame:
+    """Run the profile once (or take its rows) and keep catalog and profile as a local relation.
 
     It has one row per column, like the schemas the driver already holds, and
     later steps choose from it which columns to read at all.
     """
-    profiles = {}
-    if catalog(tables):
-        profiles = {r.col_id: tuple(r)[1:] for r in profile_tables(tables).collect()}
+    profiles = [p for own in (profile_rows(tables) if rows is None else rows) for p in own]
     schema = T.StructType(COLUMN_SCHEMA.fields + PROFILE_SCHEMA.fields[1:])
-    return with_precheck(local_relation(spark, [r + profiles[r[0]] for r in catalog_rows(tables)], schema))
+    return with_precheck(local_relation(spark, [r + p for r, p in zip(catalog_rows(tables), profiles)], schema))
 
 
 def with_precheck(profile: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import __version__, rules
@@ -16,7 +18,7 @@ from ..operators.classify import (Responder, build_prompts, first_valid, merge_v
 from ..operators.coordinates import CANDIDATES, gps_candidates
 from ..operators.duplicates import copy_to_duplicates
 from ..operators.patterns import pattern_floors
-from ..operators.profile import profiled_columns
+from ..operators.profile import profile_rows, profiled_columns
 from ..operators.reports import (column_counts, dataset_summary, file_counts, issue_counts, result_counts,
                                  usage_totals)
 from ..operators.tabulate import render, tabulate_columns
@@ -51,20 +53,44 @@ def screen_columns(spark: SparkSession, tables: list[Table], land: DataFrame | N
 def readable_tables(spark: SparkSession, tables: list[Table]) -> tuple[list[Table], DataFrame, list[tuple]]:
     """Tables that can be scanned, their profiled columns, and an issue per table that cannot.
 
-    All tables are profiled in one job; only if it fails is each tried alone, so
-    one damaged file costs its own table and not the run.
+    All tables are profiled in one job. If it fails the tables are halved until the
+    damaged ones stand alone; what was profiled on the way is kept.
+    """
+    issues: list[tuple] = []
+
+    def profiles(chosen: list[Table]) -> list[list[tuple] | None]:
+        try:
+            return profile_rows(chosen)
+        except (PySparkException, Py4JJavaError) as e:
+            if len(chosen) == 1:
+                table = chosen[0]
+                issues.append((table.dataset_id, "ERROR", f"{table.file}: could not be read: {str(e).splitlines()[0]}"))
+                return [None]
+            half = len(chosen) // 2
+            return profiles(chosen[:half]) + profiles(chosen[half:])
+
+    rows = profiles(tables) if tables else []
+    good = [(t, r) for t, r in zip(tables, rows) if r is not None]
+    return [t for t, _ in good], profiled_columns(spark, [t for t, _ in good], [r for _, r in good]), issues
+
+
+def coordinate_columns(spark: SparkSession, tables: list[Table], columns: DataFrame, land: DataFrame | None,
+                       cells_per_degree: int) -> tuple[DataFrame, list[tuple]]:
+    """Coordinate columns of all tables, and an issue per table whose test failed.
+
+    The tables share their jobs; after a failure each is tested by itself.
     """
     try:
-        return tables, profiled_columns(spark, tables), []
-    except Exception:
-        good, issues = [], []
-        for t in tables:
+        return gps_candidates(spark, tables, columns, land, cells_per_degree), []
+    except (PySparkException, Py4JJavaError):
+        found, issues = local_relation(spark, [], CANDIDATES), []
+        for table_id, table in enumerate(tables):
             try:
-                profiled_columns(spark, [t])
-                good.append(t)
-            except Exception as e:
-                issues.append((t.dataset_id, "ERROR", f"{t.file}: could not be read: {str(e).splitlines()[0]}"))
-        return good, profiled_columns(spark, good), issues
+                own = columns.filter(F.col("table_id") == table_id)
+                found = found.unionByName(gps_candidates(spark, tables, own, land, cells_per_degree))
+            except (PySparkException, Py4JJavaError) as e:
+                issues.append((table.dataset_id, "ERROR", f"{table.file}: coordinate test failed: {str(e).splitlines()[0]}"))
+        return found, issues
 
 
 @dataclass(frozen=True)
@@ -122,12 +148,8 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
         kept = local_relation(spark, [(t.dataset_id, t.file) for t in tables], "dataset_id string, path string")
         files = files.join(kept.withColumn("kept", F.lit(True)).distinct(), ["dataset_id", "path"], "left").withColumn(
             "loaded", F.col("loaded") & F.coalesce("kept", F.lit(False))).drop("kept")
-    try:
-        gps = gps_candidates(spark, tables, columns, land, cells_per_degree)
-    except Exception as e:  # a failing coordinate test costs the coordinates, not the run
-        gps = local_relation(spark, [], CANDIDATES)
-        issues = issues.unionByName(local_relation(
-            spark, [(d, "ERROR", f"coordinate test failed: {e}") for d in datasets], ISSUES))
+    gps, untested = coordinate_columns(spark, tables, columns, land, cells_per_degree)
+    issues = issues.unionByName(local_relation(spark, untested, ISSUES))
     screened = apply_cascade(columns, open_category_stats(spark, tables, columns), gps)
     rows = [tuple(r) for r in screened.collect()]    # one per column, like the schemas
     screened = local_relation(spark, rows, screened.schema)

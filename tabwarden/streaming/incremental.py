@@ -101,9 +101,9 @@ class ArrivingTable:
         return pattern_floors(named.join(pattern_stats(self.counts()), "col_id"))
 
     def compact(self) -> None:
-        """Fold all complete batches into a new base; readers switch when it is complete.
+        """Fold all complete batches into a new base, then remove what went into it.
 
-        Folded batches stay on disk until a later call, when nothing reads them any more.
+        Not while another process reads this state: call it between queries.
         """
         Path, fs = self._fs()
         for kind in ("profile", "counts"):
@@ -113,6 +113,8 @@ class ArrivingTable:
             last = parts[-1][1]
             merged = self.profile() if kind == "profile" else self.counts()
             merged.write.mode("overwrite").parquet(f"{self.folder}/{kind}/base={last}")
+            for _, _, part in parts:
+                fs.delete(Path(part), True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Feed a stream into the state; the checkpoint makes each batch count once."""

@@ -478,6 +478,14 @@ SELECT 'survey' AS file, col_name, n_rows, filter_reason, {verdict_case('is_gps'
     o["throughput_minute"] = """
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS columns_processed FROM events GROUP BY 1
 UNION ALL SELECT 'TOTAL', count(*) FROM events"""
+    o["throughput_stream"] = """
+SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS columns_processed FROM events GROUP BY 1"""
+    o["archive_manifest_rows"] = """
+WITH top AS (SELECT source AS dataset_id, concat(doc_id, ['.zip', '.tar.gz', '/in.csv', '/deep.zip', '.RAR'][doc_id % 5 + 1]) AS path,
+  cast(round(n_chars * 1000 / 1024.0 / 1024.0, 2) AS double) AS mb, sha256(text) AS digest FROM documents WHERE doc_id % 5 NOT IN (2, 3))
+SELECT dataset_id, string_agg(path, '; ' ORDER BY path) AS archive_files,
+  string_agg(cast(mb AS varchar), '; ' ORDER BY path) AS archive_sizes_mb,
+  string_agg(digest, '; ' ORDER BY path) AS archive_sha256s FROM top GROUP BY 1"""
     ledger = f"""known AS ({planted.duck_text(planted.LEDGER)}), found AS ({planted.duck_text(planted.DISCOVERED)}),
 led AS (SELECT package_path, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status, notes, n_files_total,
     cast(NULL AS varchar) AS archive_files, priority FROM known

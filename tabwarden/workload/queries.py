@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -12,11 +13,13 @@ from ..functions import answers, names, paths, text
 from ..operators import cascade, coordinates, duplicates, ledger, patterns, reports, tabulate, values
 from ..operators.classify import first_valid, merge_verdicts
 from ..operators.profile import profiled_columns
-from ..plans.durable import durable
+from ..plans.durable import durable, shared_folder
 from ..plans.local import local_relation
 from ..plans.screen import floors_of, screen_columns, screen_dataset, tabulate_candidates
-from ..sources import files as file_source, text_tables
+from ..sources import text_tables
+from ..sources.files import archive_manifest
 from ..sources.tables import Table, catalog
+from ..streaming.throughput import throughput_stream as stream_minutes
 from . import planted
 
 # Python workers get the stand-in classifier itself and need not have the package installed.
@@ -405,6 +408,34 @@ def throughput_minute(spark, sf_dir):
     return reports.throughput(planted.table(spark, sf_dir, "events"))
 
 
+@query
+def throughput_stream(spark, sf_dir):
+    """The same from a stream, without the total; each trigger's answer replaces the one before."""
+    path = f"{sf_dir}/events.parque[t]"  # as a pattern, a file and a folder are both taken
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder = f"{shared_folder(spark).rstrip('/')}/tabwarden-stream-{uuid.uuid4().hex}"
+
+    def replace(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/minutes")
+
+    (stream_minutes(log).writeStream.outputMode("complete").foreachBatch(replace)
+     .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{folder}/minutes").select(
+        F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "columns_processed")
+
+
+@query
+def archive_manifest_rows(spark, sf_dir):
+    """Documents as files of their source, two in three of them archives at the top."""
+    doc = F.col("doc_id")
+    ending = F.element_at(F.array(F.lit(".zip"), F.lit(".tar.gz"), F.lit("/in.csv"), F.lit("/deep.zip"), F.lit(".RAR")),
+                          (doc % 5 + 1).cast("int"))
+    files = planted.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("dataset_id"), F.concat(doc.cast("string"), ending).alias("path"),
+        (F.col("n_chars") * 1000).alias("length"), F.sha2("text", 256).alias("digest"))
+    return archive_manifest(files)
+
+
 # --- ledger ------------------------------------------------------------------------------------
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

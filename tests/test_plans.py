@@ -74,3 +74,26 @@ def test_copies_of_a_file_fold_before_the_shuffle(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("path"), F.lit("d").alias("digest"))
     plan = plan_of(duplicates.duplicate_groups(df))
     assert "partial_min" in plan and "Window" not in plan
+
+
+def test_a_damaged_table_costs_itself_only(spark, tmp_path):
+    from tabwarden.plans import screen
+
+    good = [Table(spark.range(50).selectExpr("id", f"concat('n', id) as v{i}"), f"t{i}", dataset_id="d") for i in range(5)]
+    spark.range(20).write.parquet(str(tmp_path / "bad"))
+    bad = Table(spark.read.schema("id string").parquet(str(tmp_path / "bad")), "bad", dataset_id="d")
+    calls = []
+    rows_of = screen.profile_rows
+
+    def counted(tables):
+        calls.append(len(tables))
+        return rows_of(tables)
+
+    screen.profile_rows = counted
+    try:
+        tables, columns, issues = screen.readable_tables(spark, [*good[:3], bad, *good[3:]])
+    finally:
+        screen.profile_rows = rows_of
+    assert [t.file for t in tables] == [t.file for t in good] and columns.count() == 10
+    assert len(issues) == 1 and issues[0][2].startswith("bad: could not be read") and calls == [6, 3, 3, 1, 2]
+    assert [r.file for r in columns.orderBy("col_id").collect()] == [t.file for t in good for _ in range(2)]

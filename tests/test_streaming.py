@@ -57,6 +57,7 @@ def test_arriving_table_equals_whole_table(spark, arriving, tmp_path):
     assert rows(state.columns()) == want and kept
     state.compact()
     assert len(state._parts("counts")) == 1 and rows(state.columns()) == want
+    assert [d.name for d in (tmp_path / "state" / "counts").iterdir()] == [f"base={last + 1}"]
     state.add_batch(df.limit(10), last + 2)
     assert state.columns().first().n_rows == 910
     state.add_batch(df.limit(10), last + 2)                # replayed batch counts once
