@@ -86,4 +86,50 @@ QUERIES = {
     "op10_lines": op10_lines,
 }
 
-ORACLE: dict[str, str] = {}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: DuckDB's SQL for the same rows, where SQL can express them on whole tables.
+ORACLE: dict[str, str] = {
+    "op6_chat": f"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+placed AS (SELECT conv_id, row_number() OVER w AS k,
+    string_agg(concat('{chat.START}', coalesce(role, 'unknown'), chr(10), coalesce(text, ''), '{chat.END}', chr(10)), '') OVER w AS said
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT conv_id, max(k) AS n_turns, arg_max(said, k) AS rendered FROM placed GROUP BY 1),
+starts AS (SELECT DISTINCT p.k, p.said FROM placed p JOIN whole w USING (conv_id) WHERE p.k < w.n_turns)
+SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, rendered FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM starts s WHERE s.k = w.n_turns AND s.said = w.rendered) GROUP BY n_turns, rendered""",
+    "op8_quality": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+listed AS (SELECT r, {WORDS.format('t')} AS ws FROM docs),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM listed),
+windows AS (SELECT r, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS hit FROM windows),
+marked AS (SELECT r, hit OR coalesce(lag(hit) OVER o, false) OR coalesce(lag(hit, 2) OVER o, false) AS inside
+  FROM twice WINDOW o AS (PARTITION BY r ORDER BY i)),
+repeats AS (SELECT r, count(*) FILTER (inside) AS n_repeat_words FROM marked GROUP BY 1),
+lines AS (SELECT r, source, unnest(string_split(t, chr(10))) AS line FROM docs),
+full_lines AS (SELECT r, source, line, {WORDS.format('line')} AS ws FROM lines),
+kept_lines AS (SELECT r, source, line, len(ws) AS n, array_to_string(list_transform(
+    ws, lambda w: regexp_replace({LOWER.format('w')}, '[0-9]+', '0', 'g')), ' ') AS norm FROM full_lines WHERE len(ws) > 0),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM kept_lines GROUP BY 1),
+hot AS (SELECT source, norm FROM kept_lines GROUP BY ALL HAVING count(DISTINCT r) > 100),
+gone AS (SELECT r, sum(n) AS gone FROM kept_lines k SEMI JOIN hot h ON k.norm = h.norm AND k.source IS NOT DISTINCT FROM h.source GROUP BY 1),
+figures AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone, 0)::BIGINT AS removed_words
+  FROM docs JOIN listed USING (r) LEFT JOIN dups USING (r) LEFT JOIN repeats USING (r) LEFT JOIN gone USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM figures)
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM judged""",
+    "op9_jaccard": f"""
+WITH RECURSIVE listed AS (SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM listed),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared s JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * s.n >= 85 * (a.n + b.n - s.n)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.c),
+named AS (SELECT doc_id, min(c) AS component_id, count(*) AS n_rows FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, n_rows FROM named LEFT JOIN sizes USING (doc_id)""",
+}
