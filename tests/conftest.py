@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,7 @@ from tabwarden.plans.session import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-                                        "spark.driver.memory": "6g"})
+                                        "spark.driver.memory": "6g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tabwarden-tests-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
