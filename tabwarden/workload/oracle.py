@@ -414,6 +414,7 @@ SELECT word, {email('word')} AS email, {web('word')} AS web, {long_digit('word')
                          f"UNION ALL SELECT 'stops', * FROM ({precheck('stops', STOPS_COLS)})")
     o["gps_pairs"] = pair_query("survey", SURVEY, SURVEY_COLS, "respondent_id")
     o["gps_pairs_sampled"] = pair_query("stops", STOPS, STOPS_COLS, "stop_id")
+    o["gps_edges"] = pair_query("edges", planted.duck_text(planted.EDGES), {"edge_id": "int", "pos_y": "dbl", "pos_x": "dbl"}, "edge_id")
     o["gps_candidates"] = (gps_query("survey", SURVEY, SURVEY_COLS, "respondent_id") + " UNION ALL "
                            + gps_query("stops", STOPS, STOPS_COLS, "stop_id"))
     o["exact_duplicates"] = DOCS + "SELECT path, digest, primary_path FROM files"

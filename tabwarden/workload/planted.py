@@ -51,7 +51,22 @@ SELECT o_orderkey AS stop_id,
 FROM orders
 """
 
-LAND = "SELECT cast(130 AS int) AS lat_idx, cast(79 AS int) AS lon_start, cast(81 AS int) AS lon_end"
+# Positions at the poles, the date line, around the southern limit of land, and at run ends.
+EDGES = """
+SELECT o_orderkey AS edge_id,
+  CASE o_orderkey % 6 WHEN 0 THEN cast(90 AS double) WHEN 1 THEN cast(-90 AS double)
+    WHEN 2 THEN -60 - (o_custkey % 7) / cast(1024 AS double) WHEN 3 THEN -60 + (o_custkey % 900) / cast(1024 AS double)
+    WHEN 4 THEN (o_custkey % 3 - 1) / cast(128 AS double) ELSE 40 + (o_custkey % 1200) / cast(1024 AS double) END AS pos_y,
+  CASE o_orderkey % 5 WHEN 0 THEN cast(180 AS double) WHEN 1 THEN cast(-180 AS double)
+    WHEN 2 THEN -80 + (o_custkey % 1024) / cast(1024 AS double) ELSE -101 + (o_custkey % 3000) / cast(1024 AS double) END AS pos_x
+FROM orders
+"""
+
+#: (latitude row, first and last longitude column) in whole degrees from the south pole and the date line.
+LAND_RUNS = ((130, 79, 81), (130, 200, 260), (131, 79, 79), (179, 0, 179), (0, 0, 359), (30, 90, 140), (29, 90, 140),
+             (90, 0, 0), (90, 359, 359))
+LAND = " UNION ALL ".join(
+    f"SELECT cast({y} AS int) AS lat_idx, cast({a} AS int) AS lon_start, cast({b} AS int) AS lon_end" for y, a, b in LAND_RUNS)
 
 
 def spark_text(sql: str) -> str:
@@ -81,6 +96,10 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, STOPS, ("orders",))
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, EDGES, ("orders",))
+
+
 def land(spark: SparkSession) -> DataFrame:
     return spark.sql(LAND)
 

@@ -285,6 +285,11 @@ def gps_pairs_sampled(spark, sf_dir):
     return _pair_shares(spark, [stops_table(spark, sf_dir)])
 
 
+@query
+def gps_edges(spark, sf_dir):
+    return _pair_shares(spark, [Table(planted.edges(spark, sf_dir), "edges", row_key=("edge_id",))])
+
+
 @query
 def gps_candidates(spark, sf_dir):
     tables = [survey_table(spark, sf_dir), stops_table(spark, sf_dir)]
