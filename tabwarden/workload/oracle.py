@@ -363,6 +363,8 @@ def _oracle() -> dict[str, str]:
     with_survey = f"WITH survey AS ({SURVEY})"
     o["column_profile"] = f"{with_survey} SELECT {PROFILE_OUT} FROM ({profile('survey', SURVEY_COLS)})"
     o["column_profile_lineitem"] = f"SELECT {PROFILE_OUT} FROM ({profile('lineitem', TABLE_COLS['lineitem'])})"
+    out = PROFILE_OUT.replace(", n_unique, min_count", "")
+    o["arriving_profile"] = f"SELECT {out} FROM ({profile('orders', TABLE_COLS['orders'])})"
     screened = f"""{with_survey}, prof AS ({profile('survey', SURVEY_COLS)}),
 {pair_ctes('survey', SURVEY_COLS, 'respondent_id')} {candidate_ctes(SURVEY_COLS)},
 coded AS (SELECT prof.*, gps.reason AS gps_reason, {cascade_code('gps.reason IS NOT NULL').replace('col_name', 'prof.col_name')} AS reason_code
@@ -420,6 +422,9 @@ SELECT word, {email('word')} AS email, {web('word')} AS web, {long_digit('word')
     o["exact_duplicates"] = DOCS + "SELECT path, digest, primary_path FROM files"
     o["duplicate_groups"] = DOCS + "SELECT digest, min(path) AS primary_path, count(*) AS n_files FROM files GROUP BY 1"
     o["duplicate_results"] = DOCS + "SELECT * FROM results"
+    o["saved_results"] = DOCS + """SELECT dataset_id, count(*) AS n FROM results WHERE dataset_id <> 'src1' GROUP BY 1
+UNION ALL SELECT DISTINCT dataset_id, 0 FROM files WHERE dataset_id = 'src1'
+UNION ALL SELECT dataset_id, 0 FROM files f WHERE dataset_id <> 'src1' AND dataset_id NOT IN (SELECT dataset_id FROM results) GROUP BY 1"""
     o["result_counts"] = DOCS + "SELECT * FROM rc"
     o["file_counts"] = DOCS + "SELECT * FROM fc"
     shown = [(k, lab) for k, lab in rules.OVERVIEW_LABELS if k not in ("n_warnings", "n_errors")]
@@ -492,6 +497,7 @@ led AS (SELECT package_path, CASE WHEN status = 'running' THEN 'pending' ELSE st
     cast(NULL AS varchar) AS archive_files, priority FROM known
   UNION ALL SELECT package_path, 'pending', NULL, NULL, NULL, NULL FROM found WHERE package_path NOT IN (SELECT package_path FROM known))"""
     o["ledger_transition"] = f"WITH {ledger} SELECT package_path, status, notes, n_files_total, priority FROM led"
+    o["ledger_versions"] = o["ledger_transition"]
     o["ledger_status_counts"] = f"""WITH {ledger} SELECT count(*) FILTER (status = 'pending') AS n_pending,
   count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'skip') AS n_skip FROM led"""
     o["ledger_finish"] = f"""WITH {ledger}, s AS ({planted.duck_text(planted.SUMMARIES)})

@@ -18,7 +18,9 @@ from ..plans.local import local_relation
 from ..plans.screen import floors_of, screen_columns, screen_dataset, tabulate_candidates
 from ..sources import text_tables
 from ..sources.files import archive_manifest
+from ..sources.sinks import RESULT_COLUMNS, LedgerStore, save_results
 from ..sources.tables import Table, catalog
+from ..streaming.incremental import ArrivingTable
 from ..streaming.throughput import throughput_stream as stream_minutes
 from . import planted
 
@@ -69,6 +71,18 @@ def column_profile_lineitem(spark, sf_dir):
     return _full_profile(spark, [driver_table(spark, sf_dir, "lineitem")])
 
 
+@query
+def arriving_profile(spark, sf_dir):
+    """Orders that arrive in three batches, one of them twice, folded once on the way."""
+    orders = planted.table(spark, sf_dir, "orders")
+    state = ArrivingTable(spark, _folder(spark, "arriving"), orders.schema, "orders")
+    for batch_id in (0, 1, 1, 2):
+        state.add_batch(orders.filter(F.col("o_orderkey") % 3 == batch_id), batch_id)
+        if batch_id == 1:
+            state.compact()
+    return state.columns().select("col_idx", "col_name", "n_rows", "n_nonnull", "max_abs", "has_frac", "max_len")
+
+
 @query
 def candidate_columns(spark, sf_dir):
     screened = screen_columns(spark, [survey_table(spark, sf_dir)], planted.land(spark))
@@ -338,6 +352,26 @@ def duplicate_results(spark, sf_dir):
     return _document_results(spark, sf_dir)[1]
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tabwarden-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def saved_results(spark, sf_dir):
+    """Results of all datasets saved, then src1 saved again by a run that found nothing; what is read back."""
+    _, results = _document_results(spark, sf_dir)
+    full = results.select("*", *[F.lit("").alias(c) for c in RESULT_COLUMNS if c not in results.columns])
+    run = planted.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset_id")).distinct().withColumn("version", F.lit("1"))
+    issues = local_relation(spark, [], "dataset_id string, level string, message string")
+    folder = _folder(spark, "saved")
+    overview = run.select("dataset_id", F.lit("version").alias("metric"), F.col("version").alias("value"))
+    save_results(folder, full, issues, run, overview)
+    save_results(folder, full.limit(0), issues, run.filter("dataset_id = 'src1'"), overview.filter("dataset_id = 'src1'"))
+    kept = spark.read.parquet(f"{folder}/results").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    said = spark.read.parquet(f"{folder}/messages").select("dataset_id", F.lit(0).cast("bigint").alias("n"))
+    return kept.unionByName(said).withColumn("dataset_id", F.col("dataset_id").cast("string"))
+
+
 @query
 def result_counts(spark, sf_dir):
     return reports.result_counts(_document_results(spark, sf_dir)[1])
@@ -418,7 +452,7 @@ def throughput_stream(spark, sf_dir):
     """The same from a stream, without the total; each trigger's answer replaces the one before."""
     path = f"{sf_dir}/events.parque[t]"  # as a pattern, a file and a folder are both taken
     log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    folder = f"{shared_folder(spark).rstrip('/')}/tabwarden-stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
 
     def replace(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/minutes")
@@ -454,6 +488,16 @@ def ledger_transition(spark, sf_dir):
     return _ledger(spark, sf_dir).select("package_path", "status", "notes", "n_files_total", "priority")
 
 
+@query
+def ledger_versions(spark, sf_dir):
+    """The ledger as a third version of its store gives it back."""
+    store = LedgerStore(spark, _folder(spark, "ledger"))
+    found = _ledger(spark, sf_dir)
+    store.write(found.limit(0))
+    store.write(found)
+    return store.write(store.read()).select("package_path", "status", "notes", "n_files_total", "priority")
+
+
 @query
 def ledger_status_counts(spark, sf_dir):
     return ledger.status_counts(_ledger(spark, sf_dir))
