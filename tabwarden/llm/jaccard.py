@@ -7,10 +7,13 @@ link when their similarity is at least `percent` / 100.
 
 1. Equal sets become one node.
 2. Top regions. Nearly all documents are at distance 1 from any pivot, where no pivot tells
-   them apart, so the first cut uses what a link implies: of each set's shingles, in one
+   them apart, so the first cut uses what a link implies. Of each set's shingles, in one
    order for all (rare ones first, by counts in a table of CELLS cells), linked sets share
-   one among their first n - ceil(t n) + 1. Nodes that share such a shingle are in one
-   region; regions are the components of stars, one star for each shingle.
+   one among their first n - ceil(t n) + 1. And the universe is cut into SLICES slices by
+   hash, with the empty set as the pivot of each: by the triangle inequality the sizes of
+   two sets' parts differ by no more than the parts' symmetric difference, so in sum by no
+   more than (1 - t) / (1 + t) (|x| + |y|). Regions are the components of the pairs that
+   pass both; of each bucket of nodes with one shingle a spanning forest is kept.
 3. In a region, PIVOTS pivots are chosen and all distances to them computed. A node links
    to each pivot within reach. A node goes to the Voronoi region of its nearest pivot, and
    by the triangle inequality to each other region whose pivot is less than twice the
@@ -40,13 +43,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from . import batches as B
 from .bitmaps import Bitmap, has
 from .components import components
-from .lines import Forest
+from .lines import Forest, _runs, whole_buckets
 from .stored import dropped, stored
 
 B.ship(__name__)
 
 CELLS = 1 << 20
 CELL_BLOCK = 1 << 12
+SLICES = 256
 PIVOTS = 8
 LEAF = 48
 REGION_BYTES = 32 << 20
@@ -88,23 +92,35 @@ def node_ids(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, node, np.uint64(0))
 
 
+SIZES = ["doc", "row_id", "node", "n", "slices", "block", "counts"]
+
+
+def slice_sizes(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sets x SLICES: how many shingles of a set are in each slice, 255 for more."""
+    n = len(at) - 1
+    text = np.repeat(np.arange(n), np.diff(at))
+    place = (shingle >> np.uint64(56)).astype(np.int64) * SLICES // 256
+    return np.minimum(np.bincount(text * SLICES + place, minlength=n * SLICES), 255).astype(np.uint8).reshape(n, SLICES)
+
+
 def _sizes(width: int):
-    """A row for each document (doc, node, n), and this task's counts of shingles by cell."""
+    """A row for each document (doc, node, n, slices), and this task's counts of shingles by cell."""
     def run(batches):
         cells = np.zeros(CELLS, np.int64)
         for rows, texts in B.slices(batches, "text"):
+            m = rows.num_rows
             shingle, at = shingle_sets(texts, width)
             cells += np.bincount((shingle % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-            none = pa.nulls(rows.num_rows, pa.int32())
+            parts = B.binary_rows(slice_sizes(shingle, at).ravel(), np.arange(m + 1) * SLICES)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc"), pa.array(node_ids(shingle, at).view(np.int64)), pa.array(np.diff(at)),
-                 none, pa.nulls(rows.num_rows, pa.binary())], ["doc", "node", "n", "block", "counts"])
+                [rows.column("doc"), rows.column("row_id"), pa.array(node_ids(shingle, at).view(np.int64)), pa.array(np.diff(at)),
+                 parts, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], SIZES)
         if cells.any():
             parts = [x.astype("<u4").tobytes() for x in cells.reshape(-1, CELL_BLOCK)]
             m = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, rows.column("doc").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                 pa.array(np.arange(m, dtype=np.int32)), pa.array(parts, pa.binary())], ["doc", "node", "n", "block", "counts"])
+                [pa.nulls(m, rows.column("doc").type), *[pa.nulls(m, pa.int64()) for _ in range(3)], pa.nulls(m, pa.binary()),
+                 pa.array(np.arange(m, dtype=np.int32)), pa.array(parts, pa.binary())], SIZES)
 
     return run
 
@@ -124,10 +140,10 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n) // 100 + 1
 
 
-def _stars(width: int, percent: int, counts: np.ndarray):
-    """Postings (shingle, node) of a task's sets; sets that share a shingle here leave one, and an edge each."""
+def _postings(width: int, percent: int, counts: np.ndarray):
+    """A row for each of the first shingles of each set; equal sets of a slice count once."""
     def run(batches):
-        for _, texts in B.slices(batches, "text", 2 * B.SLICE_BYTES):
+        for _, texts in B.slices(batches, "text"):
             shingle, at = shingle_sets(texts, width)
             node = node_ids(shingle, at).view(np.int64)
             _, first = np.unique(node, return_index=True)
@@ -139,38 +155,59 @@ def _stars(width: int, percent: int, counts: np.ndarray):
             order = np.lexsort((own, rank, which))
             inside = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
             head = order[inside < np.repeat(prefix_size(size, percent), size)]
-            key, name = own[head].view(np.int64), node[first][which[head]]
-            order = np.lexsort((name, key))
-            key, name = key[order], name[order]
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            star = name[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else name
-            other = name != star
-            edges = np.unique(np.stack([star[other], name[other]], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"key": key[new], "a": name[new], "b": name[new]})
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.int64()), pa.array(edges[:, 0]), pa.array(edges[:, 1])],
-                                             ["key", "a", "b"])
+            yield pa.RecordBatch.from_pydict({"key": own[head].view(np.int64), "node": node[first][which[head]]})
 
     return run
 
 
-def _joined_stars(batches):
-    """Edges from the least node of each shingle to its others; rows come sorted by (key, a)."""
-    last_key, last_star = None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node = batch.column("key").to_numpy(), batch.column("a").to_numpy()
+def _met(batches):
+    """The nodes of each shingle that several nodes have, under a hash of all of them; rows come sorted.
+
+    Buckets of the same nodes get the same hash, and are one from then on.
+    """
+    for table in whole_buckets(batches):
+        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
         new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        if last_key is not None and key[0] == last_key:
-            new[0] = False
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        star = np.where(at >= 0, node[np.maximum(at, 0)], last_star)
-        last_key, last_star = int(key[-1]), int(star[-1])
-        other = node != star
-        edges = np.unique(np.stack([star[other], node[other]], 1), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": edges[:, 0], "b": edges[:, 1]})
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        head, size = _runs(key)
+        running = np.concatenate([[0], np.cumsum(B.mixed(node.view(np.uint64) + np.uint64(9)), dtype=np.uint64)])
+        name = B.mixed(running[head + size] - running[head] + size.astype(np.uint64))
+        some = size > 1
+        _, first = np.unique(name[some], return_index=True)
+        head, size, name = head[some][first], size[some][first], name[some][first]
+        yield pa.RecordBatch.from_pydict({"key": np.repeat(name, size).view(np.int64), "node": B.gathered(node, head, size)})
+
+
+def _coarse(percent: int):
+    """A spanning forest of the pairs of each bucket whose slices' sizes allow a link."""
+    def run(batches):
+        for table in whole_buckets(batches):
+            node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+            values = B.texts_of(table.column("slices"))
+            slices = values.data.reshape(-1, SLICES)
+            head, size = _runs(table.column("key").to_numpy())
+
+            def near(i, j):
+                apart = np.abs(slices[j].astype(np.int16) - slices[i].astype(np.int16)).sum(-1, dtype=np.int64)
+                return (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+
+            pairs = head[size == 2]
+            pairs = pairs[near(pairs, pairs + 1)] if len(pairs) else pairs
+            out = [np.stack([node[pairs], node[pairs + 1]], 1)]
+            for s, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+                forest, found = Forest(m), []
+                for i in range(m - 1):
+                    for j in (np.flatnonzero(near(s + i, slice(s + i + 1, s + m))) + i + 1).tolist():
+                        if forest.join(i, j):
+                            found.append((node[s + i], node[s + j]))
+                    if len(found) == m - 1:
+                        break
+                out.append(np.array(found, np.int64).reshape(-1, 2))
+            edges = np.concatenate(out)
+            yield pa.RecordBatch.from_pydict({"a": edges[:, 0], "b": edges[:, 1]})
+
+    return run
 
 
 def _sets(width: int, wanted: Bitmap):
@@ -318,6 +355,15 @@ REGION = "region long, node long, shingles binary"
 LINKS = "a long, b long"
 
 
+MET = "key long, node long"
+
+
+def _sorted(rows: DataFrame, key: str, then: str) -> DataFrame:
+    """Rows of a key in one partition, in order; tasks stream over them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key).sortWithinPartitions(key, then)
+
+
 def _bytes() -> Column:
     return F.length("shingles").cast("long") + 16
 
@@ -380,13 +426,13 @@ def _all(links: list[DataFrame]) -> DataFrame:
     return out
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
-                       percent: int = 85) -> DataFrame:
-    """One row per document: its id, n_shingles, component_id and n_rows of its component."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """doc, row_id (a hash of id and text), n and group of each row; group is null for empty sets."""
     id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    size_schema = T.StructType([T.StructField("doc", id_type), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-                                T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_id"),
+                       F.col(text_col).cast("string").alias("text"))
+    size_schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in ("row_id", "node", "n")],
+                                T.StructField("slices", T.BinaryType()), T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     sizes = stored(rows.mapInArrow(_sizes(width), size_schema), "set-sizes")
     # CELLS counts come to the driver and go to the tasks, whatever the corpus.
     blocks = sizes.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(
@@ -395,24 +441,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for block, part in zip(blocks.column("block").to_pylist(), blocks.column("counts").to_pylist()):
         counts[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(part, "<u4")
     text = rows.select("text")
-    posted = stored(text.mapInArrow(_stars(width, percent, counts), "key long, a long, b long"), "postings")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = (posted.filter("key is not null").select("key", "a").repartition(n, "key").sortWithinPartitions("key", "a")
-           .mapInArrow(_joined_stars, LINKS))
-    stars = met.unionByName(posted.filter("key is null").select("a", "b"))
-    top = components(stars)
-    dropped(posted)
+    posted = text.mapInArrow(_postings(width, percent, counts), MET)
+    met = stored(_sorted(posted, "key", "node").mapInArrow(_met, MET).distinct(), "met")
+    nodes = (sizes.filter("n > 0").join(met.select("node").distinct(), "node", "left_semi")
+             .groupBy("node").agg(F.first("n").alias("n"), F.first("slices").alias("slices")))
+    pairs = _sorted(met.join(nodes, "node").select("key", "node", "n", "slices"), "key", "node")
+    top = components(pairs.mapInArrow(_coarse(percent), LINKS))
+    dropped(met)
     sets = (text.mapInArrow(_sets(width, Bitmap.of(top, "node")), "node long, shingles binary")
             .groupBy("node").agg(F.first("shingles").alias("shingles")))
     regions = stored(sets.join(top, "node").select(F.col("component").alias("region"), "node", "shingles"), "regions")
     groups = components(region_links(regions, percent))
     dropped(regions)
-    named = sizes.filter("block is null").select("doc", "node", "n")
+    named = sizes.filter("block is null").select("doc", "row_id", "node", "n")
     named = named.join(groups.withColumnRenamed("node", "g"), named["node"] == F.col("g"), "left")
-    named = named.withColumn("group", F.coalesce("component", "node")).select("doc", "n", "group")
-    linked = named.filter("n > 0")
+    group = F.when(F.col("n") > 0, F.coalesce("component", "node"))
+    return named.select("doc", "row_id", "n", group.alias("group"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4,
+                       percent: int = 85) -> DataFrame:
+    """One row per document: its id, n_shingles, component_id and n_rows of its component."""
+    named = _grouped(docs, id_col, text_col, width, percent)
+    linked = named.filter("group is not null")
     least = linked.groupBy("group").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n_rows"))
     out = linked.join(least, "group").select("doc", "n", "least", "n_rows")
-    alone = named.filter("n = 0").select("doc", "n", F.col("doc").alias("least"), F.lit(1).cast("long").alias("n_rows"))
+    alone = named.filter("group is null").select("doc", "n", F.col("doc").alias("least"), F.lit(1).cast("long").alias("n_rows"))
     return out.unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
                                          F.col("least").alias("component_id"), "n_rows")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
+    """The documents with the least id of their component; rows that repeat id and text stay once."""
+    named = _grouped(docs, id_col, text_col, width, percent)
+    best = named.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc", "row_id")).alias("best"))
+    stay = best.select("best.row_id").union(named.filter("group is null").select("row_id")).select(F.col("row_id").alias("__row"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return keyed.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
