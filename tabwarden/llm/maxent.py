@@ -27,10 +27,12 @@ null ids are kept, an empty table gives an empty one. Other columns are not read
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import batches as B
@@ -71,8 +73,8 @@ def tokens_of(texts: B.Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, np.cumsum(count), END), count + 1
 
 
-def _chunk(parts: list, id_type: pa.DataType) -> pa.RecordBatch:
-    docs, held, tokens, count = (x for x in zip(*parts))
+def _chunk(parts: list) -> pa.RecordBatch:
+    docs, held, tokens, count = zip(*parts)
     docs = pa.concat_arrays(docs)
     held, tokens, count = np.concatenate(held), np.concatenate(tokens), np.concatenate(count)
     vocab, number = np.unique(tokens, return_inverse=True)
@@ -87,16 +89,16 @@ def _chunk(parts: list, id_type: pa.DataType) -> pa.RecordBatch:
 
 
 def _chunks(batches):
-    parts, size, id_type = [], 0, None
+    parts, size = [], 0
     for rows, texts in B.slices(batches, "text"):
         tokens, count = tokens_of(texts)
         parts.append((rows.column("doc"), np.asarray(rows.column("held")), tokens, count))
         size += len(tokens)
         if size >= CHUNK_TOKENS:
-            yield _chunk(parts, id_type)
+            yield _chunk(parts)
             parts, size = [], 0
     if parts:
-        yield _chunk(parts, id_type)
+        yield _chunk(parts)
 
 
 def _ranges(bits: int):
@@ -168,16 +170,16 @@ class Cells:
         return cls, ((word >> np.uint64(24)) % np.uint64(SUBCLASSES)).astype(np.int64)
 
 
-def _coded(cells: Cells, counts_by_part: str = "parts"):
+def _coded(cells: Cells):
     """Chunks with the count, cell and context code of each of their words, and sums by cell."""
     def run(batches):
         for batch in batches:
-            for k, row in enumerate(batch.select(["vocab", "train", "n_vocab", counts_by_part]).to_pylist()):
+            for k, row in enumerate(batch.select(["vocab", "train", "n_vocab", "parts"]).to_pylist()):
                 word = np.frombuffer(row["vocab"], "<u8")
                 train = unpacked(row["train"], "<u4", len(word)).astype(np.int64)
                 # Ranges ascend with the hash, as the words do; a range's length is its words'.
-                parts = sorted((p["part"], p["counts"]) for p in row[counts_by_part])
-                count = np.concatenate([np.frombuffer(pa_decompress(c), "<u4") for _, c in parts]).astype(np.int64)
+                parts = sorted((p["part"], p["counts"]) for p in row["parts"])
+                count = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<u4") for _, c in parts]).astype(np.int64)
                 cls, sub = cells.of(word, count)
                 often = count > 1
                 total = np.bincount(np.where(often, cls * SUBCLASSES + sub, 0), train * often, CLASSES * SUBCLASSES)
@@ -193,13 +195,6 @@ def _coded(cells: Cells, counts_by_part: str = "parts"):
     return run
 
 
-def pa_decompress(data: bytes) -> bytes:
-    """A zstd frame whose length stands in its head."""
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
 class Chunk:
     """A chunk's tokens with what model and base need of each."""
 
@@ -314,8 +309,6 @@ CODED = ["held", "count", "tokens", "n_vocab", "counts", "cells", "codes"]
 def _gradient_round(model: Model):
     """How far a task's rows moved (half precision) and how often they were used, in blocks of rows."""
     def run(batches):
-        import copy
-
         own, state, rng, any_rows = copy.deepcopy(model), new_state(), np.random.default_rng(7), False
         for batch in batches:
             for row in batch.to_pylist():
