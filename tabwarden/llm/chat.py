@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .stored import stored
+
 BLOCK = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -83,7 +85,7 @@ def turn_text(role: Column, text: Column) -> Column:
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", **columns: str) -> DataFrame:
     """One row per maximal conversation: its id, n_turns, n_copies and the rendered text."""
-    prefixes = numbered_turns(turns, conv_col, **columns)
+    prefixes = stored(numbered_turns(turns, conv_col, **columns), "turns")  # three branches read it
     kept = maximal_conversations(prefixes).withColumnRenamed("conv", "m_conv")
     rows = prefixes.join(kept, prefixes["conv"].eqNullSafe(kept["m_conv"]))
     said = F.struct(F.col("k"), turn_text(F.col("role"), F.col("text")).alias("said"))
