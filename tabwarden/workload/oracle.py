@@ -298,7 +298,7 @@ SELECT grp, cast(rank AS int) AS rank, value, cnt, cnt / n_rows * 100 AS pct, n_
 def rendered(rel: str, column: str) -> str:
     """The sample of one column as a text cell."""
     return f"""SELECT '{column}' AS col_name, concat(string_agg(block, chr(10) || chr(10) ORDER BY o),
-  CASE WHEN max(n_unique) > 50 THEN concat(chr(10), chr(10), '  (Showing sample of ', max(n_unique), ' unique values)')
+  CASE WHEN max(n_unique) > 50 THEN concat(chr(10), chr(10), '  (chosen from ', max(n_unique), ' different values)')
   ELSE '' END) AS tabulation
 FROM (SELECT list_position(['all', 'longest', 'rarest', 'random', 'other'], grp) AS o, max(n_unique) AS n_unique,
     concat(['[All values]', '[Longest values]', '[Least frequent values]', '[Random sample]', '[Other values]'][
