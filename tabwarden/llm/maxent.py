@@ -47,7 +47,7 @@ TEMPLATES = 3           # of the class; the subclass has the first, with the cla
 ROUNDS = 2
 RATE = 0.08
 BATCH = 1 << 14
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 19
 RANGE_WORDS = 1 << 20
 TOP = 512
 BLOCK = 1 << 10         # weight rows sent together
@@ -183,7 +183,7 @@ def _coded(cells: Cells):
                 cls, sub = cells.of(word, count)
                 often = count > 1
                 total = np.bincount(np.where(often, cls * SUBCLASSES + sub, 0), train * often, CLASSES * SUBCLASSES)
-                code = np.where(count > 3, (word >> np.uint64(32)).astype(np.int64) | 2, RARE).astype("<u4")
+                code = np.where(count > 3, ((word >> np.uint64(32)) % np.uint64(65534)).astype(np.int64) + 2, RARE).astype("<u2")
                 one = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays(
                     [*[one.column(c) for c in ("docs", "held", "count", "tokens", "n_vocab")],
@@ -206,7 +206,7 @@ class Chunk:
         v = row["n_vocab"]
         self.word_count = unpacked(row["counts"], "<u4", v).astype(np.int64)
         self.cell = unpacked(row["cells"], "<u2", v).astype(np.int64)
-        code = np.frombuffer(row["codes"], "<u4").astype(np.uint64)[self.token]
+        code = np.frombuffer(row["codes"], "<u2").astype(np.uint64)[self.token]
         start = np.cumsum(self.count) - self.count
         place = np.arange(n) - np.repeat(start, self.count)
         before = []
