@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship(name: str) -> None:

@@ -198,14 +198,7 @@ def _schema(df: DataFrame, name: str, kind: str):
     return df.drop(name).withColumn(name, F.lit(None).cast(kind)).schema
 
 
-def encode(docs: DataFrame, vocab: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add the ids of each text, as little-endian unsigned 32-bit numbers in one binary value.
-
-    `vocab` is the path of a rank file, read on the driver and sent along. Rows stay
-    where they are: nothing is shuffled. `id_arrays` turns the values into arrays.
-    """
-    ranks = read_ranks(vocab)
-
+def _encoder(ranks: dict[bytes, int], vocab: str, text_col: str, ids_col: str):
     def run(batches):
         bpe, decoder = TreeBpe(ranks), Decoder(ranks)
         known = B.worker_cache(f"bpe {vocab}")
@@ -216,13 +209,10 @@ def encode(docs: DataFrame, vocab: str, text_col: str = "text", ids_col: str = "
             ends = np.concatenate([[0], np.cumsum(count)]) * 4
             yield _with_column(rows, ids_col, B.binary_rows(np.ascontiguousarray(ids, "<u4").view(np.uint8), ends))
 
-    return docs.mapInArrow(run, _schema(docs, ids_col, "binary"))
+    return run
 
 
-def decode(df: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids of `encode` stand for."""
-    ranks = read_ranks(vocab)
-
+def _decoder(ranks: dict[bytes, int], ids_col: str, out_col: str):
     def run(batches):
         decoder = Decoder(ranks)
         for batch in batches:
@@ -231,7 +221,35 @@ def decode(df: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "deco
             ends = np.concatenate([[0], np.cumsum(decoder.lengths(ids))])[values.offsets // 4]
             yield _with_column(batch, out_col, B.binary_rows(decoder.decode(ids), ends))
 
-    return df.mapInArrow(run, _schema(df, out_col, "binary"))
+    return run
+
+
+def encode(docs: DataFrame, vocab: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Add the ids of each text, as little-endian unsigned 32-bit numbers in one binary value.
+
+    `vocab` is the path of a rank file, read on the driver and sent along. Rows stay
+    where they are: nothing is shuffled. `id_arrays` turns the values into arrays.
+    """
+    return docs.mapInArrow(_encoder(read_ranks(vocab), vocab, text_col, ids_col), _schema(docs, ids_col, "binary"))
+
+
+def decode(df: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Add the bytes that the ids of `encode` stand for."""
+    return df.mapInArrow(_decoder(read_ranks(vocab), ids_col, out_col), _schema(df, out_col, "binary"))
+
+
+def round_trip(docs: DataFrame, vocab: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """`encode`, then `decode` in place of the texts, in one pass through one Python worker a task."""
+    ranks = read_ranks(vocab)
+    to_ids, to_bytes = _encoder(ranks, vocab, text_col, ids_col), _decoder(ranks, ids_col, out_col)
+
+    def run(batches):
+        for batch in to_bytes(to_ids(batches)):
+            yield batch.drop_columns([text_col])
+
+    schema = docs.drop(text_col, ids_col, out_col).withColumns(
+        {ids_col: F.lit(None).cast("binary"), out_col: F.lit(None).cast("binary")}).schema
+    return docs.mapInArrow(run, schema)
 
 
 def id_arrays(df: DataFrame, ids_col: str = "ids") -> DataFrame:

@@ -29,6 +29,7 @@ from .pieces import LETTER, classes, code_points
 
 B.ship(__name__)
 
+SLICE = B.SLICE_BYTES // 2  # a character takes more room here than a byte elsewhere
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 SWITCH = 6.0
@@ -138,7 +139,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     """
     def run(batches):
         found: dict[str, np.ndarray] = {}
-        for rows, texts in B.slices(batches, "text"):
+        for rows, texts in B.slices(batches, "text", SLICE):
             words = LetterWords(texts)
             langs = rows.column("lang").to_pylist()
             names = sorted(set(langs))
@@ -245,7 +246,7 @@ def identify(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col
               .withColumn(spans_col, F.lit(None).cast("array<struct<start:long,end:long,lang:string>>")).schema)
 
     def run(batches):
-        for rows, texts in B.slices(batches, text_col):
+        for rows, texts in B.slices(batches, text_col, SLICE):
             n = rows.num_rows
             words = LetterWords(texts)
             langs = fitted.langs if fitted else [UNKNOWN]

@@ -85,7 +85,7 @@ def piece_spans(texts: B.Texts) -> B.Words:
     return B.Words(begin, end, np.searchsorted(texts.offsets, begin, "right") - 1)
 
 
-def encoded_pieces(texts: B.Texts, known: dict[bytes, bytes], encode_new, most: int = 250_000
+def encoded_pieces(texts: B.Texts, known: dict[bytes, bytes], encode_new, most: int = 150_000
                    ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the number of ids of each text.
 
