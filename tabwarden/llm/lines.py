@@ -2,19 +2,26 @@
 
 Lines are normalised as the quality rules do (ASCII lower case, runs of digits as one 0,
 blanks as one) and read as words. Two lines are linked when they are equal, or when their
-64-bit SimHashes over words differ in at most DISTANCE bits and their edit similarity,
-1 - (edits of words) / (words of the longer line), is at least `similarity`. Of each
-connected group the first occurrence stays, in the order of document id, row and line.
+edit similarity, 1 - (edits of words) / (words of the longer line), is at least
+`similarity`. No hash decides a link. Of each connected group the first occurrence stays,
+in the order of document id, row and line.
 Lines of fewer than `min_words` distinct words with a letter or digit are left alone.
-The SimHash counts each such word once, so no word repeated along a line decides it.
 
-Candidates: the hash is cut into BLOCKS blocks. Of lines that differ in DISTANCE bits,
-BLOCKS - DISTANCE blocks agree, so each line has a key for each choice of so many blocks.
-A bucket does not yield all its pairs but a spanning forest of its near hashes. The edges
-are verified; buckets with an edge that failed are settled in a second pass, where the
-words come along and only confirmed links leave the task. So no link is lost, and a
-thousand variants of a line cost a thousand edges. A bucket of more than MOST lines is cut
-by the same pigeonhole again, over finer blocks.
+1. The bulk of large groups, by 64-bit SimHashes over words (each such word once): the hash
+   is cut into BLOCKS blocks. Of lines that differ in DISTANCE bits, BLOCKS - DISTANCE
+   blocks agree, so each line has a key for each choice of so many blocks. A bucket does
+   not yield all its pairs but a spanning forest of its near hashes, whose edges are
+   verified. So a thousand variants of a line cost a thousand edges. A bucket of more than
+   MOST lines is cut by the same pigeonhole again, over finer blocks.
+2. All other links, exactly: an edit undoes at most two of a line's pairs of neighbouring
+   words, so of lines with n and m >= n words, (1 - similarity) m edits apart at most, at
+   least m - 1 - 2 (1 - similarity) m pairs are the same (the k-th repeat of a pair counts
+   as a pair of its own). In one order for all, rare pairs first, they share one among
+   their first `prefix_size`. Of each bucket, lines stay whose lengths and parities of
+   MARK_BITS word counts allow a link. Buckets of lines that are all connected already are
+   left out; in the others the words come along, lines whose word counts in SKETCH cells
+   allow a link are compared, and only confirmed links leave the task. A bucket of more
+   than MOST lines or MOST_WORDS words is cut into chunks, and each two chunks are a bucket.
 
 Defined results: null and empty texts have no lines; a null document id comes first in
 order; rows that repeat id and text are one document and keep a row each; an empty table
@@ -23,6 +30,7 @@ gives an empty one. `removed_col`, `lines_col` replace columns of those names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,10 +48,16 @@ B.ship(__name__)
 DISTANCE = 3
 BLOCKS = 5
 MOST = 20_000
+MOST_WORDS = 2 << 20
+SKETCH = 64
+MARK_BITS = 48
+CELLS = 1 << 20
+CELL_BLOCK = 1 << 12
 SIMILARITY = 0.8
 MIN_WORDS = 5
 KEYED = "key long, sim long, line long"
 EDGES = "a long, b long"
+MET = "key long, line long, chunk long"
 
 
 class Lines:
@@ -88,23 +102,72 @@ class Lines:
         return out
 
 
+    def pairs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the pairs of neighbouring words of some of the lines, repeats told apart, and the line's place in `which`."""
+        n = np.maximum(self.count[which] - 1, 0)
+        pair = B.gathered(B.window_hashes(self.word, 2), self.first[which], n)
+        own = np.repeat(np.arange(len(which)), n)
+        order = np.lexsort((pair, own))
+        pair, own = pair[order], own[order]
+        if len(pair):
+            head, size = _runs(B.mixed(pair + B.mixed(own.astype(np.uint64))))
+            again = np.arange(len(pair)) - np.repeat(head, size)
+            pair = B.mixed(pair + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return pair, own
+
+
+OCCURRENCES = ["doc", "row_id", "number", "line", "sim", "block", "counts"]
+
+
 def _occurrences(min_words: int):
+    """A row for each line, and this task's counts of pairs of words by cell."""
     def run(batches):
+        cells, kind = np.zeros(CELLS, np.int64), None
         for rows, texts in B.slices(batches, "text"):
             lines = Lines(texts, min_words)
+            kind = rows.column("doc").type
             if not len(lines.line):
                 continue
+            m = len(lines.line)
+            pair, _ = lines.pairs(np.arange(m))
+            cells += np.bincount((pair % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
             _, first, which = np.unique(lines.line, return_index=True, return_inverse=True)
             sim = lines.simhash(first)[which]
             own = pa.array(lines.text)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc").take(own), rows.column("row_id").take(own), pa.array(lines.number),
-                 pa.array(lines.line.view(np.int64)), pa.array(sim.view(np.int64))],
-                ["doc", "row_id", "number", "line", "sim"])
+                 pa.array(lines.line.view(np.int64)), pa.array(sim.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                OCCURRENCES)
+        if cells.any():
+            parts = [x.astype("<u4").tobytes() for x in cells.reshape(-1, CELL_BLOCK)]
+            m = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(m, kind), *[pa.nulls(m, pa.int64()) for _ in range(4)],
+                 pa.array(np.arange(m, dtype=np.int32)), pa.array(parts, pa.binary())], OCCURRENCES)
 
     return run
 
 
+def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of cell counts over all tasks, a row at a time."""
+    total = np.zeros(CELL_BLOCK, np.int64)
+    for batch in batches:
+        for part in batch.column("counts"):
+            total += np.frombuffer(part.as_buffer(), "<u4")
+    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()),
+                                      "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
+
+
+def cell_counts(rows: DataFrame) -> np.ndarray:
+    """The CELLS counts over all tasks; they come to the driver, whatever the corpus."""
+    blocks = rows.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(
+        _summed, "block int, counts binary").toArrow()
+    counts = np.zeros(CELLS, np.uint32)
+    for block, part in zip(blocks.column("block").to_pylist(), blocks.column("counts").to_pylist()):
+        counts[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(part, "<u4")
+    return counts
+
+
 def _block_bits(blocks: int = BLOCKS) -> list[np.uint64]:
     edges = [64 * k // blocks for k in range(blocks + 1)]
     return [np.uint64((1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
@@ -214,36 +277,166 @@ def _edges(batches):
         yield _edge_rows(out_a, out_b)
 
 
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of its first pairs of words a line must share one of with each line it links to."""
+    return 2 * np.floor((1 - similarity) * (n + 1) + 1e-9).astype(np.int64) + 1
+
+
+def marks(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each line, its number of words, up to 65535, in 16 bits; in 48 bits, whether their count in a cell is odd."""
+    cell = np.repeat(np.arange(len(n)) * MARK_BITS, n) + (words % np.uint64(MARK_BITS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(n) * MARK_BITS) & 1).astype(np.uint64).reshape(-1, MARK_BITS)
+    bits = (odd << np.arange(MARK_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    return np.minimum(n, 65535).astype(np.uint64) << np.uint64(MARK_BITS) | bits
+
+
+def marks_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines of these marks may be linked: an edit changes the length by one and two bits at most."""
+    n, m = ((x >> np.uint64(MARK_BITS)).astype(np.int64) for x in (a, b))
+    longer = np.maximum(n, m)
+    edits = np.floor((1 - similarity) * longer + 1e-9)
+    low = np.uint64((1 << MARK_BITS) - 1)
+    apart = np.bitwise_count((a ^ b) & low)
+    return (np.abs(n - m) <= edits) & ((apart <= 2 * edits) | (longer == 65535))
+
+
+def _prefixes(similarity: float, min_words: int, counts: np.ndarray):
+    """A row for each of the first pairs of words of each line; equal lines of a slice count once."""
+    def run(batches):
+        for _, texts in B.slices(batches, "text"):
+            lines = Lines(texts, min_words)
+            line, first = np.unique(lines.line, return_index=True)
+            pair, own = lines.pairs(first)
+            order = np.lexsort((pair, counts[(pair % np.uint64(CELLS)).astype(np.int64)], own))
+            n = lines.count[first]
+            size = np.maximum(n - 1, 0)
+            inside = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            head = order[inside < np.repeat(prefix_size(n, similarity), size)]
+            words = B.gathered(lines.word, lines.first[first], n)
+            mark = marks(words, n)
+            yield pa.RecordBatch.from_pydict(
+                {"key": pair[head].view(np.int64), "line": line[own[head]].view(np.int64), "mark": mark[own[head]].view(np.int64)})
+
+    return run
+
+
+def _met(similarity: float):
+    """The lines of each pair of words that several have, if their marks allow a link; rows come sorted by key and line.
+
+    A bucket gets a hash of all its lines for a key, so buckets of the same lines are one
+    from then on. A large one keeps its key and goes out in numbered chunks as it comes in.
+    """
+    def rows_of(key, line, mark, sent, sent_words, large):
+        n = (mark >> np.uint64(MARK_BITS)).astype(np.int64)
+        head, size = _runs(key)
+        before = np.cumsum(n) - n
+        place = np.arange(len(key)) - np.repeat(head, size)
+        words = before - np.repeat(before[head], size)
+        place[: size[0]] += sent
+        words[: size[0]] += sent_words
+        chunk = place // MOST + words // MOST_WORDS
+        cut = chunk[head + size - 1] > 0
+        cut[0] |= large or sent > 0
+        more = np.flatnonzero(np.repeat(cut, size))
+        # Rows of the other buckets that may be linked with a later one of theirs, k rows on.
+        may = np.zeros(len(key), bool)
+        ends = np.repeat(head + size, size)
+        live, k = np.flatnonzero(~np.repeat(cut, size)), 1
+        while len(live := live[live + k < ends[live]]):
+            hit = live[marks_allow(mark[live], mark[live + k], similarity)]
+            may[hit] = may[hit + k] = True
+            k += 1
+        own, mine = key[may], line[may]
+        if len(own):
+            head, size = _runs(own)
+            running = np.zeros(len(mine) + 1, np.uint64)
+            np.cumsum(B.mixed(mine.view(np.uint64) + np.uint64(9)), out=running[1:], dtype=np.uint64)
+            name = B.mixed(running[head + size] - running[head] + size.astype(np.uint64)).view(np.int64)
+            some = np.unique(name, return_index=True)[1]
+            own, mine = np.repeat(name[some], size[some]), B.gathered(mine, head[some], size[some])
+        return pa.RecordBatch.from_pydict({
+            "key": np.concatenate([own, key[more]]), "line": np.concatenate([mine, line[more]]),
+            "chunk": np.concatenate([np.zeros(len(own), np.int64), chunk[more]])})
+
+    def run(batches):
+        held, sent, sent_words = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)], 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy() for c in ("key", "line", "mark")]
+            held = [np.concatenate(x) for x in zip(held, (now[0], now[1], now[2].view(np.uint64)))]
+            new = np.ones(len(held[0]), bool)
+            new[1:] = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+            held = [x[new] for x in held]
+            last = int(np.searchsorted(held[0], held[0][-1], "left"))
+            if last:
+                yield rows_of(*[x[:last] for x in held], sent, sent_words, False)
+                held, sent, sent_words = [x[last:] for x in held], 0, 0
+            words = (held[2][:-1] >> np.uint64(MARK_BITS)).sum(dtype=np.int64)
+            if len(held[0]) > 1 and (len(held[0]) > MOST or words > MOST_WORDS):
+                # The last row stays: the next batch may repeat it.
+                yield rows_of(*[x[:-1] for x in held], sent, sent_words, True)
+                sent, sent_words = sent + len(held[0]) - 1, sent_words + int(words)
+                held = [x[-1:] for x in held]
+        if len(held[0]):
+            yield rows_of(*held, sent, sent_words, False)
+
+    return run
+
+
+def sketches(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lines x SKETCH: how many words of a line are in each cell, 255 for more."""
+    cell = np.repeat(np.arange(len(n)) * SKETCH, n) + (words >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(n) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+
+
 def _settle(similarity: float):
-    """Confirmed links between the groups (`name`) of each bucket; the lines' words come along."""
+    """Confirmed links between the groups (`name`) of each bucket; the lines' words come along.
+
+    `side` is 0 in buckets of one chunk, else which of two chunks a line is of.
+    """
     def run(batches):
         for table in whole_buckets(batches):
-            line = table.column("line").to_numpy()
-            sim = table.column("sim").to_numpy().view(np.uint64)
+            line, side = table.column("line").to_numpy(), table.column("side").to_numpy()
             _, name = np.unique(table.column("name").to_numpy(), return_inverse=True)
             values = B.texts_of(table.column("words"))
+            all_words, at = np.frombuffer(values.data.tobytes(), np.uint64), values.offsets // 8
+            n = np.diff(at)
+            sketch = sketches(all_words, n)
             head, size = _runs(table.column("key").to_numpy())
             out_a, out_b = [], []
 
             def words(i):
-                return np.frombuffer(values.data[values.offsets[i] : values.offsets[i + 1]].tobytes(), np.uint64).tolist()
-
-            for s, n in zip(head[size > 1].tolist(), size[size > 1].tolist()):
-                _, own = np.unique(name[s : s + n], return_inverse=True)
+                return all_words[at[i] : at[i + 1]].tolist()
+
+            def near(i, j):
+                """An edit changes two counts by one at most."""
+                edits = np.floor((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9)
+                may = (np.abs(n[i] - n[j]) <= edits) & ((side[i] == 0) | (side[i] != side[j])) & (name[i] != name[j])
+                may[may] = np.abs(sketch[j][may].astype(np.int16) - (sketch[i][may] if np.ndim(i) else sketch[i])
+                                  ).sum(-1, dtype=np.int64) <= 2 * edits[may]
+                return may
+
+            pairs = head[size == 2]  # most buckets
+            pairs = pairs[near(pairs, pairs + 1)] if len(pairs) else pairs
+            good = [i for i in pairs.tolist() if alike(words(i), words(i + 1), similarity)]
+            out_a.append(line[good])
+            out_b.append(line[[i + 1 for i in good]])
+            for s, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+                _, own = np.unique(name[s : s + m], return_inverse=True)
                 forest = Forest(int(own.max()) + 1)
                 left = len(forest.up)
-                for i in range(n - 1):
+                for i in range(s, s + m - 1):
                     if left == 1:
                         break
-                    near = np.flatnonzero((np.bitwise_count(sim[s + i + 1 : s + n] ^ sim[s + i]) <= DISTANCE)
-                                          & (own[i + 1 :] != own[i])) + i + 1
-                    mine = words(s + i) if len(near) else []
-                    for j in near.tolist():
-                        if forest.root(own[i]) != forest.root(own[j]) and alike(mine, words(s + j), similarity):
-                            forest.join(own[i], own[j])
+                    may = np.flatnonzero(near(i, slice(i + 1, s + m))) + i + 1
+                    mine = words(i) if len(may) else []
+                    for j in may.tolist():
+                        if forest.root(own[i - s]) != forest.root(own[j - s]) and alike(mine, words(j), similarity):
+                            forest.join(own[i - s], own[j - s])
                             left -= 1
-                            out_a.append(line[s + i : s + i + 1])
-                            out_b.append(line[s + j : s + j + 1])
+                            out_a.append(line[i : i + 1])
+                            out_b.append(line[j : j + 1])
             yield _edge_rows(out_a, out_b)
 
     return run
@@ -319,14 +512,18 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "line")
 
 
-def line_groups(texts: DataFrame, lines: DataFrame, similarity: float, min_words: int) -> DataFrame:
+def line_groups(texts: DataFrame, lines: DataFrame, similarity: float, min_words: int, counts: np.ndarray) -> DataFrame:
     """node, component: hashes of normalised lines that are in a group with another one.
 
-    `texts` has the column text; `lines` the distinct line and sim of its lines.
+    `texts` has the column text; `lines` the distinct line and sim of its lines; `counts`
+    are those of their pairs of words by cell.
     """
     keyed = lines.mapInArrow(_keyed, KEYED)
     edges = stored(_buckets(keyed).mapInArrow(_edges, EDGES).distinct(), "line-edges")
-    ends = edges.select(F.col("a").alias("line")).union(edges.select(F.col("b").alias("line"))).distinct()
+    posted = texts.mapInArrow(_prefixes(similarity, min_words, counts), "key long, line long, mark long")
+    met = stored(_buckets(posted).mapInArrow(_met(similarity), MET).distinct(), "met-lines")
+    ends = (edges.select(F.col("a").alias("line")).union(edges.select(F.col("b").alias("line")))
+            .union(met.select("line")).distinct())
     wanted = Bitmap.of(ends, "line")
     words = (texts.mapInArrow(_words_of_lines(min_words, wanted), "line long, words binary")
              .groupBy("line").agg(F.first("words").alias("words")))
@@ -337,18 +534,16 @@ def line_groups(texts: DataFrame, lines: DataFrame, similarity: float, min_words
                     .mapInArrow(_judge(similarity), EDGES + ", good boolean"), "judged")
     dropped(edges)
     sure = judged.filter("good").select("a", "b")
-    failed = judged.filter("not good")
-    if failed.isEmpty():
-        return components(sure)
-    groups = components(sure)
-    # Only a bucket with a failed edge can still hide a link between its groups.
-    odd = failed.select(F.col("a").alias("line")).union(failed.select(F.col("b").alias("line"))).distinct()
-    keys = (lines.join(odd, "line", "left_semi").mapInArrow(_keyed, KEYED)
-            .groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    again = lines.join(words.select("line"), "line", "left_semi").mapInArrow(_keyed, KEYED).join(keys, "key", "left_semi")
-    again = (again.join(groups.select(F.col("node").alias("line"), "component"), "line", "left").join(words, "line")
-             .select("key", "sim", "line", F.coalesce("component", "line").alias("name"), "words"))
-    late = _buckets(again).mapInArrow(_settle(similarity), EDGES)
+    groups = components(sure).select(F.col("node").alias("line"), "component")
+    named = met.join(groups, "line", "left").select("key", "line", "chunk", F.coalesce("component", "line").alias("name"))
+    open_keys = (named.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.max("chunk").alias("top"))
+                 .filter("low < high").select("key", "top"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("other")
+    dealt = (named.join(open_keys, "key").select("key", "line", "chunk", "name", other)
+             .select(F.when((F.col("chunk") == 0) & (F.col("other") == 0), F.col("key"))
+                     .otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("key"),
+                     "line", "name", F.signum(F.col("chunk") - F.col("other")).cast("long").alias("side")))
+    late = _buckets(dealt.join(words, "line")).mapInArrow(_settle(similarity), EDGES)
     return components(sure.union(late))
 
 
@@ -359,17 +554,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `lines_col` counts the lines that took part. A text that had all its lines removed is
     empty; null texts stay null.
     """
+    if similarity < 0.7:  # pairs of words would not find all links
+        raise ValueError("a similarity of 0.7 or more is needed")
     id_type = docs.schema[id_col].dataType
     docs = docs.drop(removed_col, lines_col)
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc"), own.alias("row_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in
-                                                          ("row_id", "number", "line", "sim")]])
+                                                          ("row_id", "number", "line", "sim")],
+                           T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     seen = stored(rows.mapInArrow(_occurrences(min_words), schema), "occurrences")
+    counts = cell_counts(seen)
+    seen = seen.filter("block is null").drop("block", "counts")
     place = F.struct("doc", "row_id", "number")
     distinct = stored(seen.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("place"),
                                                F.count(F.lit(1)).alias("n")), "distinct-lines")
-    groups = line_groups(rows.select("text"), distinct.select("line", "sim"), similarity, min_words)
+    groups = line_groups(rows.select("text"), distinct.select("line", "sim"), similarity, min_words, counts)
     named = distinct.join(groups, distinct["line"] == groups["node"], "left")
     best = named.filter("component is not null").groupBy("component").agg(F.min("place").alias("keep"))
     # Lines of which some occurrence goes, with the one place of their group that stays.
