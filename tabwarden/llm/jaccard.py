@@ -171,7 +171,8 @@ def _met(batches):
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[new], node[new]
         head, size = _runs(key)
-        running = np.concatenate([[0], np.cumsum(B.mixed(node.view(np.uint64) + np.uint64(9)), dtype=np.uint64)])
+        running = np.zeros(len(node) + 1, np.uint64)
+        np.cumsum(B.mixed(node.view(np.uint64) + np.uint64(9)), out=running[1:], dtype=np.uint64)
         name = B.mixed(running[head + size] - running[head] + size.astype(np.uint64))
         some = size > 1
         _, first = np.unique(name[some], return_index=True)
