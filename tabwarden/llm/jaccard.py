@@ -21,8 +21,11 @@ link when their similarity is at least `percent` / 100.
    Regions are joined recursively; one whose nodes are all connected is done, and one that
    does not get smaller is joined pivot by pivot, each against the rest in its size ring
    (the same inequality, with the empty set as pivot and the symmetric difference as metric).
-4. Regions above REGION_BYTES are cut in the same way by Spark, level by level; those that
-   pivots cannot cut are joined block by block. So no task holds more than two blocks.
+4. Regions above REGION_BYTES are cut in the same way by Spark, level by level, after a first
+   pass that only counts: one whose children would have more than GROWTH times its rows is
+   not cut. There the links to pivots mostly connect nearly all nodes; the nodes outside the
+   largest connected part are joined with all others, block by block. So no task holds more
+   than two blocks.
 
 Links between nodes that are connected already are not looked for: the result is the
 component of each document. Shingles are 64-bit hashes.
@@ -55,6 +58,7 @@ PIVOTS = 8
 LEAF = 48
 REGION_BYTES = 32 << 20
 LEVELS = 6
+GROWTH = 1.5
 
 
 def shingle_sets(texts: B.Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,37 +327,66 @@ def _join_region(percent: int):
     return run
 
 
+def _to_pivots(nodes: pa.Table, pivots: pa.Table, percent: int) -> tuple[Region, np.ndarray, np.ndarray]:
+    """The region of a chunk with the links to the pivots of the whole one; rows and pivots whose regions they are in."""
+    both = pa.concat_tables([pivots.select(["node", "shingles"]), nodes.select(["node", "shingles"])])
+    region = Region(both.column("node").to_numpy(), _values(both), percent)
+    by_name = {int(x): i for i, x in enumerate(region.names)}
+    members = np.array([by_name[int(x)] for x in nodes.column("node").to_numpy()])
+    order = np.argsort(members)
+    distance = np.empty((nodes.num_rows, pivots.num_rows))
+    for j, pivot in enumerate(pivots.column("node").to_numpy().tolist()):
+        distance[order, j] = region.compare(by_name[pivot], members[order])
+    home = distance.min(1, keepdims=True)
+    return region, *np.nonzero(distance <= home + 2 * (1 - percent / 100) + 1e-9)
+
+
+def _weigh_region(percent: int):
+    """Links to pivots, and how many rows a chunk has and would have in the regions of the pivots."""
+    def run(nodes: pa.Table, pivots: pa.Table) -> pa.Table:
+        region, row, _ = _to_pivots(nodes, pivots, percent)
+        links = region.found()
+        m = links.num_rows
+        return pa.table({
+            "region": pa.concat_arrays([nodes.column("region").combine_chunks()[:1], pa.nulls(m, pa.int64())]),
+            "rows": pa.concat_arrays([pa.array([nodes.num_rows]), pa.nulls(m, pa.int64())]),
+            "copies": pa.concat_arrays([pa.array([len(row)]), pa.nulls(m, pa.int64())]),
+            "a": pa.concat_arrays([pa.nulls(1, pa.int64()), links.column("a")]),
+            "b": pa.concat_arrays([pa.nulls(1, pa.int64()), links.column("b")])})
+
+    return run
+
+
 def _cut_region(percent: int):
-    """Regions of the nodes of a chunk, by their distances to the pivots of the whole region; links to pivots."""
+    """Regions of the nodes of a chunk, by their distances to the pivots of the whole region."""
     def run(nodes: pa.Table, pivots: pa.Table) -> pa.Table:
-        p, n = pivots.num_rows, nodes.num_rows
-        both = pa.concat_tables([pivots.select(["node", "shingles"]), nodes.select(["node", "shingles"])])
-        region = Region(both.column("node").to_numpy(), _values(both), percent)
-        by_name = {int(x): i for i, x in enumerate(region.names)}
-        members = np.array([by_name[int(x)] for x in nodes.column("node").to_numpy()])
-        order = np.argsort(members)
-        distance = np.empty((n, p))
-        for j, pivot in enumerate(pivots.column("node").to_numpy().tolist()):
-            distance[order, j] = region.compare(by_name[pivot], members[order])
-        home = distance.min(1, keepdims=True)
-        row, column = np.nonzero(distance <= home + 2 * (1 - percent / 100) + 1e-9)
+        _, row, column = _to_pivots(nodes, pivots, percent)
         parent = int(nodes.column("region")[0].as_py())
         names = pivots.column("node").to_numpy().view(np.uint64)
         child = B.mixed(names + np.uint64(parent & (2**64 - 1))).view(np.int64)
         own = nodes.take(pa.array(row))
-        links = region.found()
-        return pa.table({
-            "region": pa.concat_arrays([pa.array(child[column]), pa.nulls(links.num_rows, pa.int64())]),
-            "node": pa.concat_arrays([own.column("node").combine_chunks(), pa.nulls(links.num_rows, pa.int64())]),
-            "shingles": pa.concat_arrays([own.column("shingles").combine_chunks().cast(pa.binary()), pa.nulls(links.num_rows, pa.binary())]),
-            "a": pa.concat_arrays([pa.nulls(len(row), pa.int64()), links.column("a")]),
-            "b": pa.concat_arrays([pa.nulls(len(row), pa.int64()), links.column("b")])})
+        return pa.table({"region": child[column], "node": own.column("node"), "shingles": own.column("shingles").cast(pa.binary())})
+
+    return run
+
+
+def _join_rest(percent: int):
+    """Links of the nodes marked `apart` with all nodes of a table."""
+    def run(table: pa.Table) -> pa.Table:
+        region = Region(table.column("node").to_numpy(), _values(table), percent)
+        apart = set(table.filter(table.column("apart")).column("node").to_pylist())
+        for pivot in [i for i, x in enumerate(region.names.tolist()) if x in apart]:
+            own = int(region.size[pivot])
+            ring = np.searchsorted(region.size, [-(-own * percent // 100), own * 100 // percent + 1], "left")
+            region.compare(pivot, np.arange(*ring))
+        return pa.Table.from_batches([region.found()])
 
     return run
 
 
 REGION = "region long, node long, shingles binary"
 LINKS = "a long, b long"
+WEIGHTS = "region long, rows long, copies long, " + LINKS
 
 
 MET = "key long, node long"
@@ -389,20 +422,29 @@ def region_links(regions: DataFrame, percent: int) -> DataFrame:
         hashed = F.xxhash64(F.lit(5), "node")
         picked = stored(_pivots(rest, hashed), "pivots")
         dealt = picked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("bytes") / REGION_BYTES) - 1)))
-        cut = (rest.select("region", "chunk", "node", "shingles").groupBy("region", "chunk")
-               .cogroup(dealt.select("region", "chunk", "node", "shingles").groupBy("region", "chunk"))
-               .applyInArrow(_cut_region(percent), REGION + ", " + LINKS))
-        cut = stored(cut, "regions")
-        found.append(cut.filter("a is not null").select("a", "b"))
-        regions = cut.filter("node is not null").select("region", "node", "shingles")
+        weighed = stored(_with_pivots(rest, dealt).applyInArrow(_weigh_region(percent), WEIGHTS), "weights")
+        found.append(weighed.filter("a is not null").select("a", "b"))
+        grown = weighed.filter("rows is not null").groupBy("region").agg(F.sum("rows").alias("rows"), F.sum("copies").alias("copies"))
+        stuck = stored(grown.filter(F.col("copies") > GROWTH * F.col("rows")).select("region"), "stuck-regions")
+        if not stuck.isEmpty():
+            found.append(stored(_rest_links(rest.join(stuck, "region", "left_semi"), _all(found), percent), "links"))
+        going = rest.join(stuck, "region", "left_anti")
+        regions = stored(_with_pivots(going, dealt).applyInArrow(_cut_region(percent), REGION), "regions")
         large = stored(_large(regions), "large-regions")
-    # What pivots did not cut: blocks against blocks.
     found.append(stored(regions.join(large, "region", "left_anti").groupBy("region")
                         .applyInArrow(_join_region(percent), LINKS), "links"))
-    found.append(stored(_block_links(regions.join(large, "region"), percent), "links"))
+    if not large.isEmpty():
+        found.append(stored(_rest_links(regions.join(large, "region"), _all(found), percent), "links"))
     return _all(found)
 
 
+def _with_pivots(rest: DataFrame, dealt: DataFrame):
+    """Each chunk of a region with the pivots dealt to it."""
+    dealt = dealt.join(rest.select("region").distinct(), "region", "left_semi")
+    return (rest.select("region", "chunk", "node", "shingles").groupBy("region", "chunk")
+            .cogroup(dealt.select("region", "chunk", "node", "shingles").groupBy("region", "chunk")))
+
+
 def _pivots(rest: DataFrame, hashed) -> DataFrame:
     """PIVOTS nodes of each region, the least by a hash; tasks trim their own before the shuffle."""
     rank = F.row_number().over(Window.partitionBy("region").orderBy(hashed, "node"))
@@ -411,13 +453,22 @@ def _pivots(rest: DataFrame, hashed) -> DataFrame:
     return least.join(sets, ["region", "node"]).select("region", "node", "shingles", "bytes")
 
 
-def _block_links(rest: DataFrame, percent: int) -> DataFrame:
-    """Each pair of blocks of a region is one task's join."""
-    n = F.ceil(F.col("bytes") / REGION_BYTES) * 2
-    mine = rest.withColumn("n", n).withColumn("block", F.abs(F.xxhash64("node")) % F.col("n"))
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    keyed = dealt.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
-    return keyed.groupBy("region", "i", "j").applyInArrow(_join_region(percent), LINKS)
+def _rest_links(rest: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links of the nodes outside the largest part of a region that `links` connect, a pair of blocks a task."""
+    groups = components(links).withColumnRenamed("component", "part")
+    named = rest.select("region", "node", "shingles", "bytes").join(groups, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = named.groupBy("region", "part").agg(F.sum(_bytes()).alias("own"), F.max("bytes").alias("bytes"))
+    least = (parts.groupBy("region").agg(F.max(F.struct("own", "part")).alias("main"), F.max("bytes").alias("bytes"))
+             .withColumn("apart_bytes", F.col("bytes") - F.col("main.own")).filter("apart_bytes > 0"))
+    half = REGION_BYTES // 2
+    ready = (named.drop("bytes").join(least, "region").withColumn("apart", F.col("part") != F.col("main.part"))
+             .withColumn("n", F.ceil(F.col("bytes") / half)).withColumn("m", F.ceil(F.col("apart_bytes") / half))
+             .withColumn("j", F.abs(F.xxhash64("node")) % F.col("n")).withColumn("i", F.abs(F.xxhash64(F.lit(7), "node")) % F.col("m")))
+    columns = ["region", "i", "j", "node", "shingles", "apart"]
+    against = ready.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("apart", F.lit(False))
+    apart = ready.filter("apart").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    both = against.select(columns).unionByName(apart.select(columns))
+    return both.groupBy("region", "i", "j").applyInArrow(_join_rest(percent), LINKS)
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
