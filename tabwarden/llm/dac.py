@@ -155,14 +155,32 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in printable else chr(next(spare)) for b in range(256))
 
 
-def library_encoder(vocabulary: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Encodes pieces with the tokenizers library. Special tokens' strings are ordinary text."""
+def _tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
 
     held = B.worker_cache("tokenizers")
     if vocabulary not in held:
         held[vocabulary] = Tokenizer.from_str(vocabulary)
-    model = held[vocabulary].model
+    return held[vocabulary]
+
+
+def _with_added_tokens(vocabulary: str, texts: B.Texts, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, but those of texts that hold one of the vocabulary's added tokens by the library's own encoding."""
+    names = [t["content"].encode() for t in json.loads(vocabulary).get("added_tokens") or []]
+    raw = texts.data.tobytes()
+    if not any(name in raw for name in names):
+        return ids, count
+    parts = np.split(ids, np.cumsum(count)[:-1])
+    for i, (low, high) in enumerate(zip(texts.offsets.tolist(), texts.offsets[1:].tolist())):
+        own = raw[low:high]
+        if any(name in own for name in names):
+            parts[i] = np.array(_tokenizer(vocabulary).encode(own.decode(), add_special_tokens=False).ids, np.uint32)
+    return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+
+def library_encoder(vocabulary: str) -> Callable[[list[bytes]], list[bytes]]:
+    """Encodes pieces with the tokenizers library. Special tokens' strings are ordinary text."""
+    model = _tokenizer(vocabulary).model
     letters = {b: c for b, c in enumerate(byte_letters())}
 
     def encode(pieces):
@@ -181,12 +199,14 @@ def check_vocabulary(vocabulary: str) -> None:
         raise ValueError("a byte-level BPE without normalizer and prefix space is needed")
 
 
-def _encoder(vocabulary: str, end_id: int):
+def _encoder(vocabulary: str, end_id: int, added_tokens: bool):
     def run(batches):
         encode = library_encoder(vocabulary)
         known = B.worker_cache("pieces of the library")
         for rows, texts in B.slices(batches, "text"):
             ids, count = encoded_pieces(texts, known, encode)
+            if added_tokens:
+                ids, count = _with_added_tokens(vocabulary, texts, ids, count)
             # Two bytes an id while they fit, so that little is shuffled.
             ends = np.cumsum(count)
             with_end = np.insert(ids, ends, end_id).astype("<u4")
@@ -263,14 +283,15 @@ def _writer(folder: str):
 
 
 def write_ids(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_col: str = "doc_id",
-              text_col: str = "text", docs_per_file: int = 4096) -> DataFrame:
+              text_col: str = "text", docs_per_file: int = 4096, added_tokens: bool = False) -> DataFrame:
     """Encode the texts, append `end_id` to each, and write the ids into files below `folder`.
 
     Returns a row per file in order: file_no, part, name, docs, ids, and `before`, the ids
     of all files ahead of it. `folder` must be one that all executors share. Bounds of
     document ids between files come from a scan of the ids alone; rows are then shuffled
     once, as ids. Files end after about 16 million ids, so one id's many rows fill several.
-    `id_col` must be a whole number.
+    `id_col` must be a whole number. With `added_tokens` the strings of the vocabulary's added
+    tokens are these tokens, as the library reads them; else they are ordinary text.
     """
     with open(vocab, encoding="utf-8") as file:
         vocabulary = file.read()
@@ -296,7 +317,7 @@ def write_ids(docs: DataFrame, vocab: str, folder: str, end_id: int = 2, id_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(no.astype(np.int64))],
                                              [*batch.schema.names, "file_no"])
 
-    encode = _encoder(vocabulary, end_id)
+    encode = _encoder(vocabulary, end_id, added_tokens)
 
     def run(batches):
         return encode(number(batches))

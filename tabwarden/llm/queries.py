@@ -56,7 +56,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = dac.new_folder(spark)
-    files = dac.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    files = dac.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, added_tokens=True)
     return dac.read_ids(files, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
