@@ -32,6 +32,16 @@ class Kind(NamedTuple):
     base: bool
 
 
+#: Lengths of account numbers by country. Those of other countries end where letters and digits do.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = (r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_COUNTRIES.items())
+        + rf"|(?!{'|'.join(IBAN_COUNTRIES.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])")
+
 #: The order is that of the digests. Runs start where the match before ended (\G) or where no
 #: character of the run comes before, and are possessive: the matches stay the same, in linear time.
 KINDS = (
@@ -41,7 +51,7 @@ KINDS = (
     Kind("card", r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", "",
          "card|visa|master|credit|debit|payment|cvv", 0.7, True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "call|phone|tel|fax|mobile|whatsapp", 0.8, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "",
+    Kind("iban", IBAN, "",
          "iban|account|bank|konto|compte|cuenta", 0.8, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", "ssn|social security|tax id", 0.4, False),
     Kind("local_phone", r"(?<![0-9+(-])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", "",
