@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, pii, quality
+from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, pii, quality, spelling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lines_in", "lines_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_maxent": op2_maxent,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_lines": op10_lines,
+    "op11_spelling": op11_spelling,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
