@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, pii, quality, spelling
+from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, pii, quality, spelling, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_maxent": op2_maxent,
@@ -89,6 +96,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_lines": op10_lines,
     "op11_spelling": op11_spelling,
+    "op13_suffixes": op13_suffixes,
 }
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
