@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, pii, quality, spelling, suffixes
+from . import bpe, chat, dac, decontaminate, jaccard, language, lines, maxent, negatives, pii, quality, spelling, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    rows = rows.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+                       F.when(negatives.finite(F.col("embedding")), whole).alias("vector"))
+    return negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -96,6 +105,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_lines": op10_lines,
     "op11_spelling": op11_spelling,
+    "op12_negatives": op12_negatives,
     "op13_suffixes": op13_suffixes,
 }
 
