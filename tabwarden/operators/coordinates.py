@@ -101,12 +101,13 @@ def with_sample_order(table: Table, indexes: list[int]) -> DataFrame:
         texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
         return rows.select(*chosen, F.md5(F.concat_ws("|", *texts)).alias("k"))
 
-    if table.row_key:
-        return keyed(*[F.col(f"c{names.index(k)}") for k in table.row_key])
+    key = [names.index(k) for k in table.row_key]
+    if key and not table.unread.intersection(key):
+        return keyed(*[F.col(f"c{i}") for i in key])
     try:
         return keyed(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
     except AnalysisException:
-        return keyed(F.xxhash64(*[F.col(f"c{i}") for i in range(len(names))]))
+        return keyed(F.xxhash64(*[F.col(f"c{i}") for i in range(len(names)) if i not in table.unread]))
 
 
 def digest_cutoff(n: int, wanted: int) -> str | None:

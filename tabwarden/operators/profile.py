@@ -164,15 +164,24 @@ def profile_rows(tables: list[Table]) -> list[list[tuple]]:
     return out
 
 
-def profiled_columns(spark: SparkSession, tables: list[Table], rows: list[list[tuple]] | None = None) -> DataFrame:
+def profile_some(table: Table, idxs: list[int]) -> list[tuple]:
+    """The profile of some columns of a table, without their ids; no other column is read."""
+    refs = [r for r in catalog([table]) if r.col_idx in set(idxs)]
+    found = {r.col_id: tuple(r)[1:] for r in profile_table(table, refs).collect()}
+    return [found[i] for i in idxs]
+
+
+def profiled_columns(spark: SparkSession, tables: list[Table], rows: list[list[tuple | None]] | None = None) -> DataFrame:
     """Run the profile once (or take its rows) and keep catalog and profile as a local relation.
 
     It has one row per column, like the schemas the driver already holds, and
-    later steps choose from it which columns to read at all.
+    later steps choose from it which columns to read at all. Columns whose profile
+    is None could not be read and are left out.
     """
     profiles = [p for own in (profile_rows(tables) if rows is None else rows) for p in own]
     schema = T.StructType(COLUMN_SCHEMA.fields + PROFILE_SCHEMA.fields[1:])
-    return with_precheck(local_relation(spark, [r + p for r, p in zip(catalog_rows(tables), profiles)], schema))
+    known = [r + p for r, p in zip(catalog_rows(tables), profiles) if p is not None]
+    return with_precheck(local_relation(spark, known, schema))
 
 
 def with_precheck(profile: DataFrame) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
+from functools import reduce
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import __version__, rules
@@ -18,12 +17,13 @@ from ..operators.classify import (Responder, build_prompts, first_valid, merge_v
 from ..operators.coordinates import CANDIDATES, gps_candidates
 from ..operators.duplicates import copy_to_duplicates
 from ..operators.patterns import pattern_floors
-from ..operators.profile import profile_rows, profiled_columns
+from ..operators.profile import profile_rows, profile_some, profiled_columns
 from ..operators.reports import (column_counts, dataset_summary, file_counts, issue_counts, result_counts,
                                  usage_totals)
 from ..operators.tabulate import render, tabulate_columns
 from ..operators.values import distinct_stats, melt_all, needs_distinct_test, value_counts
-from ..sources.tables import Table, catalog
+from ..sources.tables import Table, catalog, column_label
+from .bisect import bisected, first_line
 from .durable import durable
 from .local import local_relation
 
@@ -50,28 +50,45 @@ def screen_columns(spark: SparkSession, tables: list[Table], land: DataFrame | N
     return apply_cascade(columns, stats, gps)
 
 
-def readable_tables(spark: SparkSession, tables: list[Table]) -> tuple[list[Table], DataFrame, list[tuple]]:
-    """Tables that can be scanned, their profiled columns, and an issue per table that cannot.
+def readable_tables(spark: SparkSession, tables: list[Table]
+                    ) -> tuple[list[Table], DataFrame, list[tuple], list[tuple]]:
+    """Tables that can be scanned, their profiled columns, an issue per table that cannot,
+    and (dataset_id, file, sheet, col_name, label, n_rows, message) per column that cannot.
 
     All tables are profiled in one job. If it fails the tables are halved until the
-    damaged ones stand alone; what was profiled on the way is kept.
+    damaged ones stand alone, and then the columns of a damaged table, as long as its
+    rows can be counted; what was profiled on the way is kept.
     """
     issues: list[tuple] = []
-
-    def profiles(chosen: list[Table]) -> list[list[tuple] | None]:
+    bad_columns: list[tuple] = []
+    rows: dict[int, list[tuple | None]] = {}
+    unread: dict[int, frozenset[int]] = {}
+    done, failed = bisected(list(enumerate(tables)), lambda part: profile_rows([t for _, t in part]))
+    for part, profiles in done:
+        rows.update((i, own) for (i, _), own in zip(part, profiles))
+    for (i, table), error in failed:
+        idxs = list(range(len(table.df.columns)))
         try:
-            return profile_rows(chosen)
-        except (PySparkException, Py4JJavaError) as e:
-            if len(chosen) == 1:
-                table = chosen[0]
-                issues.append((table.dataset_id, "ERROR", f"{table.file}: could not be read: {str(e).splitlines()[0]}"))
-                return [None]
-            half = len(chosen) // 2
-            return profiles(chosen[:half]) + profiles(chosen[half:])
-
-    rows = profiles(tables) if tables else []
-    good = [(t, r) for t, r in zip(tables, rows) if r is not None]
-    return [t for t, _ in good], profiled_columns(spark, [t for t, _ in good], [r for _, r in good]), issues
+            n_rows = table.cells([]).count()
+            parts, broken = bisected(idxs, lambda chosen: profile_some(table, list(chosen)))
+        except Exception as e:
+            parts, broken, error = [], [], e
+        if not parts:    # nothing of it can be read
+            issues.append((table.dataset_id, "ERROR", f"{table.file}: could not be read: {first_line(error)}"))
+            continue
+        own: list[tuple | None] = [None] * len(idxs)
+        for chosen, profiles in parts:
+            for idx, p in zip(chosen, profiles):
+                own[idx] = p
+        rows[i], unread[i] = own, frozenset(idx for idx, _ in broken)
+        for idx, e in broken:
+            f = table.field(idx)
+            said = first_line(e)
+            issues.append((table.dataset_id, "ERROR", f"{table.file}: column {f.name} could not be read: {said}"))
+            bad_columns.append((table.dataset_id, table.file, table.sheet or rules.NO_SHEET, f.name,
+                                column_label(table, f), n_rows, f"the column could not be read: {said}"))
+    good = [replace(t, unread=unread[i]) if i in unread else t for i, t in enumerate(tables) if i in rows]
+    return good, profiled_columns(spark, good, [rows[i] for i in sorted(rows)]), issues, bad_columns
 
 
 def coordinate_columns(spark: SparkSession, tables: list[Table], columns: DataFrame, land: DataFrame | None,
@@ -82,14 +99,14 @@ def coordinate_columns(spark: SparkSession, tables: list[Table], columns: DataFr
     """
     try:
         return gps_candidates(spark, tables, columns, land, cells_per_degree), []
-    except (PySparkException, Py4JJavaError):
+    except Exception:
         found, issues = local_relation(spark, [], CANDIDATES), []
         for table_id, table in enumerate(tables):
             try:
                 own = columns.filter(F.col("table_id") == table_id)
                 found = found.unionByName(gps_candidates(spark, tables, own, land, cells_per_degree))
-            except (PySparkException, Py4JJavaError) as e:
-                issues.append((table.dataset_id, "ERROR", f"{table.file}: coordinate test failed: {str(e).splitlines()[0]}"))
+            except Exception as e:    # whatever it is, the other rules can still decide
+                issues.append((table.dataset_id, "ERROR", f"{table.file}: coordinate test failed: {first_line(e)}"))
         return found, issues
 
 
@@ -107,6 +124,9 @@ class ScreenResult:
 
 
 ISSUES = "dataset_id string, level string, message string"
+ERROR_ROWS = ("dataset_id string, file string, sheet string, col_name string, label string, n_rows bigint, "
+              "filter_reason string, reasoning string")
+SHOWN = "col_id int, grp string, rank int, digest string, value string, cnt bigint, pct double, n_unique bigint"
 
 
 def floors_of(columns: DataFrame) -> DataFrame:
@@ -122,12 +142,21 @@ def tabulate_candidates(spark: SparkSession, tables: list[Table], screened: Data
     mean_len = {r.col_id: (r.sum_len or 0) / max(r.n_nonnull, 1) for r in rows}
     refs = [r for r in catalog(tables) if r.col_id in wanted]
     if not refs:
-        return local_relation(spark, [], "col_id int, grp string, rank int, digest string, value string, "
-                                         "cnt bigint, pct double, n_unique bigint")
+        return local_relation(spark, [], SHOWN)
     n_rows = local_relation(spark, [(r.col_id, r.n_rows) for r in rows], "col_id int, n_rows bigint")
     return tabulate_columns(tables, refs, n_rows, mean_len, seed)
 
 
+def sampled_candidates(spark: SparkSession, tables: list[Table], screened: DataFrame, seed: str = "0"
+                       ) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """Value samples of all candidates as one job, and (col_id, message) of those that cannot be sampled."""
+    wanted = sorted(r.col_id for r in screened.filter("is_candidate").select("col_id").collect())
+    done, failed = bisected(wanted, lambda ids: durable(tabulate_candidates(
+        spark, tables, screened.filter(F.col("col_id").isin(list(ids))), seed)))
+    shown = [df for _, df in done] or [local_relation(spark, [], SHOWN)]
+    return reduce(DataFrame.unionByName, shown), [(i, first_line(e)) for i, e in failed]
+
+
 def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | None = None,
                    responder: Responder | None = None, cells_per_degree: int = 1,
                    files: DataFrame | None = None, run_info: dict[str, str] | None = None,
@@ -141,7 +170,7 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     """
     started = datetime.now(timezone.utc)
     datasets = sorted({t.dataset_id for t in tables})
-    tables, columns, unread = readable_tables(spark, tables)
+    tables, columns, unread, bad_columns = readable_tables(spark, tables)
     found = local_relation(spark, unread, ISSUES)
     issues = found if issues is None else issues.unionByName(found)
     if files is not None and unread:
@@ -153,9 +182,17 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     screened = apply_cascade(columns, open_category_stats(spark, tables, columns), gps)
     rows = [tuple(r) for r in screened.collect()]    # one per column, like the schemas
     screened = local_relation(spark, rows, screened.schema)
-    candidates = screened.filter("is_candidate")
-
-    shown = durable(tabulate_candidates(spark, tables, screened, seed))
+    shown, unsampled = sampled_candidates(spark, tables, screened, seed)
+    errors = [(*r[:6], "error", r[6]) for r in bad_columns]
+    if unsampled:
+        said = dict(unsampled)
+        lost = screened.filter(F.col("col_id").isin(list(said))).collect()    # columns that failed alone
+        errors += [(r.dataset_id, r.file, r.sheet, r.col_name, r.label, r.n_rows, r.reason,
+                    f"the column could not be sampled: {said[r.col_id]}") for r in lost]
+        issues = issues.unionByName(local_relation(
+            spark, [(r.dataset_id, "ERROR", f"{r.file}: column {r.col_name} could not be sampled: {said[r.col_id]}")
+                    for r in lost], ISSUES))
+    candidates = screened.filter(F.col("is_candidate") & ~F.col("col_id").isin([i for i, _ in unsampled]))
     cells = render(shown)
     prompts = durable(build_prompts(candidates, cells))
     rowed = (candidates.join(cells, "col_id", "left")
@@ -178,12 +215,21 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
         "dataset_id", "file", "sheet", "col_name", text.strip_controls(F.col("label")).alias("label"),
         "n_rows", F.col("reason").alias("filter_reason"), "evaluation", "reasoning",
         F.coalesce("tabulation", F.lit("")).alias("tabulation"), F.lit("").alias("duplicate_of"))
+    if errors:
+        results = results.unionByName(local_relation(spark, errors, ERROR_ROWS).select(
+            "dataset_id", "file", "sheet", "col_name", text.strip_controls(F.col("label")).alias("label"), "n_rows",
+            "filter_reason", F.lit("error").alias("evaluation"), "reasoning", F.lit("").alias("tabulation"),
+            F.lit("").alias("duplicate_of")))
     if files is not None:
         results = copy_to_duplicates(results, files)
 
     base = local_relation(spark, [(d,) for d in datasets], "dataset_id string")
     results = durable(results)
-    parts = [column_counts(screened), result_counts(results), issue_counts(issues)]
+    counted = screened.select("dataset_id", "is_candidate")
+    if bad_columns:
+        counted = counted.unionByName(local_relation(spark, [(r[0], False) for r in bad_columns],
+                                                     "dataset_id string, is_candidate boolean"))
+    parts = [column_counts(counted), result_counts(results), issue_counts(issues)]
     if files is not None:
         parts.insert(0, file_counts(files))
         base = base.unionByName(files.select("dataset_id").distinct()).distinct()

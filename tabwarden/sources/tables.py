@@ -21,6 +21,7 @@ class Table:
     dataset_id: str = ""
     labels: Mapping[str, str] = field(default_factory=dict)
     row_key: tuple[str, ...] = ()
+    unread: frozenset[int] = frozenset()    # positions of columns that cannot be read
 
     def positional(self) -> DataFrame:
         """The table with columns c0, c1, ...: names may repeat or hold any character."""

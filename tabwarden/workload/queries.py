@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -565,6 +566,16 @@ def screen_survey(spark, sf_dir):
     return result.results.select("file", "col_name", "n_rows", "filter_reason", "evaluation", "duplicate_of")
 
 
+@query
+def screen_damaged_column(spark, sf_dir):
+    """The survey with one more column, some cells of which cannot be read."""
+    table = survey_table(spark, sf_dir)
+    broken = F.when(F.col("respondent_id") % 97 == 5, F.raise_error(F.lit("damaged cell"))).otherwise(F.col("full_name"))
+    result = screen_dataset(spark, [replace(table, df=table.df.withColumn("damaged", broken))], planted.land(spark),
+                            rule_responder, waits=(0, 0, 0))
+    return result.results.select("file", "col_name", "n_rows", "filter_reason", "evaluation", "duplicate_of")
+
+
 @query
 def dry_run_catalog(spark, sf_dir):
     result = screen_dataset(spark, driver_tables(spark, sf_dir), planted.land(spark))
