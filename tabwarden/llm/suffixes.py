@@ -385,9 +385,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     free_shuffles(spark)
 
     back = _back(spark, keyed, live, width, window, group)
-    runs = (live.join(back, ["head", "around"], "left").filter("whole OR back IS NOT NULL")
-            .select("t", F.struct("place", "start", "count", "whole", F.when(~F.col("whole"), F.col("back")).alias("back")).alias("run"))
-            .groupBy("t").agg(F.collect_list("run").alias("runs")))
+    # An entry that is not whole stands at one place only, so this join has no hot key.
+    listed = live.filter("whole").select("t", "place", "start", "count", "whole", F.lit(None).cast("array<int>").alias("back"))
+    listed = listed.unionByName(live.filter(~F.col("whole")).join(back, ["head", "around"])
+                                .select("t", "place", "start", "count", "whole", "back"))
+    runs = listed.groupBy("t").agg(F.collect_list(F.struct("place", "start", "count", "whole", "back")).alias("runs"))
     spans = stored(runs.mapInArrow(lambda rows: _spans(rows, width),
                                    "t binary, spans array<struct<start: long, end: long>>"), "spans")
     dropped(live, back)
