@@ -120,7 +120,7 @@ def digest_cutoff(n: int, wanted: int) -> str | None:
 
 def sample_points(tables: list[Table], pairs: list[Pair], n_both: dict[int, int],
                   wanted: int = rules.GPS_SAMPLE_ROWS) -> DataFrame:
-    """(pair_id, point_id, a, b): the first rows of each pair in sample order.
+    """(pair_id, point_id, a, b, k): the first rows of each pair in sample order k.
 
     Big tables are cut by digest before anything is sorted. Should the cut have
     left too few rows of a pair, that pair is sampled again from all its rows.
@@ -143,7 +143,7 @@ def sample_points(tables: list[Table], pairs: list[Pair], n_both: dict[int, int]
         first = Window.partitionBy("pair_id").orderBy("k", "a", "b")
         return (reduce(DataFrame.unionByName, parts)
                 .withColumn("point_id", F.row_number().over(first))
-                .filter(F.col("point_id") <= wanted).drop("k"))
+                .filter(F.col("point_id") <= wanted))
 
     points = sampled(pairs, cut=True)
     if all(digest_cutoff(n_both[p.pair_id], wanted) is None for p in pairs):
@@ -244,7 +244,12 @@ def gps_candidates(spark: SparkSession, tables: list[Table], columns: DataFrame,
     pairs = [p for p in pairs if p.pair_id in both]
     if not pairs:
         return nothing
-    points = sample_points(tables, pairs, both)
+    return candidates_from_points(spark, columns, pairs, sample_points(tables, pairs, both), land, cells_per_degree)
+
+
+def candidates_from_points(spark: SparkSession, columns: DataFrame, pairs: list[Pair], points: DataFrame,
+                           land: DataFrame, cells_per_degree: int = 1) -> DataFrame:
+    """The columns of pairs whose sampled points lie on land."""
     shares = land_shares(points, land, cells_per_degree)
     shares = local_relation(spark, [tuple(r) for r in shares.collect()], shares.schema)   # two rows per pair
     good = best_orientations(shares)

@@ -188,10 +188,15 @@ def fetch_texts(shown: DataFrame, long: DataFrame) -> DataFrame:
     A sample holds at most 65 keys per column, so the keys go to the texts and the
     texts stay where they are; copies of a chosen text fold before the shuffle.
     """
-    shown = durable(shown)
     v = F.col("value")
     texts = (long.filter(v.isNotNull()).select("col_id", text.strip_controls(v).alias("text"))
              .withColumn("digest", F.md5("text")))
+    return fill_texts(shown, texts)
+
+
+def fill_texts(shown: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same from texts: (col_id, text, digest) rows."""
+    shown = durable(shown)
     wanted = shown.select("col_id", "digest")
     if wanted.count() <= MAX_BROADCAST_KEYS:
         wanted = F.broadcast(wanted)

@@ -1,51 +1,131 @@
 """Screening of a table that keeps arriving.
 
-Each micro-batch leaves only its own profile and value counts, in a folder named
-by the batch. A replayed batch overwrites its folder, so every row counts once.
-Profiles and counts of all batches merge exactly; old batches are folded into
-one base from time to time.
+Each micro-batch leaves only what screening needs of it, in folders named by the
+batch. A replayed batch overwrites its folders, so every row counts once. What is
+kept of all batches merges exactly; old batches are folded into one base from time
+to time.
+
+* profile: one row per column.
+* counts: value counts of the text columns, for categories and pattern floors.
+* samples: counts by digest with length and pattern flags, of every column that may still
+  become a candidate; values of up to LONG characters are kept with them. texts: longer
+  values, each once. Which values are shown is decided from the counts alone, so samples are
+  those of the whole table; the texts of the few chosen ones are then looked up.
+* pairs, points: completeness of neighbouring columns that may still be coordinates, and
+  the first rows of each such pair in sample order. The first rows of all are among
+  the first of each batch, so a bounded list per batch is enough.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import rules
+from ..functions import names
+from ..operators import coordinates, tabulate
 from ..operators.cascade import apply_cascade
 from ..operators.patterns import pattern_floors, pattern_stats
 from ..operators.profile import column_catalog, merge_profiles, profile_tables, with_precheck
 from ..operators.values import distinct_stats, melt_all, value_counts
+from ..plans.local import local_relation
 from ..sources.tables import Table, catalog
 
+LONG = tabulate.LONG_TEXT_MEAN      # characters
+SAMPLE_KEY = ["col_id", "digest", "len", *rules.PATTERN_KINDS]
+PAIR = ["a_id", "b_id"]
+
 
 class ArrivingTable:
-    """Kept state of one arriving table below a folder that all executors share."""
+    """Kept state of one arriving table below a folder that all executors share.
+
+    samples and points are kept only if asked for. row_key names the columns by whose
+    digest the rows of a coordinate sample are ordered; without one it is the row's place
+    in its file, or else the whole row.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, schema, file: str, labels: dict | None = None):
+    def __init__(self, spark: SparkSession, folder: str, schema, file: str, labels: dict | None = None,
+                 row_key: tuple[str, ...] = (), samples: bool = False, points: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.schema = schema
         self.file = file
         self.labels = labels or {}
+        self.row_key = row_key
+        self.kinds = ["profile", "counts"] + ["samples", "texts"] * samples + ["pairs", "points"] * points
 
     def _table(self, df: DataFrame) -> Table:
-        return Table(df, self.file, labels=self.labels)
+        return Table(df, self.file, labels=self.labels, row_key=self.row_key)
+
+    def _empty(self) -> Table:
+        return self._table(self.spark.createDataFrame([], self.schema))
+
+    def _write(self, df: DataFrame, kind: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
 
     def add_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Keep profile and value counts of one micro-batch; idempotent per batch_id."""
+        """Keep what screening needs of one micro-batch; idempotent per batch_id."""
         table = self._table(batch)
         texts = [r for r in catalog([table]) if r.kind == "string"]
         batch.persist()
         try:
-            profile_tables([table]).write.mode("overwrite").parquet(f"{self.folder}/profile/batch={batch_id}")
+            self._write(profile_tables([table]), "profile", batch_id)
             if texts:
-                value_counts(melt_all([table], texts)).write.mode("overwrite").parquet(
-                    f"{self.folder}/counts/batch={batch_id}")
+                self._write(value_counts(melt_all([table], texts)), "counts", batch_id)
+            if "samples" in self.kinds or "points" in self.kinds:
+                own = self._known(self.spark.read.parquet(f"{self.folder}/profile/batch={batch_id}"))
+            if "samples" in self.kinds:
+                self._keep_samples(table, own, batch_id)
+            if "points" in self.kinds:
+                self._keep_points(table, own, batch_id)
         finally:
             batch.unpersist()
 
+    def _known(self, profile: DataFrame) -> DataFrame:
+        """Catalog and profile as a local relation: a row per column."""
+        known = column_catalog(self.spark, [self._empty()]).join(with_precheck(profile), "col_id")
+        return local_relation(self.spark, [tuple(r) for r in known.collect()], known.schema)
+
+    def _keep_samples(self, table: Table, profile: DataFrame, batch_id: int) -> None:
+        """A column that this batch rules out for good is not counted: booleans, and numbers
+        with fractions that are beyond any coordinate, unless their name demands a check."""
+        named = names.is_forced_name(F.col("col_name"), F.col("label")) | names.is_platform_name(F.col("col_name"), F.col("label"))
+        beyond = F.coalesce(F.col("has_frac"), F.lit(False)) & F.coalesce(F.col("gps_max") > rules.GPS_MAX_ABS, F.lit(False))
+        out = {r.col_id for r in profile.filter(~named & ((F.col("kind") == "bool") | beyond)).select("col_id").collect()}
+        refs = [r for r in catalog([table]) if r.col_id not in out]
+        if not refs:
+            return
+        counts = tabulate.count_candidates([table], refs)
+        kept = counts.withColumn("value", F.when(F.col("len") <= LONG, F.col("value")))
+        self._write(kept.select(*SAMPLE_KEY, "cnt", "value"), "samples", batch_id)
+        wordy = [r for r in refs if r.kind in ("string", "other")]
+        if wordy:
+            texts = tabulate.clean_counts(melt_all([table], wordy)).filter(F.col("len") > LONG)
+            self._write(texts.select("col_id", "digest", F.col("value").alias("text")), "texts", batch_id)
+
+    def _keep_points(self, table: Table, profile: DataFrame, batch_id: int) -> None:
+        """Pairs are those of this batch's columns that are not too large for a coordinate; whether
+        they are precise enough shows in the merged profile."""
+        possible = profile.withColumn("gps_precheck", (F.col("kind") == "numeric")
+                                      & (F.coalesce(F.col("gps_max"), F.lit(0.0)) <= rules.GPS_MAX_ABS)
+                                      & F.col("spark_type").rlike("^(double|float|decimal)"))
+        pairs = coordinates.list_pairs(possible)
+        if not pairs:
+            return
+        ids = local_relation(self.spark, [(p.pair_id, p.a_id, p.b_id) for p in pairs], "pair_id int, a_id int, b_id int")
+        filled = coordinates.pair_completeness([table], pairs).join(ids, "pair_id").select(*PAIR, "n_either", "n_both")
+        self._write(filled, "pairs", batch_id)
+        both = {(r.a_id, r.b_id): r.n_both for r in
+                self.spark.read.parquet(f"{self.folder}/pairs/batch={batch_id}").filter("n_both > 0").collect()}
+        held = [p for p in pairs if (p.a_id, p.b_id) in both]
+        if held:
+            points = coordinates.sample_points([table], held, {p.pair_id: both[p.a_id, p.b_id] for p in held})
+            self._write(points.join(ids, "pair_id").select(*PAIR, "k", "a", "b"), "points", batch_id)
+        else:
+            self._write(local_relation(self.spark, [], "a_id int, b_id int, k string, a double, b double"), "points", batch_id)
+
     def _fs(self):
         Path = self.spark._jvm.org.apache.hadoop.fs.Path
         return Path, Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -76,43 +156,112 @@ class ArrivingTable:
             return None
         return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for _, _, p in parts])
 
+    def _merged(self, kind: str) -> DataFrame | None:
+        """What all batches together have kept."""
+        kept = self._read(kind)
+        if kept is None:
+            return None
+        if kind == "profile":
+            return merge_profiles(kept)
+        if kind == "counts":
+            return kept.groupBy("col_id", "value").agg(F.sum("cnt").alias("cnt"))
+        if kind == "samples":
+            return kept.groupBy(*SAMPLE_KEY).agg(F.sum("cnt").alias("cnt"), F.max("value").alias("value"))
+        if kind == "texts":
+            return kept.groupBy("col_id", "digest").agg(F.first("text").alias("text"))
+        if kind == "pairs":
+            return kept.groupBy(*PAIR).agg(F.sum("n_either").alias("n_either"), F.sum("n_both").alias("n_both"))
+        first = Window.partitionBy(*PAIR).orderBy("k", "a", "b")
+        return (kept.withColumn("point_id", F.row_number().over(first))
+                .filter(F.col("point_id") <= rules.GPS_SAMPLE_ROWS).drop("point_id"))
+
     def profile(self) -> DataFrame:
-        return merge_profiles(self._read("profile"))
+        return self._merged("profile")
 
     def counts(self) -> DataFrame | None:
-        kept = self._read("counts")
-        return None if kept is None else kept.groupBy("col_id", "value").agg(F.sum("cnt").alias("cnt"))
+        return self._merged("counts")
 
-    def columns(self) -> DataFrame:
+    def columns(self, land: DataFrame | None = None, cells_per_degree: int = 1) -> DataFrame:
         """Cascade over everything that has arrived: the same as over the whole table."""
-        empty = self.spark.createDataFrame([], self.schema)
-        known = column_catalog(self.spark, [self._table(empty)]).join(with_precheck(self.profile()), "col_id")
+        known = self._known(self.profile())
         counts = self.counts()
         if counts is None:
             stats = self.spark.createDataFrame([], "col_id int, n_unique bigint, min_count bigint")
         else:
             stats = distinct_stats(counts)
-        return apply_cascade(known, stats)
+        return apply_cascade(known, stats, None if land is None else self.coordinates(land, cells_per_degree, known))
 
     def floors(self) -> DataFrame:
         """Pattern floors of the text columns over everything that has arrived."""
-        empty = self.spark.createDataFrame([], self.schema)
-        named = column_catalog(self.spark, [self._table(empty)]).select("col_id", "col_name", "label")
+        named = column_catalog(self.spark, [self._empty()]).select("col_id", "col_name", "label")
         return pattern_floors(named.join(pattern_stats(self.counts()), "col_id"))
 
+    def tabulation(self, screened: DataFrame | None = None, seed: str = "0") -> DataFrame:
+        """Value samples of the candidate columns, as tabulate_candidates gives them of the whole table.
+
+        screened: columns with is_candidate; those of columns() if left out.
+        """
+        if "samples" not in self.kinds:
+            raise ValueError("this table keeps no samples")
+        screened = self.columns() if screened is None else screened
+        rows = [(r.col_id, r.n_rows) for r in screened.filter("is_candidate").select("col_id", "n_rows").collect()]
+        n_rows = local_relation(self.spark, rows, "col_id int, n_rows bigint")    # a row per column
+        kept = self._read("samples")
+        if kept is None or not rows:
+            return local_relation(self.spark, [], "col_id int, grp string, rank int, digest string, value string, "
+                                                  "cnt bigint, pct double, n_unique bigint")
+        counts = self._merged("samples").filter(F.col("col_id").isin([i for i, _ in rows]))
+        shown = tabulate.tabulate(counts, n_rows, seed)
+        texts = self._read("texts")
+        return shown if texts is None else tabulate.fill_texts(shown, texts.select("col_id", "text", "digest"))
+
+    def _complete_pairs(self, known: DataFrame) -> tuple[list[coordinates.Pair], dict[int, tuple[int, int]], DataFrame | None]:
+        """Pairs whose values mostly come together, (n_either, n_both) by pair_id, and their first points."""
+        if "points" not in self.kinds:
+            raise ValueError("this table keeps no points")
+        pairs = coordinates.list_pairs(known)
+        filled = self._merged("pairs")
+        if not pairs or filled is None:
+            return [], {}, None
+        rows = {(r.a_id, r.b_id): (r.n_either, r.n_both) for r in
+                filled.filter(coordinates.is_complete(F.col("n_either"), F.col("n_both"))).collect()}
+        pairs = [p for p in pairs if (p.a_id, p.b_id) in rows]
+        ids = local_relation(self.spark, [(p.pair_id, p.a_id, p.b_id) for p in pairs], "pair_id int, a_id int, b_id int")
+        first = Window.partitionBy("pair_id").orderBy("k", "a", "b")
+        points = (self._merged("points").join(ids, PAIR).withColumn("point_id", F.row_number().over(first))
+                  .select("pair_id", "point_id", "a", "b"))
+        return pairs, {p.pair_id: rows[p.a_id, p.b_id] for p in pairs}, points
+
+    def coordinates(self, land: DataFrame, cells_per_degree: int = 1, known: DataFrame | None = None) -> DataFrame:
+        """Columns that pair as coordinates, as gps_candidates finds them in the whole table."""
+        known = self._known(self.profile()) if known is None else known
+        pairs, _, points = self._complete_pairs(known)
+        if not pairs:
+            return local_relation(self.spark, [], coordinates.CANDIDATES)
+        return coordinates.candidates_from_points(self.spark, known, pairs, points, land, cells_per_degree)
+
+    def pair_shares(self, land: DataFrame, cells_per_degree: int = 1) -> DataFrame:
+        """(a_idx, b_idx, n_either, n_both, a_is_lat, share, n) of the complete pairs."""
+        pairs, filled, points = self._complete_pairs(self._known(self.profile()))
+        info = local_relation(self.spark, [(p.pair_id, p.a_idx, p.b_idx, *filled[p.pair_id]) for p in pairs],
+                              "pair_id int, a_idx int, b_idx int, n_either bigint, n_both bigint")
+        if not pairs:
+            return info.select("a_idx", "b_idx", "n_either", "n_both", F.lit(True).alias("a_is_lat"),
+                               F.lit(0.0).alias("share"), F.lit(0).cast("bigint").alias("n"))
+        return coordinates.land_shares(points, land, cells_per_degree).join(info, "pair_id").drop("pair_id")
+
     def compact(self) -> None:
         """Fold all complete batches into a new base, then remove what went into it.
 
         Not while another process reads this state: call it between queries.
         """
         Path, fs = self._fs()
-        for kind in ("profile", "counts"):
+        for kind in self.kinds:
             parts = self._parts(kind)
             if len(parts) < 2:
                 continue
             last = parts[-1][1]
-            merged = self.profile() if kind == "profile" else self.counts()
-            merged.write.mode("overwrite").parquet(f"{self.folder}/{kind}/base={last}")
+            self._merged(kind).write.mode("overwrite").parquet(f"{self.folder}/{kind}/base={last}")
             for _, _, part in parts:
                 fs.delete(Path(part), True)
 

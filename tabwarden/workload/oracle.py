@@ -387,6 +387,7 @@ SELECT word, {forced("concat(word, ' ', label)")} AS forced, {platform('word')}
     o["tabulation_sampled"] = samples(f"({SURVEY})", "note")
     o["tabulation_names"] = samples("customer", "c_name")
     o["tabulation_documents"] = samples("documents", "text")
+    o["arriving_samples"], o["arriving_samples_documents"] = o["tabulation_names"], o["tabulation_documents"]
     o["tabulation_pages"] = samples("pages", "html")
     o["tabulation_conversations"] = samples("conversations", "text")
     o["pattern_reserve"] = f"{with_survey} {reserve('note')} UNION ALL {reserve('email')}"
@@ -415,7 +416,7 @@ SELECT word, {email('word')} AS email, {web('word')} AS web, {long_digit('word')
     o["gps_precheck"] = (f"{with_survey}, stops AS ({STOPS}) SELECT 'survey' AS table_name, * FROM ({precheck('survey', SURVEY_COLS)}) "
                          f"UNION ALL SELECT 'stops', * FROM ({precheck('stops', STOPS_COLS)})")
     o["gps_pairs"] = pair_query("survey", SURVEY, SURVEY_COLS, "respondent_id")
-    o["gps_pairs_sampled"] = pair_query("stops", STOPS, STOPS_COLS, "stop_id")
+    o["gps_pairs_sampled"] = o["arriving_coordinates"] = pair_query("stops", STOPS, STOPS_COLS, "stop_id")
     o["gps_edges"] = pair_query("edges", planted.duck_text(planted.EDGES), {"edge_id": "int", "pos_y": "dbl", "pos_x": "dbl"}, "edge_id")
     o["gps_candidates"] = (gps_query("survey", SURVEY, SURVEY_COLS, "respondent_id") + " UNION ALL "
                            + gps_query("stops", STOPS, STOPS_COLS, "stop_id"))

@@ -75,13 +75,43 @@ def column_profile_lineitem(spark, sf_dir):
 @query
 def arriving_profile(spark, sf_dir):
     """Orders that arrive in three batches, one of them twice, folded once on the way."""
-    orders = planted.table(spark, sf_dir, "orders")
-    state = ArrivingTable(spark, _folder(spark, "arriving"), orders.schema, "orders")
+    state = _arrived(spark, driver_table(spark, sf_dir, "orders"), "o_orderkey")
+    return state.columns().select("col_idx", "col_name", "n_rows", "n_nonnull", "max_abs", "has_frac", "max_len")
+
+
+def _arrived(spark: SparkSession, table: Table, key: str, **kept: bool) -> ArrivingTable:
+    """A table that came in three batches by key, the second of them twice, folded once on the way."""
+    state = ArrivingTable(spark, _folder(spark, "arriving"), table.df.schema, table.file, row_key=table.row_key, **kept)
     for batch_id in (0, 1, 1, 2):
-        state.add_batch(orders.filter(F.col("o_orderkey") % 3 == batch_id), batch_id)
+        state.add_batch(table.df.filter(F.col(key) % 3 == batch_id), batch_id)
         if batch_id == 1:
             state.compact()
-    return state.columns().select("col_idx", "col_name", "n_rows", "n_nonnull", "max_abs", "has_frac", "max_len")
+    return state
+
+
+def _arrived_samples(spark: SparkSession, sf_dir: str, name: str, key: str, column: str) -> DataFrame:
+    state = _arrived(spark, driver_table(spark, sf_dir, name), key, samples=True)
+    shown = state.tabulation(state.columns().filter(F.col("col_name") == column))
+    return shown.select("grp", "rank", "value", "cnt", "pct", "n_unique")
+
+
+@query
+def arriving_samples(spark, sf_dir):
+    """Samples of customers' names from the state that three batches left."""
+    return _arrived_samples(spark, sf_dir, "customer", "c_custkey", "c_name")
+
+
+@query
+def arriving_samples_documents(spark, sf_dir):
+    """The same of long texts, which are counted by digest."""
+    return _arrived_samples(spark, sf_dir, "documents", "doc_id", "text")
+
+
+@query
+def arriving_coordinates(spark, sf_dir):
+    """Shares of points on land of stops that came in three batches."""
+    state = _arrived(spark, stops_table(spark, sf_dir), "stop_id", points=True)
+    return state.pair_shares(planted.land(spark))
 
 
 @query

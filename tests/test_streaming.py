@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwarden.operators import reports
-from tabwarden.plans.screen import floors_of, screen_columns
+from tabwarden.plans.screen import floors_of, screen_columns, tabulate_candidates
 from tabwarden.sources.tables import Table
 from tabwarden.streaming.incremental import ArrivingTable
 from tabwarden.streaming.throughput import throughput_stream
@@ -62,3 +62,51 @@ def test_arriving_table_equals_whole_table(spark, arriving, tmp_path):
     assert state.columns().first().n_rows == 910
     state.add_batch(df.limit(10), last + 2)                # replayed batch counts once
     assert state.columns().first().n_rows == 910
+
+
+def people(spark, tmp_path):
+    df = spark.range(2400).selectExpr(
+        "id", "concat('person ', id % 900) as name", "if(id % 5 = 0, concat('mail', id, '@x.example.com'), concat('word', id % 60)) as note",
+        "repeat(concat('long text ', id % 70, ' '), 40 + id % 3) as essay", "id * 3 + 4000 as code", "id % 3 = 0 as flag",
+        "40.12345 + id / 1024.0D as lat", "-99.54321 + id / 1024.0D as lon", "id * 1000.5 as amount", "cast(null as string) as none",
+        "timestamp_seconds(id * 20) as ts", "1.5 as WorkerId", "array(id % 4) as list")
+    folder = str(tmp_path / "in")
+    df.repartition(5).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_samples_and_coordinates_of_an_arriving_table(spark, tmp_path, fold):
+    df = people(spark, tmp_path)
+    land = spark.createDataFrame([(y, 70, 85) for y in range(128, 136)], "lat_idx int, lon_start int, lon_end int")
+    whole = Table(df, "t", row_key=("id",))
+    state = ArrivingTable(spark, str(tmp_path / "state"), df.schema, "t", row_key=("id",), samples=True, points=True)
+    for batch in (0, 1, 1, 2, 3):      # the last batch has no rows at all
+        state.add_batch(df.filter(F.col("id") % 3 == batch), batch)
+        if fold:
+            state.compact()
+    if fold:
+        assert all(len(state._parts(kind)) == 1 for kind in state.kinds)
+
+    want = screen_columns(spark, [whole], land)
+    got = state.columns(land)
+    assert sorted(map(tuple, got.select("col_id", "reason_code", "reason").collect())) == sorted(
+        map(tuple, want.select("col_id", "reason_code", "reason").collect()))
+    assert {r.col_name for r in got.filter("reason_code = 'gps'").collect()} == {"lat", "lon"}
+
+    def shown(df):
+        return sorted(map(tuple, df.select("col_id", "grp", "rank", "digest", "value", "cnt", "pct", "n_unique").collect()), key=repr)
+
+    samples = shown(state.tabulation(got))
+    assert samples == shown(tabulate_candidates(spark, [whole], want)) and all(r[4] is not None for r in samples)
+    assert len({r[0] for r in samples}) == got.filter("is_candidate").count() == 10
+
+
+def test_state_that_keeps_no_samples(spark, tmp_path):
+    df = spark.range(3).selectExpr("id")
+    state = ArrivingTable(spark, str(tmp_path / "state"), df.schema, "t")
+    state.add_batch(df, 0)
+    with pytest.raises(ValueError):
+        state.tabulation()
+    with pytest.raises(ValueError):
+        state.pair_shares(df)
