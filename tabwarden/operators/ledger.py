@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
@@ -24,15 +26,20 @@ def with_standard_columns(ledger: DataFrame) -> DataFrame:
     return ledger.select(*standard, *extra)
 
 
-def recover(ledger: DataFrame) -> DataFrame:
-    """Packages an interrupted run left running are pending again."""
-    return ledger.withColumn("status", F.when(
-        F.col("status") == rules.STATUS_RUNNING, rules.STATUS_PENDING).otherwise(F.col("status")))
+OWNER = "lease_owner"   # the driver that has a running package
+
 
+def recover(ledger: DataFrame, alive: Sequence[str] = ()) -> DataFrame:
+    """Packages that an interrupted run left running are pending again; those of drivers alive are not."""
+    lost = F.col("status") == rules.STATUS_RUNNING
+    if OWNER in ledger.columns:
+        lost &= ~F.coalesce(F.col(OWNER).isin(list(alive)), F.lit(False))
+    return ledger.withColumn("status", F.when(lost, rules.STATUS_PENDING).otherwise(F.col("status")))
 
-def reconcile(ledger: DataFrame, discovered: DataFrame) -> DataFrame:
+
+def reconcile(ledger: DataFrame, discovered: DataFrame, alive: Sequence[str] = ()) -> DataFrame:
     """Recovered ledger plus a pending row for each package not in it yet."""
-    known = recover(with_standard_columns(ledger))
+    known = recover(with_standard_columns(ledger), alive)
     new = (discovered.select("package_path").distinct()
            .join(known.select("package_path"), "package_path", "left_anti")
            .withColumn("status", F.lit(rules.STATUS_PENDING)))
@@ -56,17 +63,22 @@ def final_status(archive_files: Column, n_files_total: Column, failed: Column) -
         .otherwise(rules.STATUS_DONE))
 
 
-def start(ledger: DataFrame, packages: DataFrame) -> DataFrame:
-    """Mark the given packages as running."""
+def start(ledger: DataFrame, packages: DataFrame, owner: str | None = None) -> DataFrame:
+    """Mark the given packages as running, as the owner's if one is named."""
     marked = packages.select("package_path", F.lit(True).alias("_start"))
     out = ledger.join(marked, "package_path", "left").withColumn(
         "status", F.when(F.col("_start"), rules.STATUS_RUNNING).otherwise(F.col("status")))
-    return out.select(*ledger.columns)
+    if owner is None:
+        return out.select(*ledger.columns)
+    before = F.col(OWNER) if OWNER in ledger.columns else F.lit(None).cast("string")
+    return out.withColumn(OWNER, F.when(F.col("_start"), owner).otherwise(before)).drop("_start")
 
 
-def finish(ledger: DataFrame, summaries: DataFrame) -> DataFrame:
+def finish(ledger: DataFrame, summaries: DataFrame, owner: str | None = None) -> DataFrame:
     """Write the summaries of finished runs into their rows and set their status.
 
+    With an owner, only rows that are still the owner's are written.
+
     summaries: package_path, failed, and any of the summary columns. Rows without
     a summary stay as they are, as do notes and columns a person added. A failed
     run leaves earlier summary values in place.
@@ -76,6 +88,8 @@ def finish(ledger: DataFrame, summaries: DataFrame) -> DataFrame:
                          *[F.col(c).alias(f"_{c}") for c in given])
     joined = ledger.join(s, "package_path", "left")
     done, failed = F.col("_done"), F.coalesce("_failed", F.lit(False))
+    if owner is not None:
+        done &= (F.col(OWNER) == owner) & (F.col("status") == rules.STATUS_RUNNING)
 
     def of(name: str) -> Column:
         return F.col(f"_{name}") if name in given else F.lit(None)
@@ -84,4 +98,6 @@ def finish(ledger: DataFrame, summaries: DataFrame) -> DataFrame:
     changed["status"] = F.when(done, final_status(
         of("archive_files").cast("string"), of("n_files_total").cast("bigint"), failed)
     ).otherwise(F.col("status"))
+    if OWNER in ledger.columns:
+        changed[OWNER] = F.when(~F.coalesce(done, F.lit(False)), F.col(OWNER))
     return joined.withColumns(changed).select(*ledger.columns)

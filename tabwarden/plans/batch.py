@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
@@ -13,6 +15,7 @@ from ..operators import ledger as steps
 from ..operators.classify import Responder
 from ..operators.reports import overview
 from ..sources.sinks import LedgerStore, save_results
+from .bisect import first_line
 from .durable import durable
 from .local import local_relation
 from .package import load_package
@@ -74,32 +77,68 @@ def screen_packages(spark: SparkSession, folders: list[str], output: str, land:
     return summaries
 
 
+class Lease:
+    """A driver's sign of life in the ledger's folder, renewed by a thread while it works."""
+
+    def __init__(self, store: LedgerStore, seconds: float):
+        self.store, self.seconds = store, seconds
+        self.owner = uuid.uuid4().hex
+        self._over = threading.Event()
+        self._thread = threading.Thread(target=self._renew, daemon=True)
+
+    def _renew(self) -> None:
+        while not self._over.wait(self.seconds / 5):
+            try:
+                self.store.renew(self.owner)
+            except Exception as e:  # the next renewal may succeed before the lease runs out
+                print(f"lease not renewed: {first_line(e)}")
+
+    def __enter__(self) -> Lease:
+        self.store.renew(self.owner)
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._over.set()
+        self._thread.join()
+        self.store.release(self.owner)
+
+
 def run_folder(spark: SparkSession, root: str, store: LedgerStore, output: str,
                run_many: Callable[[list[str]], dict[str, dict]] | None = None, packages_per_run: int = 8,
-               **screen_args) -> DataFrame:
+               lease_seconds: float = 300, **screen_args) -> DataFrame:
     """Screen every pending package of root and keep the ledger; safe to stop and rerun.
 
+    Several drivers may work on one folder. Each takes a group of pending packages by a ledger
+    version of its own, which no other can have taken too, and shows by its lease that it is
+    alive. Packages found running without a live lease were interrupted and are taken again.
+
     The loop runs over groups of package names, each step a few Spark jobs. A group
     that fails is taken again package by package, so that one bad package fails
-    alone. A package found running was interrupted and is taken again. Results of
-    all packages lie below output, split by dataset_id.
+    alone. Results of all packages lie below output, split by dataset_id.
     """
     run_many = run_many or (lambda folders: screen_packages(spark, folders, output, **screen_args))
     discovered = local_relation(spark, [(p,) for p in list_packages(spark, root)], "package_path string")
-    known = store.read()
-    if known is None:
-        known = local_relation(spark, [], "package_path string, status string")
-    current = store.write(steps.reconcile(known, discovered))
-    pending = [r.package_path for r in current.filter(F.col("status") == rules.STATUS_PENDING)
-               .select("package_path").orderBy("package_path").collect()]
-    for i in range(0, len(pending), packages_per_run):
-        group = pending[i:i + packages_per_run]
-        current = store.write(steps.start(current, local_relation(spark, [(p,) for p in group], "package_path string")))
-        rows = []
-        for path, summary in _run_group(run_many, group).items():
-            rows.append((path, summary is None, *[(summary or {}).get(k) for k in steps.SUMMARY]))
-        current = store.write(steps.finish(current, local_relation(spark, rows, SUMMARY)))
-    return current
+    nothing = local_relation(spark, [], "package_path string, status string")
+    with Lease(store, lease_seconds) as lease:
+        while True:
+            taken: list[str] = []
+
+            def take(known: DataFrame | None) -> DataFrame:
+                alive = store.alive(lease_seconds)
+                current = steps.reconcile(nothing if known is None else known, discovered, alive)
+                pending = current.filter(F.col("status") == rules.STATUS_PENDING)
+                taken[:] = [r[0] for r in pending.select("package_path").orderBy("package_path").limit(packages_per_run).collect()]
+                group = local_relation(spark, [(p,) for p in taken], "package_path string")
+                return steps.start(current, group, lease.owner)
+
+            current = store.update(take)
+            if not taken:
+                return current
+            rows = [(path, summary is None, *[(summary or {}).get(k) for k in steps.SUMMARY])
+                    for path, summary in _run_group(run_many, list(taken)).items()]
+            done = local_relation(spark, rows, SUMMARY)
+            store.update(lambda known: steps.finish(known, done, lease.owner))
 
 
 def _run_group(run_many, group: list[str]) -> dict[str, dict | None]:

@@ -426,6 +426,7 @@ SELECT word, {email('word')} AS email, {web('word')} AS web, {long_digit('word')
     o["saved_results"] = DOCS + """SELECT dataset_id, count(*) AS n FROM results WHERE dataset_id <> 'src1' GROUP BY 1
 UNION ALL SELECT DISTINCT dataset_id, 0 FROM files WHERE dataset_id = 'src1'
 UNION ALL SELECT dataset_id, 0 FROM files f WHERE dataset_id <> 'src1' AND dataset_id NOT IN (SELECT dataset_id FROM results) GROUP BY 1"""
+    o["saved_results_interrupted"] = o["saved_results"]
     o["result_counts"] = DOCS + "SELECT * FROM rc"
     o["file_counts"] = DOCS + "SELECT * FROM fc"
     shown = [(k, lab) for k, lab in rules.OVERVIEW_LABELS if k not in ("n_warnings", "n_errors")]
@@ -514,6 +515,7 @@ FROM led l LEFT JOIN s ON s.package_path = l.package_path"""
     votes = "\nUNION ALL ".join(
         f"SELECT path, {m} AS mark, {i} AS o, min(k) AS lo FROM (SELECT path, length(line) - length(replace(line, {m}, '')) AS k "
         f"FROM heads) GROUP BY 1 HAVING min(k) = max(k) AND min(k) > 0" for m, i in marks)
+    o["ledger_two_writers"] = o["ledger_finish"]
     o["dialect_detection"] = f"""
 WITH lines AS ({planted.duck_text(planted.TEXT_LINES)}),
 heads AS (SELECT * FROM lines WHERE length({trim('line')}) > 0

@@ -19,7 +19,7 @@ from ..plans.local import local_relation
 from ..plans.screen import floors_of, screen_columns, screen_dataset, tabulate_candidates
 from ..sources import text_tables
 from ..sources.files import archive_manifest
-from ..sources.sinks import RESULT_COLUMNS, LedgerStore, save_results
+from ..sources.sinks import RESULT_COLUMNS, LedgerStore, commit_results, read_results, save_results
 from ..sources.tables import Table, catalog
 from ..streaming.incremental import ArrivingTable
 from ..streaming.throughput import throughput_stream as stream_minutes
@@ -387,9 +387,8 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tabwarden-{name}-{uuid.uuid4().hex}"
 
 
-@query
-def saved_results(spark, sf_dir):
-    """Results of all datasets saved, then src1 saved again by a run that found nothing; what is read back."""
+def _saved(spark: SparkSession, sf_dir: str, save_again: Callable) -> str:
+    """A folder with the results of all datasets, after src1 was saved again by a run that found nothing."""
     _, results = _document_results(spark, sf_dir)
     full = results.select("*", *[F.lit("").alias(c) for c in RESULT_COLUMNS if c not in results.columns])
     run = planted.table(spark, sf_dir, "documents").select(F.col("source").alias("dataset_id")).distinct().withColumn("version", F.lit("1"))
@@ -397,12 +396,30 @@ def saved_results(spark, sf_dir):
     folder = _folder(spark, "saved")
     overview = run.select("dataset_id", F.lit("version").alias("metric"), F.col("version").alias("value"))
     save_results(folder, full, issues, run, overview)
-    save_results(folder, full.limit(0), issues, run.filter("dataset_id = 'src1'"), overview.filter("dataset_id = 'src1'"))
-    kept = spark.read.parquet(f"{folder}/results").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-    said = spark.read.parquet(f"{folder}/messages").select("dataset_id", F.lit(0).cast("bigint").alias("n"))
+    save_again(folder, full.limit(0), issues, run.filter("dataset_id = 'src1'"), overview.filter("dataset_id = 'src1'"))
+    return folder
+
+
+def _counted(results: DataFrame, messages: DataFrame) -> DataFrame:
+    kept = results.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    said = messages.select("dataset_id", F.lit(0).cast("bigint").alias("n"))
     return kept.unionByName(said).withColumn("dataset_id", F.col("dataset_id").cast("string"))
 
 
+@query
+def saved_results(spark, sf_dir):
+    """What is in place after two saves."""
+    folder = _saved(spark, sf_dir, save_results)
+    return _counted(spark.read.parquet(f"{folder}/results"), spark.read.parquet(f"{folder}/messages"))
+
+
+@query
+def saved_results_interrupted(spark, sf_dir):
+    """The same where the second save stopped as soon as it was committed, before anything moved."""
+    folder = _saved(spark, sf_dir, commit_results)
+    return _counted(read_results(spark, folder), read_results(spark, folder, "messages"))
+
+
 @query
 def result_counts(spark, sf_dir):
     return reports.result_counts(_document_results(spark, sf_dir)[1])
@@ -541,6 +558,26 @@ def ledger_finish(spark, sf_dir):
     return done.select("package_path", "status", "notes", "n_files_total", "archive_files", "priority")
 
 
+@query
+def ledger_two_writers(spark, sf_dir):
+    """Two writers finish half of the packages each; the second commits while the first is at work."""
+    folder = _folder(spark, "ledger")
+    summaries = planted.derived(spark, sf_dir, planted.SUMMARIES, ("orders",))
+    half = F.pmod(F.xxhash64("package_path"), F.lit(2)) == 0
+    one, other = LedgerStore(spark, folder), LedgerStore(spark, folder)
+    one.write(_ledger(spark, sf_dir))
+    met: list[int] = []
+
+    def step(known: DataFrame) -> DataFrame:
+        if not met:
+            met.append(1)
+            other.update(lambda theirs: ledger.finish(theirs, summaries.filter(~half)))
+        return ledger.finish(known, summaries.filter(half))
+
+    done = one.update(step)
+    return done.select("package_path", "status", "notes", "n_files_total", "archive_files", "priority")
+
+
 # --- files and text tables -----------------------------------------------------------------------
 
 @query
