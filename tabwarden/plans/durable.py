@@ -37,14 +37,20 @@ def durable(df: DataFrame) -> DataFrame:
 _KEPT: list[tuple[SparkSession, str]] = []
 
 
+def kept_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, until the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tabwarden-table-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def kept_table(df: DataFrame) -> DataFrame:
     """Write a table as Parquet into the shared folder and go on from there, until the driver ends.
 
     Names are kept beside the files, so they may repeat or hold any character.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tabwarden-table-{uuid.uuid4().hex}"
-    _KEPT.append((spark, path))
+    path = kept_folder(spark)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     plain.write.parquet(path)
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)

@@ -13,6 +13,7 @@ from ..functions import paths
 from ..operators.duplicates import with_primary
 from ..sources import files as listing, text_tables
 from ..sources.tables import Table, read_table
+from .bisect import first_line
 from .durable import durable
 from .local import local_relation
 
@@ -86,8 +87,9 @@ def _read_tables(spark, dataset_id, to_read, labels):
         csv = F.lower("path").rlike(r"\.csv(\.(gz|bz2))?$")
         marks = text_tables.detect_csv_delimiters(heads.filter(csv)).unionByName(
             text_tables.detect_delimiters(heads.filter(~csv)))
-        checked = text_tables.line_checks(lines).join(marks, "path", "left").collect()   # one row per file
-        dialects = {by_path[r.path]: (r.delimiter, r.encoding, r.multi_line) for r in checked}
+        checked = (text_tables.line_checks(lines).join(marks, "path", "left")
+                   .join(text_tables.first_lines(lines), "path", "left").collect())      # one row per file
+        dialects = {by_path[r.path]: r for r in checked}
 
     for (folder, ending), own in parts.items():
         try:
@@ -98,6 +100,29 @@ def _read_tables(spark, dataset_id, to_read, labels):
         except Exception as e:
             notes.append(("ERROR", f"{folder}: could not be read: {e}"))
     in_folders = {r.path for own in parts.values() for r in own}
+    alone: dict[str, tuple] = {}
+    alike: dict[str, text_tables.TextFile] = {}
+    for r in plain:
+        d = dialects.get(r.path)
+        delimiter, encoding, multi_line = (d.delimiter, d.encoding, d.multi_line) if d else (None, "UTF-8", False)
+        if encoding != "UTF-8":
+            notes.append(("WARNING", f"{r.path}: not UTF-8, read as {encoding}"))
+        if r.kind == "sniffed" and delimiter is None:
+            continue
+        name = re.sub(r"\.(gz|bz2)$", "", r.path.lower())
+        if r.kind == "delimited" and not name.endswith(".csv"):
+            delimiter = "\t"
+        elif delimiter is None:
+            notes.append(("WARNING", f"{r.path}: no delimiter found, read with commas"))
+            delimiter = ","
+        header = None if d is None else d.latin_header if encoding == "windows-1252" else d.header
+        names = text_tables.header_names(header, delimiter) if header and encoding != "UTF-16" else None
+        if names is None:
+            alone[r.path] = (delimiter, encoding, multi_line)
+        else:
+            alike[r.path] = text_tables.TextFile(r.full_path, delimiter, encoding, multi_line, names)
+    copies, failed = text_tables.load_many(spark, list(alike.values()))
+    problems = {f.path: first_line(e) for f, e in failed}
     for r in to_read:
         if r.path in in_folders:
             continue
@@ -107,22 +132,19 @@ def _read_tables(spark, dataset_id, to_read, labels):
                 tables.append(read_table(spark, r.full_path, r.path.rsplit(".", 1)[1].lower(), **args))
                 loaded.append(r.path)
                 continue
-            delimiter, encoding, multi_line = dialects.get(r.path, (None, "UTF-8", False))
-            if encoding != "UTF-8":
-                notes.append(("WARNING", f"{r.path}: not UTF-8, read as {encoding}"))
-            if r.kind == "sniffed" and delimiter is None:
+            if r.path in alike:
+                if r.full_path in problems:
+                    raise ValueError(problems[r.full_path])
+                df, too_long = copies[r.full_path]
+                table = Table(df, **args)
+            elif r.path in alone:
+                table, too_long = text_tables.load_delimited(spark, r.full_path, *alone[r.path], **args)
+            else:
                 continue
-            name = re.sub(r"\.(gz|bz2)$", "", r.path.lower())
-            if r.kind == "delimited" and not name.endswith(".csv"):
-                delimiter = "\t"
-            elif delimiter is None:
-                notes.append(("WARNING", f"{r.path}: no delimiter found, read with commas"))
-                delimiter = ","
-            table, too_long = text_tables.load_delimited(spark, r.full_path, delimiter, encoding, multi_line, **args)
             if too_long:
                 notes.append(("WARNING", f"{r.path}: {too_long} lines with more fields than the header were left out"))
             tables.append(table)
             loaded.append(r.path)
         except Exception as e:  # one unreadable file must not end the run
-            notes.append(("ERROR", f"{r.path}: could not be read: {str(e).splitlines()[0]}"))
+            notes.append(("ERROR", f"{r.path}: could not be read: {first_line(e)}"))
     return tables, notes, loaded

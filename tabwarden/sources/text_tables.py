@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+import csv
+import re
+from collections import Counter, defaultdict
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from .. import rules
-from ..plans.durable import kept_table
+from ..plans.bisect import bisected
+from ..plans.durable import kept_folder, kept_table
+from ..plans.local import local_relation
 from .tables import Table
 
 
+def bare_path(uri: Column) -> Column:
+    """A file's path without scheme or escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
+
+
 def file_lines(spark: SparkSession, files: list[str]) -> DataFrame:
     """(path, in_head, line_no, line); path is bare, without scheme or escapes, and
     in_head marks the first block of a file, the only one whose line order is known."""
-    uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     return spark.read.text(files).select(
-        F.regexp_replace(F.url_decode(uri), "^[a-z0-9]+:/+", "/").alias("path"),
+        bare_path(F.col("_metadata.file_path")).alias("path"),
         (F.col("_metadata.file_block_start") == 0).alias("in_head"),
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
@@ -102,16 +114,10 @@ def null_missing(df: DataFrame) -> DataFrame:
         F.when(~F.col(f"`{c}`").isin(*rules.MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns cast to the narrowest of boolean, bigint, double that fits every value.
-
-    One aggregation over the table; columns with no value at all become double,
-    a boolean column must have no missing values. Nothing is read as a date.
-    """
-    names = df.columns
-    cells = df.toDF(*[f"c{i}" for i in range(len(names))])
+def type_checks(n_columns: int) -> list[Column]:
+    """What decides the types of text columns c0, c1, ...: a handful of counts per column."""
     checks = [F.count(F.lit(1)).alias("n")]
-    for i in range(len(names)):
+    for i in range(n_columns):
         c = F.col(f"c{i}")
         trimmed = F.trim(c)
         checks += [
@@ -121,13 +127,28 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count_if(trimmed.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$")
                        ).alias(f"d{i}"),
         ]
-    seen = cells.agg(*checks).first()    # a handful of numbers per column
+    return checks
+
+
+def kinds_of(seen: Row, n_columns: int) -> list[str]:
+    """The narrowest type that fits every value, by the counts of type_checks."""
     kinds = []
-    for i in range(len(names)):
+    for i in range(n_columns):
         n = seen[f"n{i}"]
         kinds.append("boolean" if n and seen[f"b{i}"] == n == seen["n"] else "bigint" if n and seen[f"i{i}"] == n
                      else "double" if seen[f"d{i}"] == n else "string")
-    return typed(df, kinds)
+    return kinds
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns cast to the narrowest of boolean, bigint, double that fits every value.
+
+    One aggregation over the table; columns with no value at all become double,
+    a boolean column must have no missing values. Nothing is read as a date.
+    """
+    n_columns = len(df.columns)
+    seen = df.toDF(*[f"c{i}" for i in range(n_columns)]).agg(*type_checks(n_columns)).first()
+    return typed(df, kinds_of(seen, n_columns))
 
 
 def typed(df: DataFrame, kinds: list[str]) -> DataFrame:
@@ -186,6 +207,103 @@ def load_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
     return Table(copy, **table_args), int(counted.get["too_long"])
 
 
+@dataclass(frozen=True)
+class TextFile:
+    """A delimited file and how it is to be read."""
+
+    path: str
+    delimiter: str
+    encoding: str
+    multi_line: bool
+    names: tuple[str, ...]
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(path, header, latin_header): the first line of each file that is not blank, read as UTF-8 and as windows-1252."""
+    shown = lines.filter(F.col("in_head") & (F.length(F.trim("line")) > 0))
+    first = shown.groupBy("path").agg(F.min_by("line", "line_no").alias("header"))
+    return first.withColumn("latin_header", from_latin(F.decode(F.col("header").cast("binary"), "ISO-8859-1")))
+
+
+def header_names(line: str, delimiter: str) -> tuple[str, ...] | None:
+    """Column names as Spark's reader gives them; None for a header that goes on in the next line.
+
+    A name that is empty becomes _c and its place; names that repeat, whatever their
+    case, get their place behind them.
+    """
+    if line.count('"') % 2:
+        return None
+    cells = next(csv.reader([line], delimiter=delimiter))
+    repeated = {n for n, k in Counter(c.lower() for c in cells).items() if k > 1}
+    return tuple(f"_c{i}" if not c else f"{c}{i}" if c.lower() in repeated else c for i, c in enumerate(cells))
+
+
+def load_many(spark: SparkSession, files: Sequence[TextFile]
+              ) -> tuple[dict[str, tuple[DataFrame, int]], list[tuple[TextFile, Exception]]]:
+    """Typed copies of many files, and how many lines of each were too long; files that failed, with their errors.
+
+    Files that are read alike and have about as many columns (up to the same power of two) share
+    their jobs: one aggregation that decides types per file and one copy, however many
+    files there are. A file that fails is found by halving its group.
+    """
+    groups: dict[tuple, list[TextFile]] = defaultdict(list)
+    for f in files:
+        groups[f.delimiter, f.encoding, f.multi_line, (len(f.names) - 1).bit_length()].append(f)
+    tables: dict[str, tuple[DataFrame, int]] = {}
+    failed: list[tuple[TextFile, Exception]] = []
+    for group in groups.values():
+        done, bad = bisected(group, lambda part: _load_alike(spark, part))
+        failed += bad
+        for _, found in done:
+            tables.update(found)
+    return tables, failed
+
+
+def _load_alike(spark: SparkSession, files: Sequence[TextFile]) -> dict[str, tuple[DataFrame, int]]:
+    one, width = files[0], max(len(f.names) for f in files)
+    latin = one.encoding.lower() == "windows-1252"
+    columns = [f"c{i}" for i in range(width)]
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    read = (spark.read.option("header", True).option("sep", one.delimiter).option("quote", '"').option("escape", '"')
+            .option("multiLine", one.multi_line).option("mode", "PERMISSIVE").option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", "whole_line").option("encoding", "ISO-8859-1" if latin else one.encoding)
+            .schema(T.StructType([*text.fields, T.StructField("whole_line", T.StringType())])).csv([f.path for f in files]))
+    listed = [(i, re.sub("^[a-z0-9]+:/+", "/", f.path), len(f.names)) for i, f in enumerate(files)]
+    known = local_relation(spark, listed, "file_no int, path string, n_names int")    # a row per file
+    rows = read.withColumns({"path": bare_path(F.col("_metadata.file_path")),
+                             "line_no": F.monotonically_increasing_id()}).join(known, "path")
+    bare = F.regexp_replace(F.col("whole_line"), r'"(?:[^"]|"")*"', "")
+    # A line with as many fields as the widest header is not reported whole.
+    too_long = F.when(F.col("whole_line").isNull(), F.col("n_names") < width).otherwise(
+        _occurrences(bare, one.delimiter) >= F.col("n_names")) & (F.coalesce(F.length("c0"), F.lit(0)) >= 0)
+    cells = [(from_latin(F.col(c)) if latin else F.col(c)).alias(c) for c in columns]
+    rows = rows.select("file_no", "line_no", too_long.alias("too_long"), *cells)
+    rows = rows.select("file_no", "line_no", "too_long", *[F.when(~F.col(c).isin(*rules.MISSING_TOKENS), F.col(c)).alias(c) for c in columns])
+
+    path = kept_folder(spark)
+    fit = rows.filter(~F.col("too_long")).drop("too_long")
+    fit.sortWithinPartitions("file_no", "line_no").write.partitionBy("file_no").parquet(path)    # rows stay in order
+    kept = spark.read.schema(f"file_no int, {', '.join(f'{c} string' for c in columns)}").parquet(path) if _has_rows(spark, path) else None
+    seen = {} if kept is None else {r.file_no: r for r in kept.groupBy("file_no").agg(*type_checks(width)).collect()}
+    lost = {r.file_no: r.n for r in rows.filter("too_long").groupBy("file_no").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for i, f in enumerate(files):
+        n = len(f.names)
+        if i in seen:
+            cells = spark.read.schema(text).parquet(f"{path}/file_no={i}").select(*columns[:n])
+            kinds = kinds_of(seen[i], n)
+        else:
+            cells, kinds = local_relation(spark, [], T.StructType(text.fields[:n])), ["double"] * n
+        out[f.path] = (typed(cells.toDF(*f.names), kinds), lost.get(i, 0))
+    return out
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return any(s.getPath().getName().startswith("file_no=") for s in found)
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8",
                    max_rows: int | None = None, multi_line: bool = False, **table_args) -> Table:
     """A delimited file as a typed table that reads the file itself. Lines with too many fields are left out."""

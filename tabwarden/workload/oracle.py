@@ -501,6 +501,12 @@ led AS (SELECT package_path, CASE WHEN status = 'running' THEN 'pending' ELSE st
     cast(NULL AS varchar) AS archive_files, priority FROM known
   UNION ALL SELECT package_path, 'pending', NULL, NULL, NULL, NULL FROM found WHERE package_path NOT IN (SELECT package_path FROM known))"""
     o["ledger_transition"] = f"WITH {ledger} SELECT package_path, status, notes, n_files_total, priority FROM led"
+    o["text_files"] = """
+WITH cells AS (SELECT c_nationkey AS nation, c_custkey, unnest(['c_custkey', 'c_name', 'code', 'segment', 'flag']) AS col_name FROM customer)
+SELECT nation, col_name, CASE WHEN col_name = 'c_custkey' OR (col_name = 'code' AND nation % 3 < 2) THEN 'numeric'
+    WHEN col_name = 'flag' THEN 'bool' ELSE 'string' END AS kind, count(*) AS n_rows,
+  count(*) FILTER (col_name <> 'segment' OR c_custkey % 4 <> 0) AS n_nonnull
+FROM cells WHERE col_name <> 'flag' OR nation % 2 = 1 GROUP BY ALL"""
     o["ledger_versions"] = o["ledger_transition"]
     o["ledger_status_counts"] = f"""WITH {ledger} SELECT count(*) FILTER (status = 'pending') AS n_pending,
   count(*) FILTER (status = 'done') AS n_done, count(*) FILTER (status = 'skip') AS n_skip FROM led"""

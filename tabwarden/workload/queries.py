@@ -16,6 +16,7 @@ from ..operators.classify import first_valid, merge_verdicts
 from ..operators.profile import profiled_columns
 from ..plans.durable import durable, shared_folder
 from ..plans.local import local_relation
+from ..plans.package import load_package
 from ..plans.screen import floors_of, screen_columns, screen_dataset, tabulate_candidates
 from ..sources import text_tables
 from ..sources.files import archive_manifest
@@ -601,6 +602,30 @@ def missing_tokens(spark, sf_dir):
                                                F.count("w").alias("n_w"))
 
 
+@query
+def text_files(spark, sf_dir):
+    """Customers as a text file for each nation, loaded as a package: the type and the filled cells of each column.
+
+    Files differ in how many columns they have and in the type that the codes fit.
+    """
+    nation = F.col("c_nationkey")
+    rows = planted.table(spark, sf_dir, "customer").select(
+        "c_nationkey", "c_custkey", "c_name",
+        F.when(nation % 3 == 0, F.col("c_custkey").cast("string"))
+        .when(nation % 3 == 1, F.concat(F.col("c_custkey").cast("string"), F.lit(".5")))
+        .otherwise(F.concat(F.lit("x"), F.col("c_custkey"))).alias("code"),
+        F.when(F.col("c_custkey") % 4 == 0, "NA").otherwise(F.col("c_mktsegment")).alias("segment"),
+        F.lit("true").alias("flag"))
+    folder = _folder(spark, "texts")
+    for wide in (0, 1):
+        part = rows.filter(nation % 2 == wide).drop(*([] if wide else ["flag"]))
+        part.repartition("c_nationkey").write.mode("append").partitionBy("c_nationkey").option("header", True).csv(folder)
+    package = load_package(spark, folder, "texts")
+    found = profiled_columns(spark, package.tables)
+    return found.select(F.regexp_extract("file", "c_nationkey=([0-9]+)/", 1).cast("int").alias("nation"),
+                        "col_name", "kind", "n_rows", "n_nonnull")
+
+
 @query
 def path_parts(spark, sf_dir):
     p = F.col("path")
