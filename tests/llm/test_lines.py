@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,25 +32,15 @@ def takes_part(words, least=5):
     return len({w for w in words if re.search("[a-z0-9]|[^\x00-\x7f]", w)}) >= least
 
 
-def hashes_of(lines):
-    """The operator's SimHash of each normalised line; the pairs are judged by brute force."""
-    out = {}
-    for line in lines:
-        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(line)])], ["text"])
-        for _, texts in B.slices([batch], "text"):
-            out[line] = int(L.Lines(texts, 1).simhash(np.array([0]))[0])
-    return out
-
-
 def brute(rows):
-    """Texts and counts after removal, by comparing all distinct lines with each other."""
+    """Texts and counts after removal: all distinct lines compared, linked by an edit similarity of 0.8 alone."""
     seen = {}
     for doc, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             if takes_part(norm(line)):
                 seen.setdefault(norm(line), set()).add((doc, text, k))
     names = sorted(seen)
-    sim = hashes_of(names)
+    bags = {n: Counter(n) for n in names}
     up = {n: n for n in names}
 
     def root(n):
@@ -59,10 +50,11 @@ def brute(rows):
 
     for i, a in enumerate(names):
         for b in names[i + 1:]:
-            if (sim[a] ^ sim[b]).bit_count() <= L.DISTANCE:
-                longer = max(len(a), len(b))
-                if longer - distance(a, b) >= L.SIMILARITY * longer - 1e-9:
-                    up[root(b)] = root(a)
+            longer = max(len(a), len(b))
+            if 5 * min(len(a), len(b)) < 4 * longer or 5 * (longer - (bags[a] & bags[b]).total()) > longer:
+                continue        # more edits than one in five words, without counting them
+            if root(a) != root(b) and 5 * distance(a, b) <= longer:
+                up[root(b)] = root(a)
     groups = {}
     for n in names:
         groups.setdefault(root(n), set()).update(seen[n])
