@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from .. import rules
 from ..functions import answers, text
 from ..plans.durable import durable
+from ..sources.answer_store import AnswerStore
 
 # An answer is a text, or (text, prompt_tokens, completion_tokens, seconds), or None for a failed call.
 Responder = Callable[[list[str]], Sequence[object]]
@@ -72,18 +73,22 @@ def full_answer(answer: object) -> tuple[str | None, int, int, float]:
     return None, 0, 0, 0.0
 
 
-def ask(prompts: DataFrame, responder: Responder, attempt: int) -> DataFrame:
+def ask(prompts: DataFrame, responder: Responder, attempt: int, seconds_per_call: float = 0) -> DataFrame:
     """One round of calls in the Python workers, a few prompts at a time, and a row for every prompt.
 
     A call that fails is a failed attempt of all its prompts; they are asked again in
     the next round, in smaller calls. Answers that a call leaves out are failed attempts.
+    A task begins no call earlier than seconds_per_call after the one before.
     """
     size = CALL_SIZES[min(attempt, len(CALL_SIZES)) - 1]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free = 0.0
         for batch in batches:
             for low in range(0, len(batch), size):
                 part = batch.iloc[low : low + size]
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = time.monotonic() + seconds_per_call
                 try:
                     given = list(responder(part["prompt"].tolist()))
                 except Exception:
@@ -110,20 +115,34 @@ def with_validity(attempts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def run_classifier(prompts: DataFrame, responder: Responder, waits: Sequence[float] = rules.ATTEMPT_WAITS,
-                   parallelism: int | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+                   parallelism: int | None = None, sleep: Callable[[float], None] = time.sleep,
+                   store: AnswerStore | None = None, calls_per_second: float | None = None) -> DataFrame:
     """The attempts log: every prompt is asked until an answer is valid, four times at most.
 
     Equal prompts are asked once. Each round is kept in the shared folder before
     it is used, so a lost executor never repeats calls that were answered, and
-    the wait between rounds is spent once and not per column.
+    the wait between rounds is spent once and not per column. What a store has an answer
+    for is not asked; that answer is attempt 0 of the log, without tokens or time. Valid answers
+    go to the store after each round. All tasks together make calls_per_second calls at most.
     """
+    tasks = parallelism or prompts.sparkSession.sparkContext.defaultParallelism
+    keys = prompts.select("prompt_id", "required_key").distinct()
     pending = prompts.groupBy("prompt_id").agg(
         F.first("prompt").alias("prompt"), F.first("required_key").alias("required_key"))
-    pending = pending.repartition(parallelism or prompts.sparkSession.sparkContext.defaultParallelism)
-    keys = prompts.select("prompt_id", "required_key").distinct()
     log = None
+    if store is not None:
+        known = store.read().select("prompt_id", F.lit(0).alias("attempt"), "raw", F.lit(0).cast("bigint").alias("prompt_tokens"),
+                                    F.lit(0).cast("bigint").alias("completion_tokens"), F.lit(0.0).alias("seconds"))
+        log = durable(with_validity(known, keys).filter("valid"))
+        pending = pending.join(log.select("prompt_id"), "prompt_id", "left_anti")
+        if pending.isEmpty():
+            return log
+    pending = pending.repartition(tasks)
+    gap = tasks / calls_per_second if calls_per_second else 0
     for attempt in range(1, len(waits) + 2):
-        done = durable(with_validity(ask(pending, responder, attempt), keys))
+        done = durable(with_validity(ask(pending, responder, attempt, gap), keys))
+        if store is not None:
+            store.add(done)
         log = done if log is None else log.unionByName(done)
         missed = done.filter(~F.col("valid")).select("prompt_id")
         pending = pending.join(missed, "prompt_id", "left_semi")

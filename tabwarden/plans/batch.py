@@ -14,6 +14,7 @@ from .. import __version__, rules
 from ..operators import ledger as steps
 from ..operators.classify import Responder
 from ..operators.reports import overview
+from ..sources.answer_store import AnswerStore
 from ..sources.sinks import LedgerStore, save_results
 from .bisect import first_line
 from .durable import durable
@@ -39,7 +40,8 @@ def dataset_of(folder: str) -> str:
 
 def screen_packages(spark: SparkSession, folders: list[str], output: str, land: DataFrame | None = None,
                     responder: Responder | None = None, model: str = "", cells_per_degree: int = 1,
-                    waits=rules.ATTEMPT_WAITS) -> dict[str, dict]:
+                    waits=rules.ATTEMPT_WAITS, answers: AnswerStore | None = None,
+                    calls_per_second: float | None = None) -> dict[str, dict]:
     """Screen packages together, save their results below output, and return a ledger summary each.
 
     The tables of all packages share every job of the run, so that many small
@@ -59,7 +61,7 @@ def screen_packages(spark: SparkSession, folders: list[str], output: str, land:
         spark, [t for p in held.values() for t in p.tables], land, responder, cells_per_degree,
         files=reduce(DataFrame.unionByName, [p.files for p in held.values()]),
         issues=reduce(DataFrame.unionByName, [p.issues for p in held.values()]),
-        run_info={"model": model}, waits=waits)
+        run_info={"model": model}, waits=waits, answers=answers, calls_per_second=calls_per_second)
     facts = local_relation(
         spark, [(dataset_of(f), f, *[summaries[f][k] for k in list(summaries[f])[:3]]) for f in held],
         "dataset_id string, package_path string, archive_files string, archive_sizes_mb string, archive_sha256s string")

@@ -22,6 +22,7 @@ from ..operators.reports import (column_counts, dataset_summary, file_counts, is
                                  usage_totals)
 from ..operators.tabulate import render, tabulate_columns
 from ..operators.values import distinct_stats, melt_all, needs_distinct_test, value_counts
+from ..sources.answer_store import AnswerStore
 from ..sources.tables import Table, catalog, column_label
 from .bisect import bisected, first_line
 from .durable import durable
@@ -161,12 +162,14 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
                    responder: Responder | None = None, cells_per_degree: int = 1,
                    files: DataFrame | None = None, run_info: dict[str, str] | None = None,
                    seed: str = "0", waits: Sequence[float] = rules.ATTEMPT_WAITS,
-                   issues: DataFrame | None = None) -> ScreenResult:
+                   issues: DataFrame | None = None, answers: AnswerStore | None = None,
+                   calls_per_second: float | None = None) -> ScreenResult:
     """Screen tables of one or many datasets.
 
     Without a responder this is a dry run: prompts are built, nothing is asked.
     files: optional (dataset_id, path, primary_path, loaded); results of a primary
-    file are copied onto its duplicates.
+    file are copied onto its duplicates. answers: where answers are kept, so that a run
+    that is repeated asks only what has none.
     """
     started = datetime.now(timezone.utc)
     datasets = sorted({t.dataset_id for t in tables})
@@ -203,7 +206,7 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
         verdicts = rowed.withColumns({"evaluation": F.lit(rules.DRY_RUN_EVALUATION),
                                       "reasoning": F.lit("dry run, nothing was asked")})
     else:
-        attempts = run_classifier(prompts, responder, waits)
+        attempts = run_classifier(prompts, responder, waits, store=answers, calls_per_second=calls_per_second)
         answered = first_valid(attempts).select("prompt_id", "value", F.col("reasoning").alias("answer_reasoning"))
         verdicts = merge_verdicts(rowed.join(answered, "prompt_id", "left")
                                   .withColumn("is_gps", F.col("reason_code") == "gps"))
@@ -236,7 +239,7 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     run = dataset_summary(base, *parts)
     if attempts is not None:
         asked = prompts.join(screened.select("col_id", "dataset_id"), "col_id").select("prompt_id", "dataset_id").distinct()
-        run = run.join(usage_totals(attempts.join(asked, "prompt_id"), "dataset_id"), "dataset_id", "left")
+        run = run.join(usage_totals(attempts.filter("attempt > 0").join(asked, "prompt_id"), "dataset_id"), "dataset_id", "left")
     info = {"package_name": None, "version": __version__, "model": "", **(run_info or {}),
             "started": started.strftime("%Y-%m-%d %H:%M:%S"), "ended": ""}
     run = run.select("*", *[

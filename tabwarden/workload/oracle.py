@@ -478,6 +478,7 @@ v AS (SELECT c.col_name, c.n_rows, coalesce(c.gps_reason, {REASON.replace('CASE
   FROM coded c LEFT JOIN floors ON floors.col_idx = c.col_idx WHERE c.reason_code IN {SENT})
 SELECT 'survey' AS file, col_name, n_rows, filter_reason, {verdict_case('is_gps', 'value', 'floor_met')} AS evaluation,
   '' AS duplicate_of FROM v"""
+    o["screen_survey_again"] = o["screen_survey"]
     o["screen_damaged_column"] = o["screen_survey"] + """
 UNION ALL SELECT 'survey', 'damaged', count(*), 'error', 'error', '' FROM customer"""
     o["dry_run_catalog"] = "\nUNION ALL ".join(
