@@ -29,6 +29,7 @@ from ..operators import coordinates, tabulate
 from ..operators.cascade import apply_cascade
 from ..operators.patterns import pattern_floors, pattern_stats
 from ..operators.profile import column_catalog, merge_profiles, profile_tables, with_precheck
+from ..operators.sketches import column_sketches, distinct_estimates, merged_sketches
 from ..operators.values import distinct_stats, melt_all, value_counts
 from ..plans.local import local_relation
 from ..sources.tables import Table, catalog
@@ -41,20 +42,21 @@ PAIR = ["a_id", "b_id"]
 class ArrivingTable:
     """Kept state of one arriving table below a folder that all executors share.
 
-    samples and points are kept only if asked for. row_key names the columns by whose
+    samples, points and sketches are kept only if asked for. row_key names the columns by whose
     digest the rows of a coordinate sample are ordered; without one it is the row's place
     in its file, or else the whole row.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema, file: str, labels: dict | None = None,
-                 row_key: tuple[str, ...] = (), samples: bool = False, points: bool = False):
+                 row_key: tuple[str, ...] = (), samples: bool = False, points: bool = False,
+                 sketches: bool = False):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.schema = schema
         self.file = file
         self.labels = labels or {}
         self.row_key = row_key
-        self.kinds = ["profile", "counts"] + ["samples", "texts"] * samples + ["pairs", "points"] * points
+        self.kinds = ["profile", "counts"] + ["samples", "texts"] * samples + ["pairs", "points"] * points + ["sketches"] * sketches
 
     def _table(self, df: DataFrame) -> Table:
         return Table(df, self.file, labels=self.labels, row_key=self.row_key)
@@ -74,6 +76,8 @@ class ArrivingTable:
             self._write(profile_tables([table]), "profile", batch_id)
             if texts:
                 self._write(value_counts(melt_all([table], texts)), "counts", batch_id)
+            if "sketches" in self.kinds:
+                self._write(column_sketches([table]), "sketches", batch_id)
             if "samples" in self.kinds or "points" in self.kinds:
                 own = self._known(self.spark.read.parquet(f"{self.folder}/profile/batch={batch_id}"))
             if "samples" in self.kinds:
@@ -165,6 +169,8 @@ class ArrivingTable:
             return merge_profiles(kept)
         if kind == "counts":
             return kept.groupBy("col_id", "value").agg(F.sum("cnt").alias("cnt"))
+        if kind == "sketches":
+            return merged_sketches(kept)
         if kind == "samples":
             return kept.groupBy(*SAMPLE_KEY).agg(F.sum("cnt").alias("cnt"), F.max("value").alias("value"))
         if kind == "texts":
@@ -191,6 +197,12 @@ class ArrivingTable:
             stats = distinct_stats(counts)
         return apply_cascade(known, stats, None if land is None else self.coordinates(land, cells_per_degree, known))
 
+    def distinct_estimates(self) -> DataFrame:
+        """(col_id, n_unique, at_least, at_most) of all columns, from sketches."""
+        if "sketches" not in self.kinds:
+            raise ValueError("this table keeps no sketches")
+        return distinct_estimates(self._merged("sketches"))
+
     def floors(self) -> DataFrame:
         """Pattern floors of the text columns over everything that has arrived."""
         named = column_catalog(self.spark, [self._empty()]).select("col_id", "col_name", "label")

@@ -502,6 +502,8 @@ led AS (SELECT package_path, CASE WHEN status = 'running' THEN 'pending' ELSE st
     cast(NULL AS varchar) AS archive_files, priority FROM known
   UNION ALL SELECT package_path, 'pending', NULL, NULL, NULL, NULL FROM found WHERE package_path NOT IN (SELECT package_path FROM known))"""
     o["ledger_transition"] = f"WITH {ledger} SELECT package_path, status, notes, n_files_total, priority FROM led"
+    o["sketched_distinct"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS col_name, count(DISTINCT {c}) AS n_unique, true AS in_bounds FROM lineitem" for c in TABLE_COLS["lineitem"])
     o["text_files"] = """
 WITH cells AS (SELECT c_nationkey AS nation, c_custkey, unnest(['c_custkey', 'c_name', 'code', 'segment', 'flag']) AS col_name FROM customer)
 SELECT nation, col_name, CASE WHEN col_name = 'c_custkey' OR (col_name = 'code' AND nation % 3 < 2) THEN 'numeric'

@@ -171,6 +171,17 @@ def value_counts_orders(spark, sf_dir):
     return _with_names(spark, tables, values.count_columns(tables, catalog(tables)))
 
 
+@query
+def sketched_distinct(spark, sf_dir):
+    """Line items that came in three batches: exact distinct counts, and whether the sketches' bounds hold them."""
+    table = driver_table(spark, sf_dir, "lineitem")
+    bounds = _arrived(spark, table, "l_orderkey", sketches=True).distinct_estimates()
+    exact = values.distinct_stats(values.count_columns([table], catalog([table]))).select("col_id", F.col("n_unique").alias("exact"))
+    held = F.col("exact").between(F.col("at_least"), F.col("at_most"))
+    return _with_names(spark, [table], bounds.join(exact, "col_id").select(
+        "col_id", F.col("exact").alias("n_unique"), held.alias("in_bounds"))).drop("col_idx")
+
+
 # --- value samples -------------------------------------------------------------
 
 def _samples(spark: SparkSession, table: Table, column: str, mean_len: float = 0) -> DataFrame:
