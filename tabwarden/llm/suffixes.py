@@ -379,10 +379,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     family.close()
     known = stored(reduce(DataFrame.unionByName, marks).groupBy("head", "around").agg(
         F.max("whole").alias("whole"), F.max("shared").alias("shared")), "known")    # written: Spark splits hot keys of joins with written tables only
+    dropped(*marks)
+    free_shuffles(spark)
     # Equal texts leave their places once. Keys other than the join's let Spark split hot keys of the join.
     same = [F.first(c).alias(c) for c in ("start", "count", "head", "around", "whole", "shared")]
     live = stored(places.join(known, ["head", "around"]).groupBy("t", "place").agg(*same), "live")
-    dropped(known, *marks)
+    dropped(known)
     remove_path(path)
     free_shuffles(spark)
 
