@@ -41,13 +41,13 @@ def dataset_of(folder: str) -> str:
 def screen_packages(spark: SparkSession, folders: list[str], output: str, land: DataFrame | None = None,
                     responder: Responder | None = None, model: str = "", cells_per_degree: int = 1,
                     waits=rules.ATTEMPT_WAITS, answers: AnswerStore | None = None,
-                    calls_per_second: float | None = None) -> dict[str, dict]:
+                    calls_per_second: float | None = None, digests: LedgerStore | None = None) -> dict[str, dict]:
     """Screen packages together, save their results below output, and return a ledger summary each.
 
     The tables of all packages share every job of the run, so that many small
     packages keep a cluster as busy as a large one.
     """
-    loaded = {folder: load_package(spark, folder, dataset_of(folder)) for folder in folders}
+    loaded = {folder: load_package(spark, folder, dataset_of(folder), digests=digests) for folder in folders}
     summaries: dict[str, dict] = {}
     for folder, pkg in loaded.items():
         archive = pkg.manifest.first()

@@ -12,6 +12,7 @@ from .. import rules
 from ..functions import paths
 from ..operators.duplicates import with_primary
 from ..sources import files as listing, text_tables
+from ..sources.sinks import LedgerStore
 from ..sources.tables import Table, read_table
 from .bisect import first_line
 from .durable import durable
@@ -31,24 +32,29 @@ class Package:
 
 
 def load_package(spark: SparkSession, folder: str, dataset_id: str,
-                 labels: Mapping[str, Mapping[str, str]] | None = None) -> Package:
+                 labels: Mapping[str, Mapping[str, str]] | None = None, digests: LedgerStore | None = None) -> Package:
     """List files, find duplicates, and read every primary file that is a table.
 
     Only the file catalog reaches the driver, which has to plan one read per file.
     Contents are hashed for archives, and for files that have the length of another one.
     Archives are listed and not opened. Parquet, ORC and JSON files named part-* in one
-    folder are one table. labels: optional column labels per relative path.
+    folder are one table. labels: optional column labels per relative path. digests: an index of
+    digests from earlier runs, by which unchanged files are not hashed again.
     """
     labels = labels or {}
     rel = paths.relative_to(F.col("path"), F.lit(listing.qualified(spark, folder)))
-    found = listing.list_files(spark, folder).select(F.col("path").alias("full_path"), rel.alias("path"), "length")
+    found = listing.list_files(spark, folder).select(F.col("path").alias("full_path"), rel.alias("path"), "length",
+                                                       F.col("modificationTime").alias("modified"))
     is_archive = paths.archive_kind(F.col("path")).isNotNull() & ~paths.is_packed_text(F.col("path"))
     clean = durable(found.filter(~paths.is_junk(F.col("path"))).withColumn("is_archive", is_archive))
 
     shared = clean.filter("not is_archive").groupBy("length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     twins = clean.filter("not is_archive").join(shared.select("length"), "length", "left_semi")
-    to_hash = twins.unionByName(clean.filter("is_archive")).select("path", "full_path")
-    hashed = durable(listing.file_digests(to_hash.repartition(spark.sparkContext.defaultParallelism)))
+    to_hash = twins.unionByName(clean.filter("is_archive")).select("path", "full_path", "length", "modified")
+    if digests is None:
+        hashed = durable(listing.file_digests(to_hash.repartition(spark.sparkContext.defaultParallelism)))
+    else:
+        hashed = durable(listing.kept_digests(to_hash, digests))
     known = clean.join(hashed.select("path", "digest", "problem"), "path", "left").withColumn("dataset_id", F.lit(dataset_id))
     manifest = durable(listing.archive_manifest(known.filter("is_archive").select("dataset_id", "path", "length", "digest")))
     plain = known.filter("not is_archive").select("dataset_id", "path", "full_path", "digest")

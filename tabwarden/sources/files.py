@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import paths
+from ..plans.durable import durable
+from .sinks import LedgerStore
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -54,6 +56,26 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+def kept_digests(files: DataFrame, index: LedgerStore) -> DataFrame:
+    """The same, where contents are read only of files that the index does not know.
+
+    files: full_path, length, modified and others. A file is known by path, length and time of change;
+    one that changed twice within that time and kept its length is not noticed. The index is a versioned
+    table, so that several drivers may add to it; what has no digest stays out and is tried again.
+    """
+    key = ["full_path", "length", "modified"]
+    held = index.read()
+    known = files.limit(0).select(*key, F.lit("").alias("digest")) if held is None else held.select(*key, "digest")
+    marked = files.join(known, key, "left")
+    new = durable(file_digests(marked.filter("digest IS NULL").drop("digest").repartition(
+        files.sparkSession.sparkContext.defaultParallelism)))
+    fresh = new.filter("digest IS NOT NULL").select(*key, "digest").dropDuplicates(["full_path"])
+    if not fresh.isEmpty():
+        index.update(lambda now: fresh if now is None else
+                     now.join(fresh.select("full_path"), "full_path", "left_anti").select(*key, "digest").unionByName(fresh), keep=2)
+    return marked.filter("digest IS NOT NULL").withColumn("problem", F.lit(None).cast("string")).unionByName(new)
+
+
 def _digest(path: str) -> tuple[str | None, str | None]:
     whole = hashlib.sha256()
     try:
