@@ -34,6 +34,8 @@ B.ship(__name__)
 LEAF_BYTES = 32
 LONG_BYTES = 128
 LEAF_IDS = 1 << 16
+PIECES = 400_000    # kept with their ids by a worker, some 200 bytes each
+PAIRS = 300_000     # kept with whether they stay as they are, some 150 bytes each
 NONE = 1 << 62
 
 
@@ -101,7 +103,7 @@ class TreeBpe:
         key = (left, right)
         held = self.pairs.get(key)
         if held is None:
-            if len(self.pairs) > 50_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             held = self.pairs[key] = self.merged(left + right) == [left, right]
         return held
@@ -200,10 +202,12 @@ def _schema(df: DataFrame, name: str, kind: str):
 
 def _encoder(ranks: dict[bytes, int], vocab: str, text_col: str, ids_col: str):
     def run(batches):
-        bpe, decoder = TreeBpe(ranks), Decoder(ranks)
-        known = B.worker_cache(f"bpe {vocab}")
+        decoder, known, held = Decoder(ranks), B.worker_cache(f"bpe {vocab}"), B.worker_cache(f"bpe tree {vocab}")
+        if "tree" not in held:
+            held["tree"] = TreeBpe(ranks)
+        bpe = held["tree"]
         for rows, texts in B.slices(batches, text_col):
-            ids, count = encoded_pieces(texts, known, bpe.packed)
+            ids, count = encoded_pieces(texts, known, bpe.packed, PIECES)
             if not np.array_equal(decoder.decode(ids), texts.data):
                 raise ValueError("ids do not decode to their texts")  # two pieces with one 64-bit hash
             ends = np.concatenate([[0], np.cumsum(count)]) * 4
