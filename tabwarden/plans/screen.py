@@ -51,10 +51,14 @@ def screen_columns(spark: SparkSession, tables: list[Table], land: DataFrame | N
     return apply_cascade(columns, stats, gps)
 
 
-def readable_tables(spark: SparkSession, tables: list[Table]
-                    ) -> tuple[list[Table], DataFrame, list[tuple], list[tuple]]:
-    """Tables that can be scanned, their profiled columns, an issue per table that cannot,
-    and (dataset_id, file, sheet, col_name, label, n_rows, message) per column that cannot.
+def readable_tables(spark: SparkSession, tables: list[Table]) -> tuple[list[Table], DataFrame, list[tuple]]:
+    """Tables that can be scanned, their profiled columns, and an issue per table or column that cannot."""
+    return readable_columns(spark, tables)[:3]
+
+
+def readable_columns(spark: SparkSession, tables: list[Table]
+                     ) -> tuple[list[Table], DataFrame, list[tuple], list[tuple]]:
+    """The same, and (dataset_id, file, sheet, col_name, label, n_rows, message) per column that cannot be read.
 
     All tables are profiled in one job. If it fails the tables are halved until the
     damaged ones stand alone, and then the columns of a damaged table, as long as its
@@ -173,7 +177,7 @@ def screen_dataset(spark: SparkSession, tables: list[Table], land: DataFrame | N
     """
     started = datetime.now(timezone.utc)
     datasets = sorted({t.dataset_id for t in tables})
-    tables, columns, unread, bad_columns = readable_tables(spark, tables)
+    tables, columns, unread, bad_columns = readable_columns(spark, tables)
     found = local_relation(spark, unread, ISSUES)
     issues = found if issues is None else issues.unionByName(found)
     if files is not None and unread:

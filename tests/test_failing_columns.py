@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from tabwarden.plans.bisect import bisected, first_line
-from tabwarden.plans.screen import readable_tables, screen_dataset
+from tabwarden.plans.screen import readable_columns, screen_dataset
 from tabwarden.sources.tables import Table
 
 
@@ -57,7 +57,7 @@ def test_failing_columns_become_error_rows(spark):
 
 def test_every_column_failing_is_a_failing_table(spark):
     table = Table(people(spark).df.select("d1", "d2"), "bad.csv", dataset_id="d")
-    good, columns, issues, bad = readable_tables(spark, [table])
+    good, columns, issues, bad = readable_columns(spark, [table])
     assert good == [] and columns.isEmpty() and bad == [] and len(issues) == 1 and "could not be read" in issues[0][2]
 
 
