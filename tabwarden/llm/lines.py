@@ -1,38 +1,35 @@
 """Near-equal lines across documents: one occurrence of each connected group stays.
 
 Lines are normalised as the quality rules do (ASCII lower case, runs of digits as one 0,
-blanks as one) and read as words. Two lines are linked when they are equal, or when their
-edit similarity, 1 - (edits of words) / (words of the longer line), is at least
-`similarity`. No hash decides a link. Of each connected group the first occurrence stays,
-in the order of document id, row and line.
-Lines of fewer than `min_words` distinct words with a letter or digit are left alone.
-
-1. The bulk of large groups, by 64-bit SimHashes over words (each such word once): the hash
-   is cut into BLOCKS blocks. Of lines that differ in DISTANCE bits, BLOCKS - DISTANCE
-   blocks agree, so each line has a key for each choice of so many blocks. A bucket does
-   not yield all its pairs but a spanning forest of its near hashes, whose edges are
-   verified. So a thousand variants of a line cost a thousand edges. A bucket of more than
-   MOST lines is cut by the same pigeonhole again, over finer blocks.
-2. All other links, exactly: an edit undoes at most two of a line's pairs of neighbouring
-   words, so of lines with n and m >= n words, (1 - similarity) m edits apart at most, at
-   least m - 1 - 2 (1 - similarity) m pairs are the same (the k-th repeat of a pair counts
-   as a pair of its own). In one order for all, rare pairs first, they share one among
-   their first `prefix_size`. Of each bucket, lines stay whose lengths and parities of
-   MARK_BITS word counts allow a link. Buckets of lines that are all connected already are
-   left out; in the others the words come along, lines whose word counts in SKETCH cells
-   allow a link are compared, and only confirmed links leave the task. A bucket of more
-   than MOST lines or MOST_WORDS words is cut into chunks, and each two chunks are a bucket.
-
-Defined results: null and empty texts have no lines; a null document id comes first in
-order; rows that repeat id and text are one document and keep a row each; an empty table
-gives an empty one. `removed_col`, `lines_col` replace columns of those names.
+blanks as one) and read as words. All lines with a letter or digit take part. Two lines
+are linked when they are equal, or when they share a block, their SimHashes differ in at
+most DISTANCE bits, and their edit similarity, 1 - (edits of words) / (words of the longer
+line), is at least `similarity`. Of each connected group the first occurrence stays, in
+the order of document id, row and line.
+
+1. Equal lines are one by a hash of their words. A line of fewer than LEAST words can't be
+   near another one at 0.8.
+2. SimHash: HASH_BITS bits, each what most of the line's words (each once) have there.
+3. Pigeonhole blocks: a line is cut before each word that follows one in every CUT, chosen
+   by hash, and a block goes from a cut to the next one at least BLOCK_WORDS words on. Cuts
+   move with the words, so an edit touches only the blocks around it, and lines with fewer
+   edits than blocks share one. Lines of up to SHORT words have each TRIPLE successive words
+   as a block, those of up to SHORTEST each PAIR: an edit touches three or two of them, so
+   lines linked at 0.8 always share one. Blocks of bits alone would not do: an edit of one
+   word in ten turns 9 of 64 bits, too many for blocks that tell lines apart.
+4. Of each bucket, lines stay that may be linked by length and SimHash. Buckets of the same
+   lines are one; the words come along, and the edit similarity is computed until the
+   bucket's lines are connected. A bucket of more than MOST lines or MOST_WORDS words is
+   cut into chunks, and each two chunks are a bucket.
+
+Every link is one of the edit similarity; the README says how many of them blocks and
+SimHashes find. Defined results: null and empty texts have no lines; a null document id
+comes first in order; rows that repeat id and text are one document and keep a row each;
+an empty table gives an empty one. `removed_col`, `lines_col` replace columns of those names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -45,25 +42,24 @@ from .stored import dropped, stored
 
 B.ship(__name__)
 
-DISTANCE = 3
-BLOCKS = 5
+DISTANCE = 18
+HASH_BITS = 48
+CUT = 3
+BLOCK_WORDS = 5
+LEAST, PAIR, SHORTEST, TRIPLE, SHORT = 4, 2, 5, 3, 24
+LONG = 20       # words of the shorter of two linked lines if the longer has more than SHORT
 MOST = 20_000
 MOST_WORDS = 2 << 20
 SKETCH = 64
-MARK_BITS = 48
-CELLS = 1 << 20
-CELL_BLOCK = 1 << 12
 SIMILARITY = 0.8
-MIN_WORDS = 5
-KEYED = "key long, sim long, line long"
 EDGES = "a long, b long"
-MET = "key long, line long, chunk long"
+MET = "key long, line long, mark long, chunk long"
 
 
 class Lines:
-    """The lines of a slice with enough words: text, place in the text, words, and a hash."""
+    """The lines of a slice with a letter or digit: text, place in the text, words, and a hash."""
 
-    def __init__(self, texts: B.Texts, min_words: int):
+    def __init__(self, texts: B.Texts):
         words = B.words_of(texts)
         start, end, text = line_spans(texts)
         first = np.searchsorted(words.start, start, "left")
@@ -80,7 +76,7 @@ class Lines:
         _, at = np.unique(B.mixed(self.word[real] + B.mixed(line_of[real].astype(np.uint64))), return_index=True)
         self.feature = np.sort(real[at])
         features = np.bincount(line_of[self.feature], minlength=len(first)) if len(first) else count
-        keep = features >= max(min_words, 1)
+        keep = features > 0
         self.feature_first = np.searchsorted(self.feature, first[keep], "left")
         self.features = features[keep]
         place = np.arange(len(self.word)) - np.repeat(first, count) if len(first) else np.zeros(0, np.int64)
@@ -89,103 +85,64 @@ class Lines:
         self.first, self.count, self.text, self.number = first[keep], count[keep], text[keep], number[keep]
         self.line = running[self.first + self.count] - running[self.first]
 
-    def simhash(self, which: np.ndarray) -> np.ndarray:
-        """SimHashes of some of the lines: bit by bit, what most of their words have."""
-        out = np.zeros(len(which), np.uint64)
+    def marks(self, which: np.ndarray) -> np.ndarray:
+        """Of some of the lines, the number of words, up to 65535, in 16 bits, and the SimHash in HASH_BITS."""
+        out = np.minimum(self.count[which], 65535).astype(np.uint64) << np.uint64(HASH_BITS)
         for low in range(0, len(which), 4096):
             own = which[low : low + 4096]
             n = self.features[own]
             words = self.word[B.gathered(self.feature, self.feature_first[own], n)]
-            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8], axis=1)
             ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-            out[low : low + 4096] = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64)[:, 0]
+            packed = np.zeros((len(own), 8), np.uint8)
+            packed[:, : HASH_BITS // 8] = np.packbits(2 * ones > n[:, None], axis=1)
+            out[low : low + 4096] |= packed.view(np.uint64)[:, 0]
         return out
 
-
-    def pairs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the pairs of neighbouring words of some of the lines, repeats told apart, and the line's place in `which`."""
-        n = np.maximum(self.count[which] - 1, 0)
-        pair = B.gathered(B.window_hashes(self.word, 2), self.first[which], n)
-        own = np.repeat(np.arange(len(which)), n)
-        order = np.lexsort((pair, own))
-        pair, own = pair[order], own[order]
-        if len(pair):
-            head, size = _runs(B.mixed(pair + B.mixed(own.astype(np.uint64))))
-            again = np.arange(len(pair)) - np.repeat(head, size)
-            pair = B.mixed(pair + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return pair, own
-
-
-OCCURRENCES = ["doc", "row_id", "number", "line", "sim", "block", "counts"]
-
-
-def _occurrences(min_words: int):
-    """A row for each line, and this task's counts of pairs of words by cell."""
-    def run(batches):
-        cells, kind = np.zeros(CELLS, np.int64), None
-        for rows, texts in B.slices(batches, "text"):
-            lines = Lines(texts, min_words)
-            kind = rows.column("doc").type
-            if not len(lines.line):
-                continue
-            m = len(lines.line)
-            pair, _ = lines.pairs(np.arange(m))
-            cells += np.bincount((pair % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-            _, first, which = np.unique(lines.line, return_index=True, return_inverse=True)
-            sim = lines.simhash(first)[which]
-            own = pa.array(lines.text)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc").take(own), rows.column("row_id").take(own), pa.array(lines.number),
-                 pa.array(lines.line.view(np.int64)), pa.array(sim.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                OCCURRENCES)
-        if cells.any():
-            parts = [x.astype("<u4").tobytes() for x in cells.reshape(-1, CELL_BLOCK)]
-            m = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), *[pa.nulls(m, pa.int64()) for _ in range(4)],
-                 pa.array(np.arange(m, dtype=np.int32)), pa.array(parts, pa.binary())], OCCURRENCES)
-
-    return run
-
-
-def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block of cell counts over all tasks, a row at a time."""
-    total = np.zeros(CELL_BLOCK, np.int64)
-    for batch in batches:
-        for part in batch.column("counts"):
-            total += np.frombuffer(part.as_buffer(), "<u4")
-    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()),
-                                      "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
-
-
-def cell_counts(rows: DataFrame) -> np.ndarray:
-    """The CELLS counts over all tasks; they come to the driver, whatever the corpus."""
-    blocks = rows.filter("block is not null").select("block", "counts").groupBy("block").applyInArrow(
-        _summed, "block int, counts binary").toArrow()
-    counts = np.zeros(CELLS, np.uint32)
-    for block, part in zip(blocks.column("block").to_pylist(), blocks.column("counts").to_pylist()):
-        counts[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(part, "<u4")
-    return counts
-
-
-def _block_bits(blocks: int = BLOCKS) -> list[np.uint64]:
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    return [np.uint64((1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
-
-
-CHOICES = tuple(combinations(range(BLOCKS), BLOCKS - DISTANCE))
-
-
-def _keyed(batches):
-    """A row for each line and choice of blocks."""
-    bits = _block_bits()
-    for batch in batches:
-        sim = np.asarray(batch.column("sim")).view(np.uint64)
-        for k, choice in enumerate(CHOICES):
-            mask = np.bitwise_or.reduce([bits[c] for c in choice])
-            key = B.mixed((sim & mask) + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("sim"), batch.column("line")],
-                                             ["key", "sim", "line"])
+    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the blocks of some of the lines, and the line's place in `which`."""
+        n = self.count[which]
+        plain = B.gathered(self.word, self.first[which], n)
+        keys, lines = [], []
+        for size, most in ((PAIR, SHORTEST), (TRIPLE, SHORT)):
+            own = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(plain)) - np.repeat(np.cumsum(n) - n, n)
+            at = np.flatnonzero((place + size <= n[own]) & (n[own] <= most))
+            keys.append(B.window_hashes(plain, size)[at])
+            lines.append(own[at])
+        long = np.flatnonzero(n >= LONG)
+        n = n[long]
+        word = B.mixed(B.gathered(self.word, self.first[which][long], n) + np.uint64(1))
+        ends = np.cumsum(n)
+        cut = np.zeros(len(word) + 1, bool)
+        cut[1:] = B.mixed(word) % np.uint64(CUT) == 0
+        cut[ends - n] = cut[len(word)] = True
+        cuts = np.flatnonzero(cut)
+        start = cuts[:-1]
+        line = np.searchsorted(ends, start, "right")
+        end = cuts[np.searchsorted(cuts, np.minimum(start + BLOCK_WORDS, len(word)))]
+        if len(line):
+            end = np.minimum(end, ends[line])
+        full = end - start >= BLOCK_WORDS
+        start, end, line = start[full], end[full], line[full]
+        running = np.zeros(len(word) + 1, np.uint64)
+        np.cumsum(word, out=running[1:], dtype=np.uint64)
+        keys.append(B.mixed(running[end] - running[start]))
+        lines.append(long[line])
+        return np.concatenate(keys), np.concatenate(lines)
+
+
+OCCURRENCES = ["doc", "row_id", "number", "line"]
+
+
+def _occurrences(batches):
+    """A row for each line."""
+    for rows, texts in B.slices(batches, "text"):
+        lines = Lines(texts)
+        own = pa.array(lines.text)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc").take(own), rows.column("row_id").take(own), pa.array(lines.number),
+             pa.array(lines.line.view(np.int64))], OCCURRENCES)
 
 
 class Forest:
@@ -206,31 +163,6 @@ class Forest:
         return i != j
 
 
-def spanning(sim: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose hashes differ in at most DISTANCE bits."""
-    n = len(sim)
-    forest, edges = Forest(n), []
-    for i in range(n - 1):
-        near = np.flatnonzero(np.bitwise_count(sim[i + 1 :] ^ sim[i]) <= DISTANCE) + i + 1
-        edges += [(i, j) for j in near.tolist() if forest.join(i, j)]
-        if len(edges) == n - 1:
-            break
-    return edges
-
-
-def spanning_large(sim: np.ndarray) -> list[tuple[int, int]]:
-    """The same for many hashes: near ones agree in one of DISTANCE + 1 blocks."""
-    forest, edges = Forest(len(sim)), []
-    for mask in _block_bits(DISTANCE + 1):
-        value = sim & mask
-        order = np.argsort(value, kind="stable")
-        cuts = np.flatnonzero(value[order][1:] != value[order][:-1]) + 1
-        for own in np.split(order, cuts):
-            if len(own) > 1:
-                edges += [(own[i], own[j]) for i, j in spanning(sim[own]) if forest.join(own[i], own[j])]
-    return edges
-
-
 def whole_buckets(batches):
     """Tables of buckets; rows come sorted by key, and a bucket may go on in the next batch."""
     held: list[pa.RecordBatch] = []
@@ -260,74 +192,34 @@ def _edge_rows(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _edges(batches):
-    """Forest edges of each bucket."""
-    for table in whole_buckets(batches):
-        line = table.column("line").to_numpy()
-        sim = table.column("sim").to_numpy().view(np.uint64)
-        head, size = _runs(table.column("key").to_numpy())
-        pairs = head[size == 2]  # most buckets of more than one
-        near = pairs[np.bitwise_count(sim[pairs] ^ sim[pairs + 1]) <= DISTANCE]
-        out_a, out_b = [line[near]], [line[near + 1]]
-        more = size > 2
-        for s, n in zip(head[more].tolist(), size[more].tolist()):
-            edges = np.array((spanning if n <= MOST else spanning_large)(sim[s : s + n]), np.int64).reshape(-1, 2) + s
-            out_a.append(line[edges[:, 0]])
-            out_b.append(line[edges[:, 1]])
-        yield _edge_rows(out_a, out_b)
-
-
-def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
-    """How many of its first pairs of words a line must share one of with each line it links to."""
-    return 2 * np.floor((1 - similarity) * (n + 1) + 1e-9).astype(np.int64) + 1
-
-
-def marks(words: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each line, its number of words, up to 65535, in 16 bits; in 48 bits, whether their count in a cell is odd."""
-    cell = np.repeat(np.arange(len(n)) * MARK_BITS, n) + (words % np.uint64(MARK_BITS)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(n) * MARK_BITS) & 1).astype(np.uint64).reshape(-1, MARK_BITS)
-    bits = (odd << np.arange(MARK_BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return np.minimum(n, 65535).astype(np.uint64) << np.uint64(MARK_BITS) | bits
-
-
 def marks_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lines of these marks may be linked: an edit changes the length by one and two bits at most."""
-    n, m = ((x >> np.uint64(MARK_BITS)).astype(np.int64) for x in (a, b))
-    longer = np.maximum(n, m)
-    edits = np.floor((1 - similarity) * longer + 1e-9)
-    low = np.uint64((1 << MARK_BITS) - 1)
-    apart = np.bitwise_count((a ^ b) & low)
-    return (np.abs(n - m) <= edits) & ((apart <= 2 * edits) | (longer == 65535))
-
+    """Whether lines of these marks may be linked: by their lengths, and by the bits that differ."""
+    n, m = ((x >> np.uint64(HASH_BITS)).astype(np.int64) for x in (a, b))
+    edits = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9)
+    low = np.uint64((1 << HASH_BITS) - 1)
+    return (np.abs(n - m) <= edits) & (np.bitwise_count((a ^ b) & low) <= DISTANCE)
 
-def _prefixes(similarity: float, min_words: int, counts: np.ndarray):
-    """A row for each of the first pairs of words of each line; equal lines of a slice count once."""
-    def run(batches):
-        for _, texts in B.slices(batches, "text"):
-            lines = Lines(texts, min_words)
-            line, first = np.unique(lines.line, return_index=True)
-            pair, own = lines.pairs(first)
-            order = np.lexsort((pair, counts[(pair % np.uint64(CELLS)).astype(np.int64)], own))
-            n = lines.count[first]
-            size = np.maximum(n - 1, 0)
-            inside = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-            head = order[inside < np.repeat(prefix_size(n, similarity), size)]
-            words = B.gathered(lines.word, lines.first[first], n)
-            mark = marks(words, n)
-            yield pa.RecordBatch.from_pydict(
-                {"key": pair[head].view(np.int64), "line": line[own[head]].view(np.int64), "mark": mark[own[head]].view(np.int64)})
 
-    return run
+def _posted(batches):
+    """A row for each block of each line; equal lines of a slice count once."""
+    for _, texts in B.slices(batches, "text"):
+        lines = Lines(texts)
+        line, first = np.unique(lines.line, return_index=True)
+        enough = lines.count[first] >= LEAST
+        line, first = line[enough], first[enough]
+        key, own = lines.blocks(first)
+        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "line": line[own].view(np.int64),
+                                          "mark": lines.marks(first)[own].view(np.int64)})
 
 
 def _met(similarity: float):
-    """The lines of each pair of words that several have, if their marks allow a link; rows come sorted by key and line.
+    """The lines of each block that several have, if their marks allow a link; rows come sorted by key and line.
 
     A bucket gets a hash of all its lines for a key, so buckets of the same lines are one
     from then on. A large one keeps its key and goes out in numbered chunks as it comes in.
     """
     def rows_of(key, line, mark, sent, sent_words, large):
-        n = (mark >> np.uint64(MARK_BITS)).astype(np.int64)
+        n = (mark >> np.uint64(HASH_BITS)).astype(np.int64)
         head, size = _runs(key)
         before = np.cumsum(n) - n
         place = np.arange(len(key)) - np.repeat(head, size)
@@ -346,16 +238,18 @@ def _met(similarity: float):
             hit = live[marks_allow(mark[live], mark[live + k], similarity)]
             may[hit] = may[hit + k] = True
             k += 1
-        own, mine = key[may], line[may]
+        own, mine, marked = key[may], line[may], mark[may]
         if len(own):
             head, size = _runs(own)
             running = np.zeros(len(mine) + 1, np.uint64)
             np.cumsum(B.mixed(mine.view(np.uint64) + np.uint64(9)), out=running[1:], dtype=np.uint64)
             name = B.mixed(running[head + size] - running[head] + size.astype(np.uint64)).view(np.int64)
             some = np.unique(name, return_index=True)[1]
-            own, mine = np.repeat(name[some], size[some]), B.gathered(mine, head[some], size[some])
+            own, mine, marked = (np.repeat(name[some], size[some]), B.gathered(mine, head[some], size[some]),
+                                 B.gathered(marked, head[some], size[some]))
         return pa.RecordBatch.from_pydict({
             "key": np.concatenate([own, key[more]]), "line": np.concatenate([mine, line[more]]),
+            "mark": np.concatenate([marked, mark[more]]).view(np.int64),
             "chunk": np.concatenate([np.zeros(len(own), np.int64), chunk[more]])})
 
     def run(batches):
@@ -372,7 +266,7 @@ def _met(similarity: float):
             if last:
                 yield rows_of(*[x[:last] for x in held], sent, sent_words, False)
                 held, sent, sent_words = [x[last:] for x in held], 0, 0
-            words = (held[2][:-1] >> np.uint64(MARK_BITS)).sum(dtype=np.int64)
+            words = (held[2][:-1] >> np.uint64(HASH_BITS)).sum(dtype=np.int64)
             if len(held[0]) > 1 and (len(held[0]) > MOST or words > MOST_WORDS):
                 # The last row stays: the next batch may repeat it.
                 yield rows_of(*[x[:-1] for x in held], sent, sent_words, True)
@@ -391,14 +285,14 @@ def sketches(words: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _settle(similarity: float):
-    """Confirmed links between the groups (`name`) of each bucket; the lines' words come along.
+    """Confirmed links that connect each bucket; the lines' words come along.
 
     `side` is 0 in buckets of one chunk, else which of two chunks a line is of.
     """
     def run(batches):
         for table in whole_buckets(batches):
             line, side = table.column("line").to_numpy(), table.column("side").to_numpy()
-            _, name = np.unique(table.column("name").to_numpy(), return_inverse=True)
+            mark = table.column("mark").to_numpy().view(np.uint64)
             values = B.texts_of(table.column("words"))
             all_words, at = np.frombuffer(values.data.tobytes(), np.uint64), values.offsets // 8
             n = np.diff(at)
@@ -412,7 +306,7 @@ def _settle(similarity: float):
             def near(i, j):
                 """An edit changes two counts by one at most."""
                 edits = np.floor((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9)
-                may = (np.abs(n[i] - n[j]) <= edits) & ((side[i] == 0) | (side[i] != side[j])) & (name[i] != name[j])
+                may = marks_allow(mark[i], mark[j], similarity) & ((side[i] == 0) | (side[i] != side[j]))
                 may[may] = np.abs(sketch[j][may].astype(np.int16) - (sketch[i][may] if np.ndim(i) else sketch[i])
                                   ).sum(-1, dtype=np.int64) <= 2 * edits[may]
                 return may
@@ -423,17 +317,15 @@ def _settle(similarity: float):
             out_a.append(line[good])
             out_b.append(line[[i + 1 for i in good]])
             for s, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
-                _, own = np.unique(name[s : s + m], return_inverse=True)
-                forest = Forest(int(own.max()) + 1)
-                left = len(forest.up)
+                forest, left = Forest(m), m
                 for i in range(s, s + m - 1):
                     if left == 1:
                         break
                     may = np.flatnonzero(near(i, slice(i + 1, s + m))) + i + 1
                     mine = words(i) if len(may) else []
                     for j in may.tolist():
-                        if forest.root(own[i - s]) != forest.root(own[j - s]) and alike(mine, words(j), similarity):
-                            forest.join(own[i - s], own[j - s])
+                        if forest.root(i - s) != forest.root(j - s) and alike(mine, words(j), similarity):
+                            forest.join(i - s, j - s)
                             left -= 1
                             out_a.append(line[i : i + 1])
                             out_b.append(line[j : j + 1])
@@ -473,27 +365,22 @@ def alike(a: list[int], b: list[int], similarity: float) -> bool:
     return min(len(a), len(b)) >= least and longer - edit_distance(a, b) >= least
 
 
-def _judge(similarity: float):
+def _among(wanted: Bitmap, column: str, inside: bool):
+    """The rows whose number is in the filter, or those that are not."""
     def run(batches):
+        opened = wanted.opened()
         for batch in batches:
-            sides = []
-            for name in ("words_a", "words_b"):
-                values = B.texts_of(batch.column(name))
-                words = np.frombuffer(values.data.tobytes(), np.uint64)
-                cuts = (values.offsets // 8).tolist()
-                sides.append([words[s:e].tolist() for s, e in zip(cuts, cuts[1:])])
-            good = [alike(a, b, similarity) for a, b in zip(*sides)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())],
-                                             ["a", "b", "good"])
+            hit = has(opened, batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit == inside))
 
     return run
 
 
-def _words_of_lines(min_words: int, wanted: Bitmap):
+def _words_of_lines(wanted: Bitmap):
     def run(batches):
         opened = wanted.opened()
         for _, texts in B.slices(batches, "text"):
-            lines = Lines(texts, min_words)
+            lines = Lines(texts)
             line, first = np.unique(lines.line, return_index=True)
             hit = has(opened, line)
             line, own = line[hit], first[hit]
@@ -506,70 +393,67 @@ def _words_of_lines(min_words: int, wanted: Bitmap):
     return run
 
 
+def _without(batches):
+    """The texts without the lines whose numbers are in `__gone`."""
+    for batch in batches:
+        at = batch.schema.names.index("__text")
+        left = []
+        for text, gone in zip(batch.column("__text").to_pylist(), batch.column("__gone").to_pylist()):
+            if gone:
+                out = set(gone)
+                text = "\n".join(part for k, part in enumerate(text.split("\n")) if k not in out)
+            left.append(text)
+        yield batch.set_column(at, batch.schema.field(at), pa.array(left, batch.schema.field(at).type))
+
+
 def _buckets(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "key").sortWithinPartitions("key", "line")
 
 
-def line_groups(texts: DataFrame, lines: DataFrame, similarity: float, min_words: int, counts: np.ndarray) -> DataFrame:
+def line_groups(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """node, component: hashes of normalised lines that are in a group with another one.
 
-    `texts` has the column text; `lines` the distinct line and sim of its lines; `counts`
-    are those of their pairs of words by cell.
+    `rows` has row_id and text; `distinct` the distinct lines, each with a row (`place.row_id`) that has it.
     """
-    keyed = lines.mapInArrow(_keyed, KEYED)
-    edges = stored(_buckets(keyed).mapInArrow(_edges, EDGES).distinct(), "line-edges")
-    posted = texts.mapInArrow(_prefixes(similarity, min_words, counts), "key long, line long, mark long")
+    posted = rows.select("text").mapInArrow(_posted, "key long, line long, mark long")
     met = stored(_buckets(posted).mapInArrow(_met(similarity), MET).distinct(), "met-lines")
-    ends = (edges.select(F.col("a").alias("line")).union(edges.select(F.col("b").alias("line")))
-            .union(met.select("line")).distinct())
-    wanted = Bitmap.of(ends, "line")
-    words = (texts.mapInArrow(_words_of_lines(min_words, wanted), "line long, words binary")
+    ends = stored(met.select("line").distinct(), "line-ends")
+    readers = Bitmap.of(distinct.join(ends, "line").select("place.row_id"), "row_id")
+    some = rows.mapInArrow(_among(readers, "row_id", True), rows.schema)
+    words = (some.mapInArrow(_words_of_lines(Bitmap.of(ends, "line")), "line long, words binary")
              .groupBy("line").agg(F.first("words").alias("words")))
     words = stored(words.join(ends, "line", "left_semi"), "line-words")
-    a = words.select(F.col("line").alias("a"), F.col("words").alias("words_a"))
-    b = words.select(F.col("line").alias("b"), F.col("words").alias("words_b"))
-    judged = stored(edges.join(a, "a").join(b, "b").select("a", "b", "words_a", "words_b")
-                    .mapInArrow(_judge(similarity), EDGES + ", good boolean"), "judged")
-    dropped(edges)
-    sure = judged.filter("good").select("a", "b")
-    groups = components(sure).select(F.col("node").alias("line"), "component")
-    named = met.join(groups, "line", "left").select("key", "line", "chunk", F.coalesce("component", "line").alias("name"))
-    open_keys = (named.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.max("chunk").alias("top"))
-                 .filter("low < high").select("key", "top"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("other")
-    dealt = (named.join(open_keys, "key").select("key", "line", "chunk", "name", other)
+    tops = met.filter("chunk > 0").groupBy("key").agg(F.max("chunk").alias("top"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("top", F.lit(0).cast("long")))).alias("other")
+    dealt = (met.join(tops, "key", "left").select("key", "line", "mark", "chunk", other)
              .select(F.when((F.col("chunk") == 0) & (F.col("other") == 0), F.col("key"))
                      .otherwise(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))).alias("key"),
-                     "line", "name", F.signum(F.col("chunk") - F.col("other")).cast("long").alias("side")))
-    late = _buckets(dealt.join(words, "line")).mapInArrow(_settle(similarity), EDGES)
-    return components(sure.union(late))
+                     "line", "mark", F.signum(F.col("chunk") - F.col("other")).cast("long").alias("side")))
+    links = stored(_buckets(dealt.join(words, "line")).mapInArrow(_settle(similarity), EDGES), "line-links")
+    dropped(met, ends, words)
+    return components(links)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                min_words: int = MIN_WORDS, removed_col: str = "lines_removed", lines_col: str = "lines_in") -> DataFrame:
+                removed_col: str = "lines_removed", lines_col: str = "lines_in") -> DataFrame:
     """The documents without the lines that are in a group with an earlier one, and how many lines went.
 
     `lines_col` counts the lines that took part. A text that had all its lines removed is
-    empty; null texts stay null.
+    empty; null texts stay null. Only texts that lose lines are shuffled.
     """
-    if similarity < 0.7:  # pairs of words would not find all links
-        raise ValueError("a similarity of 0.7 or more is needed")
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"blocks are made for similarities from {SIMILARITY} to 1")
     id_type = docs.schema[id_col].dataType
     docs = docs.drop(removed_col, lines_col)
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc"), own.alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in
-                                                          ("row_id", "number", "line", "sim")],
-                           T.StructField("block", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-    seen = stored(rows.mapInArrow(_occurrences(min_words), schema), "occurrences")
-    counts = cell_counts(seen)
-    seen = seen.filter("block is null").drop("block", "counts")
+    schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in OCCURRENCES[1:]]])
+    seen = stored(rows.mapInArrow(_occurrences, schema), "occurrences")
     place = F.struct("doc", "row_id", "number")
-    distinct = stored(seen.groupBy("line").agg(F.first("sim").alias("sim"), F.min(place).alias("place"),
-                                               F.count(F.lit(1)).alias("n")), "distinct-lines")
-    groups = line_groups(rows.select("text"), distinct.select("line", "sim"), similarity, min_words, counts)
+    distinct = stored(seen.groupBy("line").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
+    groups = line_groups(rows.select("row_id", "text"), distinct, similarity)
     named = distinct.join(groups, distinct["line"] == groups["node"], "left")
     best = named.filter("component is not null").groupBy("component").agg(F.min("place").alias("keep"))
     # Lines of which some occurrence goes, with the one place of their group that stays.
@@ -577,13 +461,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("line", F.coalesce("keep", "place").alias("keep")))
     gone = (seen.join(going, "line")
             .filter((F.col("row_id") != F.col("keep.row_id")) | (F.col("number") != F.col("keep.number")))
-            .groupBy("row_id").agg(F.collect_set("number").alias("gone")))
-    took_part = seen.select("row_id", "number").distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("n"))
-    changes = took_part.join(gone, "row_id", "left").select(
-        F.col("row_id").alias("__row"), F.struct("n", "gone").alias("__lines"))
-    joined = docs.join(changes, own == F.col("__row"), "left")
-    text, gone_here = F.col(text_col), F.col("__lines.gone")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone_here, i.cast("long"))), "\n")
-    return (joined.withColumn(text_col, F.when(gone_here.isNull(), text).otherwise(left))
-            .withColumn(removed_col, F.when(gone_here.isNull(), F.lit(0)).otherwise(F.size(gone_here)).cast("long"))
-            .withColumn(lines_col, F.coalesce(F.col("__lines.n"), F.lit(0)).cast("long")).drop("__row", "__lines"))
+            .groupBy("row_id").agg(F.collect_set("number").alias("__gone")))
+    gone = stored(gone.withColumnRenamed("row_id", "__row"), "gone-lines")
+    dropped(seen, distinct)
+    changed = Bitmap.of(gone, "__row")
+    text = F.col(text_col).cast("string")
+    solid = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[a-zA-Z0-9]|[^\x00-\x7f]"))
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], own.alias("__row"),
+                        text.alias("__text"), F.when(text.isNotNull(), F.size(solid)).otherwise(0).cast("long").alias("__in"))
+    same = plain.mapInArrow(_among(changed, "__row", False), plain.schema).withColumn("__gone", F.lit(None).cast("array<bigint>"))
+    less = plain.mapInArrow(_among(changed, "__row", True), plain.schema).join(gone, "__row", "left").select(same.columns)
+    done = same.union(less.mapInArrow(_without, less.schema))
+    return done.select(*[F.col("__text" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)],
+                       F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias(removed_col),
+                       F.col("__in").alias(lines_col))

@@ -28,8 +28,8 @@ def distance(a, b):
     return row[-1]
 
 
-def takes_part(words, least=5):
-    return len({w for w in words if re.search("[a-z0-9]|[^\x00-\x7f]", w)}) >= least
+def takes_part(words):
+    return any(re.search("[a-z0-9]|[^\x00-\x7f]", w) for w in words)
 
 
 def brute(rows):
@@ -97,11 +97,31 @@ def test_against_brute_force(spark, monkeypatch, seed, most):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, line string, lines_in int")
     got = L.dedup_lines(docs).select("doc_id", "text", "lines_removed", "lines_in")
     want = brute(rows)
-    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    got = sorted((tuple(r) for r in got.collect()), key=repr)
+    # No line goes that should stay; of those that should go, blocks and SimHashes miss one in twenty at most.
+    assert [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in want]
+    assert all(g[1] == w[1] if g[2] == w[2] else g[2] < w[2] for g, w in zip(got, want))
+    assert sum(g[2] for g in got) >= 0.95 * sum(w[2] for w in want)
     assert sum(w[2] for w in want) > 40
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_equal_lines_of_any_length_group(spark):
+    rows = [(1, "Log in\nHome\n---"), (2, "log  IN\n---\nHome page"), (3, "Log in\nHome"), (4, None), (None, "Home")]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"], r["lines_in"]) for r in
+           L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Log in\n---", 1, 2), 2: ("---\nHome page", 1, 2), 3: ("", 2, 2),
+                   4: (None, 0, 0), None: ("Home", 0, 1)}
+
+
+def test_many_lines_of_one_text(spark):
+    """A text of 100,000 lines, all of them found in another one too, in linear time."""
+    text = "\n".join(f"row{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(100_000))
+    got = L.dedup_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    n = len(set(text.split("\n")))
+    assert {(r["doc_id"], r["lines_removed"]) for r in got.collect()} == {(1, 100_000 - n), (2, 100_000)}
+
+
 def test_edit_distance():
     rng = random.Random(9)
     for _ in range(400):
@@ -109,17 +129,19 @@ def test_edit_distance():
         assert L.edit_distance(a, b) == distance(a, b)
 
 
-def test_near_hashes_share_a_key():
-    rng = np.random.default_rng(1)
-    sim = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    other = sim.copy()
-    for _ in range(L.DISTANCE):
-        other ^= np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)
-    keys = []
-    for s in (sim, other):
-        batch = pa.RecordBatch.from_pydict({"sim": s.view(np.int64), "line": np.arange(200)})
-        keys.append([set(x) for x in zip(*[b.column("key").to_pylist() for b in L._keyed([batch])])])
-    assert all(a & b for a, b in zip(*keys))
+def test_blocks_move_with_their_words():
+    """Words before, after or between others leave the blocks that they do not touch."""
+    rng = random.Random(4)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    for _ in range(50):
+        line = [rng.choice(words) for _ in range(60)]
+        at = rng.randrange(15, 45)
+        keys = []
+        for own in (line, ["new", *line], [*line, "new"], line[:at] + ["new"] + line[at:]):
+            some = L.Lines(B.texts_of(pa.array([" ".join(own)])))
+            keys.append(set(some.blocks(np.arange(1))[0].tolist()))
+        # Blocks that touch an edit differ, and those that ended with the line.
+        assert all(len(keys[0] & other) >= len(keys[0]) - 5 for other in keys[1:])
 
 
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
