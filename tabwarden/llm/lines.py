@@ -48,6 +48,7 @@ CUT = 3
 BLOCK_WORDS = 5
 LEAST, PAIR, SHORTEST, TRIPLE, SHORT = 4, 2, 5, 3, 24
 LONG = 20       # words of the shorter of two linked lines if the longer has more than SHORT
+MANY = 48
 MOST = 20_000
 MOST_WORDS = 2 << 20
 SKETCH = 64
@@ -123,7 +124,10 @@ class Lines:
         end = cuts[np.searchsorted(cuts, np.minimum(start + BLOCK_WORDS, len(word)))]
         if len(line):
             end = np.minimum(end, ends[line])
-        full = end - start >= BLOCK_WORDS
+        # Lines of more than MANY, 2 MANY, ... words give a half, a quarter, ... of their blocks, chosen by hash.
+        step = np.int64(1) << np.maximum(np.ceil(np.log2(n / MANY)).astype(np.int64), 0)
+        first_word = B.mixed(word[start]) if len(start) else word[:0]
+        full = (end - start >= BLOCK_WORDS) & (first_word % step[line].astype(np.uint64) == 0)
         start, end, line = start[full], end[full], line[full]
         running = np.zeros(len(word) + 1, np.uint64)
         np.cumsum(word, out=running[1:], dtype=np.uint64)
@@ -187,11 +191,6 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.diff(np.append(head, len(key)))
 
 
-def _edge_rows(a: list, b: list) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
 def marks_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether lines of these marks may be linked: by their lengths, and by the bits that differ."""
     n, m = ((x >> np.uint64(HASH_BITS)).astype(np.int64) for x in (a, b))
@@ -298,38 +297,28 @@ def _settle(similarity: float):
             n = np.diff(at)
             sketch = sketches(all_words, n)
             head, size = _runs(table.column("key").to_numpy())
-            out_a, out_b = [], []
-
-            def words(i):
-                return all_words[at[i] : at[i + 1]].tolist()
-
-            def near(i, j):
-                """An edit changes two counts by one at most."""
-                edits = np.floor((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9)
-                may = marks_allow(mark[i], mark[j], similarity) & ((side[i] == 0) | (side[i] != side[j]))
-                may[may] = np.abs(sketch[j][may].astype(np.int16) - (sketch[i][may] if np.ndim(i) else sketch[i])
-                                  ).sum(-1, dtype=np.int64) <= 2 * edits[may]
-                return may
-
-            pairs = head[size == 2]  # most buckets
-            pairs = pairs[near(pairs, pairs + 1)] if len(pairs) else pairs
-            good = [i for i in pairs.tolist() if alike(words(i), words(i + 1), similarity)]
-            out_a.append(line[good])
-            out_b.append(line[[i + 1 for i in good]])
-            for s, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
-                forest, left = Forest(m), m
-                for i in range(s, s + m - 1):
-                    if left == 1:
-                        break
-                    may = np.flatnonzero(near(i, slice(i + 1, s + m))) + i + 1
-                    mine = words(i) if len(may) else []
-                    for j in may.tolist():
-                        if forest.root(i - s) != forest.root(j - s) and alike(mine, words(j), similarity):
-                            forest.join(i - s, j - s)
-                            left -= 1
-                            out_a.append(line[i : i + 1])
-                            out_b.append(line[j : j + 1])
-            yield _edge_rows(out_a, out_b)
+            ends = np.repeat(head + size, size)
+            names, name = np.unique(line, return_inverse=True)
+            forest, out = Forest(len(names)), []
+            live, k = np.arange(len(line)), 1
+            while len(live := live[live + k < ends[live]]):
+                for low in range(0, len(live), MOST):
+                    i = live[low : low + MOST]
+                    j = i + k
+                    may = marks_allow(mark[i], mark[j], similarity) & ((side[i] == 0) | (side[i] != side[j]))
+                    i, j = i[may], j[may]
+                    # An edit changes two counts by one at most.
+                    edits = np.floor((1 - similarity) * np.maximum(n[i], n[j]) + 1e-9)
+                    may = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(1, dtype=np.int64) <= 2 * edits
+                    for a, b in zip(i[may].tolist(), j[may].tolist()):
+                        if forest.root(name[a]) != forest.root(name[b]) and alike(
+                                all_words[at[a] : at[a + 1]], all_words[at[b] : at[b + 1]], similarity):
+                            forest.join(name[a], name[b])
+                            out.append((a, b))
+                k += 1
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            a, b = line[pairs[:, 0]], line[pairs[:, 1]]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -359,10 +348,19 @@ def edit_distance(a: list[int], b: list[int]) -> int:
     return score
 
 
-def alike(a: list[int], b: list[int], similarity: float) -> bool:
-    longer = max(len(a), len(b))
-    least = similarity * longer - 1e-9
-    return min(len(a), len(b)) >= least and longer - edit_distance(a, b) >= least
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two arrays of words have that edit similarity; what they begin or end with alike is left out first."""
+    longer, shorter = max(len(a), len(b)), min(len(a), len(b))
+    edits = longer - (similarity * longer - 1e-9)
+    if longer - shorter > edits:
+        return False
+    other = np.flatnonzero(a[:shorter] != b[:shorter])
+    before = int(other[0]) if len(other) else shorter
+    room = shorter - before
+    other = np.flatnonzero(a[len(a) - room :][::-1] != b[len(b) - room :][::-1])
+    after = int(other[0]) if len(other) else room
+    a, b = a[before : len(a) - after], b[before : len(b) - after]
+    return max(len(a), len(b)) <= edits or edit_distance(a.tolist(), b.tolist()) <= edits
 
 
 def _among(wanted: Bitmap, column: str, inside: bool):
@@ -376,10 +374,11 @@ def _among(wanted: Bitmap, column: str, inside: bool):
     return run
 
 
-def _words_of_lines(wanted: Bitmap):
+def _words_of_lines(wanted: Bitmap, readers: Bitmap):
+    """The words of the wanted lines, from the rows that are to give them."""
     def run(batches):
         opened = wanted.opened()
-        for _, texts in B.slices(batches, "text"):
+        for _, texts in B.slices(_among(readers, "row_id", True)(batches), "text"):
             lines = Lines(texts)
             line, first = np.unique(lines.line, return_index=True)
             hit = has(opened, line)
@@ -421,8 +420,7 @@ def line_groups(rows: DataFrame, distinct: DataFrame, similarity: float) -> Data
     met = stored(_buckets(posted).mapInArrow(_met(similarity), MET).distinct(), "met-lines")
     ends = stored(met.select("line").distinct(), "line-ends")
     readers = Bitmap.of(distinct.join(ends, "line").select("place.row_id"), "row_id")
-    some = rows.mapInArrow(_among(readers, "row_id", True), rows.schema)
-    words = (some.mapInArrow(_words_of_lines(Bitmap.of(ends, "line")), "line long, words binary")
+    words = (rows.mapInArrow(_words_of_lines(Bitmap.of(ends, "line"), readers), "line long, words binary")
              .groupBy("line").agg(F.first("words").alias("words")))
     words = stored(words.join(ends, "line", "left_semi"), "line-words")
     tops = met.filter("chunk > 0").groupBy("key").agg(F.max("chunk").alias("top"))
