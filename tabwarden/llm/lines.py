@@ -161,6 +161,12 @@ class Forest:
             i = self.up[i]
         return i
 
+    def roots(self) -> np.ndarray:
+        """The root of each."""
+        while (onward := self.up[self.up] != self.up).any():
+            self.up[onward] = self.up[self.up[onward]]
+        return self.up
+
     def join(self, i: int, j: int) -> bool:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
@@ -300,11 +306,14 @@ def _settle(similarity: float):
             ends = np.repeat(head + size, size)
             names, name = np.unique(line, return_inverse=True)
             forest, out = Forest(len(names)), []
-            live, k = np.arange(len(line)), 1
+            live, k, joined = np.arange(len(line)), 1, 0
+            group = name
             while len(live := live[live + k < ends[live]]):
                 for low in range(0, len(live), MOST):
                     i = live[low : low + MOST]
                     j = i + k
+                    open_ = group[i] != group[j]
+                    i, j = i[open_], j[open_]
                     may = marks_allow(mark[i], mark[j], similarity) & ((side[i] == 0) | (side[i] != side[j]))
                     i, j = i[may], j[may]
                     # An edit changes two counts by one at most.
@@ -315,7 +324,12 @@ def _settle(similarity: float):
                                 all_words[at[a] : at[a + 1]], all_words[at[b] : at[b + 1]], similarity):
                             forest.join(name[a], name[b])
                             out.append((a, b))
+                    if len(out) > joined:
+                        joined, group = len(out), forest.roots()[name]
                 k += 1
+                if k & (k - 1) == 0:  # buckets that are connected are done
+                    done = np.minimum.reduceat(group, head) == np.maximum.reduceat(group, head)
+                    live = live[~np.repeat(done, size)[live]]
             pairs = np.array(out, np.int64).reshape(-1, 2)
             a, b = line[pairs[:, 0]], line[pairs[:, 1]]
             yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
