@@ -2,37 +2,39 @@
 
 Lines are normalised as the quality rules do (ASCII lower case, runs of digits as one 0,
 blanks as one) and read as words. All lines with a letter or digit take part. Two lines
-are linked when they are equal, or when they share a block, their SimHashes differ in at
-most DISTANCE bits, and their edit similarity, 1 - (edits of words) / (words of the longer
-line), is at least `similarity`. Of each connected group the first occurrence stays, in
-the order of document id, row and line.
+are linked when they are equal, or when their edit similarity, 1 - (edits of words) /
+(words of the longer line), is at least `similarity`. No hash decides a link, and none is
+left out. Of each connected group the first occurrence stays, in the order of document id,
+row and line.
 
 1. Equal lines are one by a hash of their words. A line of fewer than LEAST words can't be
    near another one at 0.8.
-2. SimHash: HASH_BITS bits, each what most of the line's words (each once) have there.
-3. Pigeonhole blocks: a line is cut before each word that follows one in every CUT, chosen
-   by hash, and a block goes from a cut to the next one at least BLOCK_WORDS words on. Cuts
-   move with the words, so an edit touches only the blocks around it, and lines with fewer
-   edits than blocks share one. Lines of up to SHORT words have each TRIPLE successive words
-   as a block, those of up to SHORTEST each PAIR: an edit touches three or two of them, so
-   lines linked at 0.8 always share one. Blocks of bits alone would not do: an edit of one
-   word in ten turns 9 of 64 bits, too many for blocks that tell lines apart.
-4. Of each bucket, lines stay that may be linked by length and SimHash. Buckets of the same
+2. Pigeonhole blocks: an edit undoes at most two of a line's pairs of neighbouring words, so
+   of lines with n and m >= n words, e <= (1 - similarity) m edits apart, at least m - 1 - 2 e
+   pairs are kept. In one order for all, rare pairs first, the least kept pair is among the
+   first `prefix_size` of both lines. Those are the line's blocks; a repeated pair is one.
+   How rare a pair is, is read from counts in CELLS cells; any order would do.
+3. Fingerprint: the number of words, BITS bits, each whether the words that hash there are
+   odd in number, and the block's place in the line. An edit turns two bits at most, and the
+   words before and after a kept pair differ in number by e in all, so neither test loses a
+   link. (A SimHash's majority bits have no such bound: one edit may turn all of them.)
+4. Of each bucket, lines stay that may be linked by their fingerprints. Buckets of the same
    lines are one; the words come along, and the edit similarity is computed until the
    bucket's lines are connected. A bucket of more than MOST lines or MOST_WORDS words is
    cut into chunks, and each two chunks are a bucket.
 
-Every link is one of the edit similarity; the README says how many of them blocks and
-SimHashes find. Defined results: null and empty texts have no lines; a null document id
-comes first in order; rows that repeat id and text are one document and keep a row each;
-an empty table gives an empty one. `removed_col`, `lines_col` replace columns of those names.
+Defined results: null and empty texts have no lines; a null document id comes first in
+order; rows that repeat id and text are one document and keep a row each; an empty table
+gives an empty one. `removed_col`, `lines_col` replace columns of those names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import batches as B
 from .bitmaps import Bitmap, has
@@ -42,13 +44,10 @@ from .stored import dropped, stored
 
 B.ship(__name__)
 
-DISTANCE = 18
-HASH_BITS = 48
-CUT = 3
-BLOCK_WORDS = 5
-LEAST, PAIR, SHORTEST, TRIPLE, SHORT = 4, 2, 5, 3, 24
-LONG = 20       # words of the shorter of two linked lines if the longer has more than SHORT
-MANY = 48
+BITS, PLACE_BITS, COUNT_AT = 40, 8, 48    # parts of a mark, from the lowest bit; the count of words takes the rest
+LEAST = 4
+CELLS = 1 << 20
+CELL_BLOCK = 1 << 12
 MOST = 20_000
 MOST_WORDS = 2 << 20
 SKETCH = 64
@@ -69,17 +68,9 @@ class Lines:
         number = np.arange(len(text)) - head[text] if len(text) else text
         data, before = normalised(texts)
         self.word = B.span_hashes(data, before[words.start], before[words.end])
-        line_of = np.repeat(np.arange(len(first)), count)
-        # Words that count: those with a letter or digit, the first of its kind in the line.
         solid = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data >= 128) | (data >= 48) & (data <= 57) | (data >= 97) & (data <= 122), out=solid[1:])
-        real = np.flatnonzero(solid[before[words.end]] > solid[before[words.start]])
-        _, at = np.unique(B.mixed(self.word[real] + B.mixed(line_of[real].astype(np.uint64))), return_index=True)
-        self.feature = np.sort(real[at])
-        features = np.bincount(line_of[self.feature], minlength=len(first)) if len(first) else count
-        keep = features > 0
-        self.feature_first = np.searchsorted(self.feature, first[keep], "left")
-        self.features = features[keep]
+        keep = solid[before[end]] > solid[before[start]]
         place = np.arange(len(self.word)) - np.repeat(first, count) if len(first) else np.zeros(0, np.int64)
         running = np.zeros(len(self.word) + 1, np.uint64)
         np.cumsum(B.mixed(self.word + B.mixed(place.astype(np.uint64) + np.uint64(1))), out=running[1:], dtype=np.uint64)
@@ -87,66 +78,93 @@ class Lines:
         self.line = running[self.first + self.count] - running[self.first]
 
     def marks(self, which: np.ndarray) -> np.ndarray:
-        """Of some of the lines, the number of words, up to 65535, in 16 bits, and the SimHash in HASH_BITS."""
-        out = np.minimum(self.count[which], 65535).astype(np.uint64) << np.uint64(HASH_BITS)
+        """Of some of the lines, the number of words, up to 65535, and whether the words of each of BITS cells are odd in number."""
+        out = np.minimum(self.count[which], 65535).astype(np.uint64) << np.uint64(COUNT_AT)
         for low in range(0, len(which), 4096):
             own = which[low : low + 4096]
-            n = self.features[own]
-            words = self.word[B.gathered(self.feature, self.feature_first[own], n)]
-            bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8], axis=1)
-            ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-            packed = np.zeros((len(own), 8), np.uint8)
-            packed[:, : HASH_BITS // 8] = np.packbits(2 * ones > n[:, None], axis=1)
-            out[low : low + 4096] |= packed.view(np.uint64)[:, 0]
+            n = self.count[own]
+            words = B.gathered(self.word, self.first[own], n)
+            cell = np.repeat(np.arange(len(n)) * BITS, n) + (words % np.uint64(BITS)).astype(np.int64)
+            odd = (np.bincount(cell, minlength=len(n) * BITS) & 1).astype(np.uint64).reshape(-1, BITS)
+            out[low : low + 4096] |= (odd << np.arange(BITS, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return out
 
-    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the blocks of some of the lines, and the line's place in `which`."""
+    def blocks(self, which: np.ndarray, similarity: float = SIMILARITY, ranks: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks of some of the lines, the line's place in `which`, and the block's in the line from 1.
+
+        `ranks` says how frequent the pairs of each cell are. A place is 0 if the pair is repeated or far on.
+        """
         n = self.count[which]
-        plain = B.gathered(self.word, self.first[which], n)
-        keys, lines = [], []
-        for size, most in ((PAIR, SHORTEST), (TRIPLE, SHORT)):
-            own = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(plain)) - np.repeat(np.cumsum(n) - n, n)
-            at = np.flatnonzero((place + size <= n[own]) & (n[own] <= most))
-            keys.append(B.window_hashes(plain, size)[at])
-            lines.append(own[at])
-        long = np.flatnonzero(n >= LONG)
-        n = n[long]
-        word = B.mixed(B.gathered(self.word, self.first[which][long], n) + np.uint64(1))
-        ends = np.cumsum(n)
-        cut = np.zeros(len(word) + 1, bool)
-        cut[1:] = B.mixed(word) % np.uint64(CUT) == 0
-        cut[ends - n] = cut[len(word)] = True
-        cuts = np.flatnonzero(cut)
-        start = cuts[:-1]
-        line = np.searchsorted(ends, start, "right")
-        end = cuts[np.searchsorted(cuts, np.minimum(start + BLOCK_WORDS, len(word)))]
-        if len(line):
-            end = np.minimum(end, ends[line])
-        # Lines of more than MANY, 2 MANY, ... words give a half, a quarter, ... of their blocks, chosen by hash.
-        step = np.int64(1) << np.maximum(np.ceil(np.log2(n / MANY)).astype(np.int64), 0)
-        first_word = B.mixed(word[start]) if len(start) else word[:0]
-        full = (end - start >= BLOCK_WORDS) & (first_word % step[line].astype(np.uint64) == 0)
-        start, end, line = start[full], end[full], line[full]
-        running = np.zeros(len(word) + 1, np.uint64)
-        np.cumsum(word, out=running[1:], dtype=np.uint64)
-        keys.append(B.mixed(running[end] - running[start]))
-        lines.append(long[line])
-        return np.concatenate(keys), np.concatenate(lines)
-
-
-OCCURRENCES = ["doc", "row_id", "number", "line"]
+        size = np.maximum(n - 1, 0)
+        start = np.cumsum(size) - size
+        pair = B.gathered(B.window_hashes(self.word, 2), self.first[which], size)
+        key = pair >> np.uint64(8)
+        if ranks is not None:
+            key |= ranks[(pair % np.uint64(CELLS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+        own = np.repeat(np.arange(len(n)), size)
+        order = np.lexsort((key, own))
+        key, inside = key[order], np.arange(len(key)) - np.repeat(start, size)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        head = np.flatnonzero(new)
+        alone = np.diff(np.append(head, len(key))) == 1
+        first = inside[head] < prefix_size(n, similarity)[own[head]]
+        head, alone = head[first], alone[first]
+        place = order[head] - start[own[head]] + 1
+        return key[head], own[head], np.where(alone & (place < 1 << PLACE_BITS), place, 0).astype(np.uint64)
+
+
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of its first pairs a line of n words must share one of with each line it links to.
+
+    Of n - 1 pairs m - 1 - 2 e are kept, m the longer line's words; longer by one is the worst case.
+    """
+    edits, more = (np.floor((1 - similarity) * m + 1e-9).astype(np.int64) for m in (n, n + 1))
+    return np.maximum(2 * edits + 1, 2 * more)
+
+
+OCCURRENCES = ["doc", "row_id", "number", "line", "cells", "counts"]
 
 
 def _occurrences(batches):
-    """A row for each line."""
+    """A row for each line, and this task's counts of pairs of words by cell, up to 65535."""
+    cells, kind = np.zeros(CELLS, np.int64), None
     for rows, texts in B.slices(batches, "text"):
         lines = Lines(texts)
         own = pa.array(lines.text)
+        kind, m = rows.column("doc").type, len(own)
+        pairs = B.gathered(B.window_hashes(lines.word, 2), lines.first, np.maximum(lines.count - 1, 0))
+        cells += np.bincount((pairs % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc").take(own), rows.column("row_id").take(own), pa.array(lines.number),
-             pa.array(lines.line.view(np.int64))], OCCURRENCES)
+             pa.array(lines.line.view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], OCCURRENCES)
+    blocks = np.minimum(cells, 65535).astype("<u2").reshape(-1, CELL_BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    if len(some):
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(some), kind), *[pa.nulls(len(some), pa.int64()) for _ in range(3)], pa.array(some),
+             pa.array([blocks[i].tobytes() for i in some], pa.binary())], OCCURRENCES)
+
+
+def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How frequent the pairs of CELL_BLOCK cells are over all tasks, in quarters of a power of two."""
+    total = np.zeros(CELL_BLOCK, np.int64)
+    for batch in batches:
+        for part in batch.column("counts"):
+            total += np.frombuffer(part.as_buffer(), "<u2")
+    yield pa.RecordBatch.from_pydict({"cells": pa.array([key[0].as_py()], pa.int64()),
+                                      "ranks": pa.array([(4 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def pair_ranks(counted: DataFrame) -> np.ndarray:
+    """A number for each of CELLS cells; it is as large whatever the corpus."""
+    found = (counted.filter("cells is not null").select("cells", "counts").groupBy("cells")
+             .applyInArrow(_summed, "cells long, ranks binary").toArrow())
+    ranks = np.zeros(CELLS, np.uint8)
+    for at, part in zip(found.column("cells").to_pylist(), found.column("ranks").to_pylist()):
+        ranks[at * CELL_BLOCK : (at + 1) * CELL_BLOCK] = np.frombuffer(part, np.uint8)
+    return ranks
 
 
 class Forest:
@@ -198,33 +216,41 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lines of these marks may be linked: by their lengths, and by the bits that differ."""
-    n, m = ((x >> np.uint64(HASH_BITS)).astype(np.int64) for x in (a, b))
-    edits = np.floor((1 - similarity) * np.maximum(n, m) + 1e-9)
-    low = np.uint64((1 << HASH_BITS) - 1)
-    return (np.abs(n - m) <= edits) & (np.bitwise_count((a ^ b) & low) <= DISTANCE)
+    """Whether lines of these marks may be linked: by their lengths, the bits that differ, and the block's places."""
+    n, m = ((x >> np.uint64(COUNT_AT)).astype(np.int64) for x in (a, b))
+    longer = np.maximum(n, m)
+    edits = np.floor((1 - similarity) * longer + 1e-9)
+    apart = np.bitwise_count((a ^ b) & np.uint64((1 << BITS) - 1))
+    p, q = (((x >> np.uint64(BITS)) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) for x in (a, b))
+    placed = (p == 0) | (q == 0) | (np.abs(p - q) + np.abs((n - p) - (m - q)) <= edits)
+    return (np.abs(n - m) <= edits) & ((apart <= 2 * edits) & placed | (longer == 65535))
 
 
-def _posted(batches):
+def _posted(similarity: float, ranks: np.ndarray):
     """A row for each block of each line; equal lines of a slice count once."""
-    for _, texts in B.slices(batches, "text"):
-        lines = Lines(texts)
-        line, first = np.unique(lines.line, return_index=True)
-        enough = lines.count[first] >= LEAST
-        line, first = line[enough], first[enough]
-        key, own = lines.blocks(first)
-        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "line": line[own].view(np.int64),
-                                          "mark": lines.marks(first)[own].view(np.int64)})
+    def run(batches):
+        for _, texts in B.slices(batches, "text"):
+            lines = Lines(texts)
+            line, first = np.unique(lines.line, return_index=True)
+            enough = lines.count[first] >= LEAST
+            line, first = line[enough], first[enough]
+            key, own, place = lines.blocks(first, similarity, ranks)
+            mark = lines.marks(first)[own] | place << np.uint64(BITS)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "line": line[own].view(np.int64),
+                                              "mark": mark.view(np.int64)})
+
+    return run
 
 
 def _met(similarity: float):
     """The lines of each block that several have, if their marks allow a link; rows come sorted by key and line.
 
     A bucket gets a hash of all its lines for a key, so buckets of the same lines are one
-    from then on. A large one keeps its key and goes out in numbered chunks as it comes in.
+    from then on; places in the line go, as they are those of one block. A large one keeps its
+    key and goes out in numbered chunks as it comes in.
     """
     def rows_of(key, line, mark, sent, sent_words, large):
-        n = (mark >> np.uint64(HASH_BITS)).astype(np.int64)
+        n = (mark >> np.uint64(COUNT_AT)).astype(np.int64)
         head, size = _runs(key)
         before = np.cumsum(n) - n
         place = np.arange(len(key)) - np.repeat(head, size)
@@ -243,7 +269,7 @@ def _met(similarity: float):
             hit = live[marks_allow(mark[live], mark[live + k], similarity)]
             may[hit] = may[hit + k] = True
             k += 1
-        own, mine, marked = key[may], line[may], mark[may]
+        own, mine, marked = key[may], line[may], mark[may] & ~np.uint64(((1 << PLACE_BITS) - 1) << BITS)
         if len(own):
             head, size = _runs(own)
             running = np.zeros(len(mine) + 1, np.uint64)
@@ -271,7 +297,7 @@ def _met(similarity: float):
             if last:
                 yield rows_of(*[x[:last] for x in held], sent, sent_words, False)
                 held, sent, sent_words = [x[last:] for x in held], 0, 0
-            words = (held[2][:-1] >> np.uint64(HASH_BITS)).sum(dtype=np.int64)
+            words = (held[2][:-1] >> np.uint64(COUNT_AT)).sum(dtype=np.int64)
             if len(held[0]) > 1 and (len(held[0]) > MOST or words > MOST_WORDS):
                 # The last row stays: the next batch may repeat it.
                 yield rows_of(*[x[:-1] for x in held], sent, sent_words, True)
@@ -425,12 +451,13 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "line")
 
 
-def line_groups(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+def line_groups(rows: DataFrame, distinct: DataFrame, similarity: float, ranks: np.ndarray) -> DataFrame:
     """node, component: hashes of normalised lines that are in a group with another one.
 
-    `rows` has row_id and text; `distinct` the distinct lines, each with a row (`place.row_id`) that has it.
+    `rows` has row_id and text; `distinct` the distinct lines, each with a row (`place.row_id`) that has it;
+    `ranks` how frequent pairs of words are.
     """
-    posted = rows.select("text").mapInArrow(_posted, "key long, line long, mark long")
+    posted = rows.select("text").mapInArrow(_posted(similarity, ranks), "key long, line long, mark long")
     met = stored(_buckets(posted).mapInArrow(_met(similarity), MET).distinct(), "met-lines")
     ends = stored(met.select("line").distinct(), "line-ends")
     readers = Bitmap.of(distinct.join(ends, "line").select("place.row_id"), "row_id")
@@ -461,11 +488,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop(removed_col, lines_col)
     own = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc"), own.alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in OCCURRENCES[1:]]])
-    seen = stored(rows.mapInArrow(_occurrences, schema), "occurrences")
+    schema = T.StructType([T.StructField("doc", id_type), *[T.StructField(c, T.LongType()) for c in OCCURRENCES[1:-1]],
+                           T.StructField("counts", T.BinaryType())])
+    kept = stored(rows.mapInArrow(_occurrences, schema), "occurrences")
+    seen = kept.filter("cells is null").select(*OCCURRENCES[:4])
     place = F.struct("doc", "row_id", "number")
     distinct = stored(seen.groupBy("line").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    groups = line_groups(rows.select("row_id", "text"), distinct, similarity)
+    groups = line_groups(rows.select("row_id", "text"), distinct, similarity, pair_ranks(kept))
     named = distinct.join(groups, distinct["line"] == groups["node"], "left")
     best = named.filter("component is not null").groupBy("component").agg(F.min("place").alias("keep"))
     # Lines of which some occurrence goes, with the one place of their group that stays.
@@ -475,7 +504,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .filter((F.col("row_id") != F.col("keep.row_id")) | (F.col("number") != F.col("keep.number")))
             .groupBy("row_id").agg(F.collect_set("number").alias("__gone")))
     gone = stored(gone.withColumnRenamed("row_id", "__row"), "gone-lines")
-    dropped(seen, distinct)
+    dropped(kept, distinct)
     changed = Bitmap.of(gone, "__row")
     text = F.col(text_col).cast("string")
     solid = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[a-zA-Z0-9]|[^\x00-\x7f]"))
