@@ -4,15 +4,20 @@ Each value is known by the MD5 digest of its cleaned text. Digests break ties, s
 short values (counted as text) and long texts (counted by digest only, and
 fetched once chosen) are sampled by the same rules.
 
-All lists of a column come from one ranked pass. Every list is bounded and Spark
-trims it inside each task before the shuffle, so a column that holds a third of
-all distinct values sends a few rows per task and no more.
+All lists of a column come from one ranked pass. Every list is bounded and trimmed inside
+each task as its rows go by, so a column that holds a third of all distinct values sends a
+few rows per task and no more, and a task holds as much however many values there are.
 """
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
@@ -22,6 +27,8 @@ from ..plans.durable import durable
 from ..sources.tables import ColumnRef, Table
 from .values import melt_all, melt_typed, value_counts
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # executors need not have the package
+
 # Each list keeps as many values as earlier lists could take away from it, and its own.
 RESERVED = len(rules.PATTERN_KINDS) * rules.MAX_PER_PATTERN
 KEEP_LONGEST = RESERVED + rules.N_LONGEST
@@ -84,8 +91,64 @@ def digest_counts(long: DataFrame) -> DataFrame:
             .withColumn("value", F.lit(None).cast("string")))
 
 
+def counts_by_digest(counted: DataFrame, most: int) -> DataFrame:
+    """The same from value counts, with values of up to `most` characters; longer ones are not shuffled."""
+    v = F.col("value")
+    keyed = counted.select("col_id", "cnt", text.strip_controls(v).alias("value")).select(
+        "col_id", F.md5(v).alias("digest"), *_traits(v), "cnt", F.when(F.char_length(v) <= most, v).alias("value"))
+    keys = [c for c in keyed.columns if c != "cnt"]
+    return keyed.groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+
+
+PATTERNS = tuple(rules.PATTERN_KINDS)
+KEPT = ["col_id", "digest", "len", *PATTERNS, "cnt", "value"]
+FOLD_ROWS = 1 << 16
+
+
+def _leading(kept: pa.Table) -> pa.Table:
+    """The rows that may be in a list: of each column and list, as many as it holds."""
+    hit = np.zeros(kept.num_rows, bool)
+    for name, (_, most) in LISTS.items():
+        own = kept
+        if name in PATTERNS:
+            own = own.filter(own.column(name))
+        keys = {"longest": [("len", "descending"), ("cnt", "descending"), ("digest", "ascending")],
+                "random": [("shuffled", "ascending")]}.get(name, [("cnt", "ascending"), ("digest", "ascending")])
+        order = pc.sort_indices(own, [("col_id", "ascending"), *keys]).to_numpy()
+        col = own.column("col_id").to_numpy()[order]
+        rank = np.arange(len(col)) - np.searchsorted(col, col, "left")
+        hit[own.column("row").to_numpy()[order[rank < most]]] = True
+    return kept.filter(pa.array(hit))
+
+
+def _leaders(batches):
+    """The rows of a task that may be in a list; it holds FOLD_ROWS and those kept so far."""
+    def folded(held):
+        table = pa.Table.from_batches(held)
+        return _leading(table.append_column("row", pa.array(np.arange(table.num_rows)))).drop_columns("row")
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= FOLD_ROWS:
+            held, rows = folded(held).combine_chunks().to_batches(), 0
+    if held:
+        yield from folded(held).to_batches()
+
+
+def leading_counts(counts: DataFrame, seed: str) -> DataFrame:
+    """The counts that may be in a list, cut to each list's size inside each task.
+
+    A sort of all values of a task, once for each list, would take memory as the table grows.
+    """
+    rows = counts.select(*KEPT, F.md5(F.concat(F.lit(seed), F.lit("|"), F.col("digest"))).alias("shuffled"))
+    return rows.mapInArrow(_leaders, rows.schema).select(*KEPT)
+
+
 def ranked_lists(counts: DataFrame, seed: str = "0") -> DataFrame:
     """(col_id, list_id, rn, digest, cnt, value): the first values of each list."""
+    counts = leading_counts(counts, seed)
     cnt, digest = F.col("cnt").cast("bigint"), F.col("digest")
     zero, none = F.lit(0).cast("bigint"), F.lit(None)
 
