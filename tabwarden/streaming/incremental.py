@@ -8,8 +8,9 @@ to time.
 * profile: one row per column.
 * counts: value counts of the text columns, for categories and pattern floors.
 * samples: counts by digest with length and pattern flags, of every column that may still
-  become a candidate; values of up to LONG characters are kept with them. texts: longer
-  values, each once. Which values are shown is decided from the counts alone, so samples are
+  become a candidate; values of up to LONG characters are kept with them. Longer ones of text
+  columns are in the counts already, so those are read for both; texts: longer values of
+  nested and binary columns, each once. Which values are shown is decided from the counts alone, so samples are
   those of the whole table; the texts of the few chosen ones are then looked up.
 * pairs, points: completeness of neighbouring columns that may still be coordinates, and
   the first rows of each such pair in sample order. The first rows of all are among
@@ -25,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import rules
 from ..functions import names
+from ..functions.text import strip_controls
 from ..operators import coordinates, tabulate
 from ..operators.cascade import apply_cascade
 from ..operators.patterns import pattern_floors, pattern_stats
@@ -101,12 +103,18 @@ class ArrivingTable:
         refs = [r for r in catalog([table]) if r.col_id not in out]
         if not refs:
             return
-        counts = tabulate.count_candidates([table], refs)
-        kept = counts.withColumn("value", F.when(F.col("len") <= LONG, F.col("value")))
-        self._write(kept.select(*SAMPLE_KEY, "cnt", "value"), "samples", batch_id)
-        wordy = [r for r in refs if r.kind in ("string", "other")]
-        if wordy:
-            texts = tabulate.clean_counts(melt_all([table], wordy)).filter(F.col("len") > LONG)
+        parts = []
+        if any(r.kind == "string" for r in refs):
+            counted = self.spark.read.parquet(f"{self.folder}/counts/batch={batch_id}")
+            parts.append(tabulate.counts_by_digest(counted, LONG).select(*SAMPLE_KEY, "cnt", "value"))
+        rest = [r for r in refs if r.kind != "string"]
+        if rest:
+            counts = tabulate.count_candidates([table], rest)
+            parts.append(counts.select(*SAMPLE_KEY, "cnt", F.when(F.col("len") <= LONG, F.col("value")).alias("value")))
+        self._write(reduce(DataFrame.unionByName, parts), "samples", batch_id)
+        nested = [r for r in refs if r.kind == "other"]
+        if nested:
+            texts = tabulate.clean_counts(melt_all([table], nested)).filter(F.col("len") > LONG)
             self._write(texts.select("col_id", "digest", F.col("value").alias("text")), "texts", batch_id)
 
     def _keep_points(self, table: Table, profile: DataFrame, batch_id: int) -> None:
@@ -190,11 +198,14 @@ class ArrivingTable:
     def columns(self, land: DataFrame | None = None, cells_per_degree: int = 1) -> DataFrame:
         """Cascade over everything that has arrived: the same as over the whole table."""
         known = self._known(self.profile())
-        counts = self.counts()
+        counts = self._read("counts")
         if counts is None:
             stats = self.spark.createDataFrame([], "col_id int, n_unique bigint, min_count bigint")
-        else:
-            stats = distinct_stats(counts)
+        else:    # long texts are told apart by digest and stay where they are
+            long = F.char_length("value") > LONG
+            keyed = counts.select("col_id", "cnt", F.when(~long, F.col("value")).alias("value"),
+                                  F.when(long, F.md5("value")).alias("digest"))
+            stats = distinct_stats(keyed.groupBy("col_id", "value", "digest").agg(F.sum("cnt").alias("cnt")))
         return apply_cascade(known, stats, None if land is None else self.coordinates(land, cells_per_degree, known))
 
     def distinct_estimates(self) -> DataFrame:
@@ -224,8 +235,12 @@ class ArrivingTable:
                                                   "cnt bigint, pct double, n_unique bigint")
         counts = self._merged("samples").filter(F.col("col_id").isin([i for i, _ in rows]))
         shown = tabulate.tabulate(counts, n_rows, seed)
-        texts = self._read("texts")
-        return shown if texts is None else tabulate.fill_texts(shown, texts.select("col_id", "text", "digest"))
+        texts, counted = self._read("texts"), self._read("counts")
+        found = [] if texts is None else [texts.select("col_id", "text", "digest")]
+        if counted is not None:
+            cleaned = counted.select("col_id", strip_controls(F.col("value")).alias("text"))
+            found.append(cleaned.filter(F.char_length("text") > LONG).withColumn("digest", F.md5("text")))
+        return tabulate.fill_texts(shown, reduce(DataFrame.unionByName, found)) if found else shown
 
     def _complete_pairs(self, known: DataFrame) -> tuple[list[coordinates.Pair], dict[int, tuple[int, int]], DataFrame | None]:
         """Pairs whose values mostly come together, (n_either, n_both) by pair_id, and their first points."""
