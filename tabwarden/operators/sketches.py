@@ -23,10 +23,18 @@ def relative_error(lg_cells: int = LG_CELLS) -> float:
 
 
 def _value(table: Table, ref: ColumnRef) -> Column:
-    """Whole numbers as they are, all else as its text."""
+    """Whole numbers and dates as they are, other values of fixed width as 64-bit hashes, all else as its text."""
     c, dtype = F.col(f"c{ref.col_idx}"), table.field(ref.col_idx).dataType
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("bigint")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(dtype, T.DoubleType):  # 0.0 and -0.0 are one value, NaN is none
+        return F.when(c == 0, F.xxhash64(F.lit(0.0))).when(~F.isnan(c), F.xxhash64(c))
+    if isinstance(dtype, T.DecimalType):
+        return F.when(c.isNotNull(), F.xxhash64(c))
     return column_text(table, ref)
 
 
