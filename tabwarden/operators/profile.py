@@ -44,6 +44,7 @@ COLUMN_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("spark_type", T.StringType()),
 ])
+MAX_DEALT_BYTES = 1 << 29     # larger tables have splits enough for a scan
 INTEGRALS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -118,13 +119,15 @@ def _column_sql(ref: ColumnRef, dtype: T.DataType) -> str:
 
 def profile_table(table: Table, refs: list[ColumnRef], columns_per_pass: int = 30) -> DataFrame:
     """One row per column. Wide tables take several narrow scans, so that the
-    generated aggregation code stays within the JVM's method limit."""
+    generated aggregation code stays within the JVM's method limit. Text patterns are heavy
+    work, so a small table is dealt out to all cores: its file may be one split."""
     fields = table.df.schema.fields
     passes = []
     for start in range(0, len(refs), columns_per_pass):
         part = refs[start:start + columns_per_pass]
         structs = ", ".join(_column_sql(r, fields[r.col_idx].dataType) for r in part)
-        wide = table.cells(r.col_idx for r in part).agg(F.expr(f"array({structs})").alias("cols"))
+        heavy = any(r.kind == "string" for r in part) and table.estimated_bytes <= MAX_DEALT_BYTES
+        wide = table.cells((r.col_idx for r in part), heavy).agg(F.expr(f"array({structs})").alias("cols"))
         passes.append(wide.select(F.inline("cols")))
     return reduce(DataFrame.unionByName, passes)
 
