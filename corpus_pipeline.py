@@ -24,7 +24,9 @@ ORACLE_SQL = None  # Viterbi labels, SimHash and token ids are beyond SQL; tests
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of `docs`, and keeps what is mostly in one language."""
-    found = language.identify(docs, language.learn(docs), lang_col="__lang", score_col="__share", spans_col="__spans")
+    small = language.SMALL_SLICE  # the workers' memory is shared with what the other stages leave
+    found = language.identify(docs, language.learn(docs, limit=small), lang_col="__lang", score_col="__share",
+                              spans_col="__spans", limit=small)
     kept = found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__share") >= MIN_LANGUAGE_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 

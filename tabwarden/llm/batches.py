@@ -28,6 +28,19 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+#: Tables of fixed size, which several operators use.
+FIXED = ("powers", "classes", "scripts")
+
+
+def keep_only(*names: str) -> None:
+    """Empty what this worker keeps for other operators: it lives on from one stage of a job to the next."""
+    holder = sys.modules.get("_tabwarden_llm_cache")
+    for name, held in vars(holder).items() if holder else ():
+        if isinstance(held, dict) and name not in (*names, *FIXED):
+            held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Texts(NamedTuple):
     """Bytes of several texts in a row; text i is data[offsets[i]:offsets[i + 1]]."""
 
@@ -59,9 +72,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[at[0] : at[-1]], at - at[0])
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep: tuple[str, ...] = ()
            ) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Rows with their texts, at most `limit` bytes of text at a time; a longer text comes alone."""
+    """Rows with their texts, at most `limit` bytes of text at a time; a longer text comes alone.
+
+    Of the worker's caches those in `keep` stay, and the fixed ones.
+    """
+    keep_only(*keep)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -202,11 +202,12 @@ def _schema(df: DataFrame, name: str, kind: str):
 
 def _encoder(ranks: dict[bytes, int], vocab: str, text_col: str, ids_col: str):
     def run(batches):
-        decoder, known, held = Decoder(ranks), B.worker_cache(f"bpe {vocab}"), B.worker_cache(f"bpe tree {vocab}")
+        own = (f"bpe {vocab}", f"bpe tree {vocab}")
+        decoder, known, held = Decoder(ranks), *map(B.worker_cache, own)
         if "tree" not in held:
             held["tree"] = TreeBpe(ranks)
         bpe = held["tree"]
-        for rows, texts in B.slices(batches, text_col):
+        for rows, texts in B.slices(batches, text_col, keep=own):
             ids, count = encoded_pieces(texts, known, bpe.packed, PIECES)
             if not np.array_equal(decoder.decode(ids), texts.data):
                 raise ValueError("ids do not decode to their texts")  # two pieces with one 64-bit hash

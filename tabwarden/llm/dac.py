@@ -203,7 +203,7 @@ def _encoder(vocabulary: str, end_id: int, added_tokens: bool):
     def run(batches):
         encode = library_encoder(vocabulary)
         known = B.worker_cache("pieces of the library")
-        for rows, texts in B.slices(batches, "text"):
+        for rows, texts in B.slices(batches, "text", keep=("tokenizers", "pieces of the library")):
             ids, count = encoded_pieces(texts, known, encode)
             if added_tokens:
                 ids, count = _with_added_tokens(vocabulary, texts, ids, count)

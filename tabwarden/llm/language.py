@@ -31,6 +31,7 @@ B.ship(__name__)
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
+SMALL_SLICE = 1 << 19   # bytes of text at a time, where memory counts more than time; n-grams take some 80 times that
 SWITCH = 6.0
 WORST = -8.0
 MAX_LANGS = 1000
@@ -131,14 +132,14 @@ class LetterWords:
             yield (hashes[inside] % np.uint64(BUCKETS)).astype(np.int64), owner[: len(hashes)][inside]
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = B.SLICE_BYTES) -> DataFrame:
     """Counts of n-grams and scripts for each language: lang, bucket, n.
 
     A task sums its rows into a vector for each language before anything is shuffled.
     """
     def run(batches):
         found: dict[str, np.ndarray] = {}
-        for rows, texts in B.slices(batches, "text"):
+        for rows, texts in B.slices(batches, "text", limit):
             words = LetterWords(texts)
             langs = rows.column("lang").to_pylist()
             names = sorted(set(langs))
@@ -237,7 +238,7 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: str = "lang_pred",
-             score_col: str = "score", spans_col: str = "lang_spans") -> DataFrame:
+             score_col: str = "score", spans_col: str = "lang_spans", limit: int = B.SLICE_BYTES) -> DataFrame:
     """Add each text's language, its score, and the labelled spans (start, end in characters, language)."""
     fitted = Model.collect(model)
     made = (lang_col, score_col, spans_col)
@@ -245,7 +246,7 @@ def identify(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col
               .withColumn(spans_col, F.lit(None).cast("array<struct<start:long,end:long,lang:string>>")).schema)
 
     def run(batches):
-        for rows, texts in B.slices(batches, text_col):
+        for rows, texts in B.slices(batches, text_col, limit):
             n = rows.num_rows
             words = LetterWords(texts)
             langs = fitted.langs if fitted else [UNKNOWN]
